@@ -61,3 +61,15 @@ def ts_from_us(col):
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
 SEC_US = 1_000_000
+MONEY = "decimal(28,6)"
+
+
+def exact_sum(col):
+    """Sum of amounts in exact decimals: the same double for every order of addition."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.sum(c.cast(MONEY)).cast("double")
+
+
+def exact_mean(col):
+    c = F.col(col) if isinstance(col, str) else col
+    return exact_sum(c) / F.count(c)

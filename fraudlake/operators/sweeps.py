@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraudlake.cols import HOUR_US
+from fraudlake.cols import HOUR_US, exact_mean
 from fraudlake.operators import pit
 from fraudlake.operators.timeline import window_sums
 
@@ -54,7 +54,7 @@ def sweep_near_threshold(txn: DataFrame, lo_us: int, hi_us: int, thresholds: lis
                      lambda t: (F.col("amt") < t) & (F.col("amt") > t - width))
     agg = (rows.withColumn("threshold", F.explode(bands)).groupBy("threshold", entity)
            .agg(F.count("*").alias("n_below"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"),
-                F.avg("amt").alias("avg_amt"))
+                exact_mean("amt").alias("avg_amt"))
            .where((F.col("n_below") >= k) & (F.col("last_us") - F.col("first_us") < hours * HOUR_US)))
     w = Window.partitionBy("threshold").orderBy(F.desc("n_below"), entity)
     # the top-n report reads aggregated groups only; the cut below keeps n rows of each threshold

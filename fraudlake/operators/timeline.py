@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 
 from fraudlake.session import cut, max_rows, small
 
-MONEY = "decimal(28,6)"
-
-
 def _memo(df: DataFrame, what: tuple, make):
     """Reuse a size check for the same plan; a stale answer costs balance, never results."""
     store = df.sparkSession.__dict__.setdefault("_fraudlake_checks", {})
