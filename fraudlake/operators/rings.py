@@ -9,6 +9,7 @@ from fraudlake.cols import DAY_US, HOUR_US, MONEY, exact_sum
 from fraudlake.operators.neighbors import around, device_peers, longs, one, online, proxied
 from fraudlake.operators.tables import device_degree
 from fraudlake.operators.timeline import window_members, window_sums
+from fraudlake.session import cut
 
 
 def proxy_rings(txn: DataFrame, known: DataFrame, lo_us: int, hi_us: int, cap: int = 100, k: int = 3) -> DataFrame:
@@ -81,7 +82,8 @@ def ring_components(flags: DataFrame, txn: DataFrame, known: DataFrame, cj: Data
                     cc_connected: DataFrame, cc_card: DataFrame, cap: int = 100,
                     families: DataFrame | None = None) -> DataFrame:
     """Size, flagged cards and exposure of the device ring around each alert's card."""
-    devices = ring_devices(flags, txn, known, cap, families)
+    # every later hop starts from this set, so its pass over the transactions is done once
+    devices = cut(ring_devices(flags, txn, known, cap, families))
     cards = ring_cards(flags, devices, known, cj, cc_dev, cc_connected, cc_card)
     use = ring_activity(flags, devices, txn, known)
     per_card = use.groupBy("alert_id", "card").agg(
@@ -109,7 +111,7 @@ def ring_components(flags: DataFrame, txn: DataFrame, known: DataFrame, cj: Data
 def ring_risk_cards(flags: DataFrame, txn: DataFrame, known: DataFrame, cj: DataFrame, cc_dev: DataFrame,
                     cc_connected: DataFrame, cc_card: DataFrame, cap: int = 100) -> DataFrame:
     """Ring cards with their own risk sign: new or proxied in the window, or named by a fraud case of the ring."""
-    devices = ring_devices(flags, txn, known, cap)
+    devices = cut(ring_devices(flags, txn, known, cap))
     use = ring_activity(flags, devices, txn, known).where((F.col("n_new") > 0) | (F.col("n_proxied") > 0))
     fraud = ring_cases(devices, cj, cc_dev)
     linked = fraud.join(cc_connected, "case_id").select("alert_id", "card")

@@ -114,13 +114,16 @@ def window_sums(probes: DataFrame, data: DataFrame, key: list[str], measures: di
     ok = F.lit(True)
     for k in key:
         ok = ok & F.col(k).isNotNull()
-    ev = data.where(ok).select(*key, F.col("ts_us").alias("t"), *[m.alias(n) for n, m in measures.items()])
+    rows = data.where(ok)
+    ev = rows.select(*key, F.col("ts_us").alias("t"), *[m.alias(n) for n, m in measures.items()])
+    # checked on the key alone, so that questions with other measures reuse the answer
+    slices = find_slices(rows.select(*key, "ts_us"), key)
     extra = [i for i in ids if i not in key]
     pr = probes.where(ok).select(*key, *extra, F.explode(F.array(
         F.struct((F.col("lo_us") - 1).alias("t"), F.lit(-1).alias("sign")),
         F.struct(F.col("hi_us").alias("t"), F.lit(1).alias("sign")))).alias("_p"))
     pr = pr.select(*key, *extra, F.col("_p.t").alias("t"), F.col("_p.sign").alias("sign"))
-    return running_at(ev, pr, key, list(measures), ids)
+    return running_at(ev, pr, key, list(measures), ids, slices=slices, auto=False)
 
 
 def prior_time(df: DataFrame, key: list[str], t: str = "ts_us") -> DataFrame:

@@ -1,4 +1,4 @@
 """Registered queries; importing the modules fills the registry."""
 
-from fraudlake.plans import base_queries, graph_queries, pit_queries  # noqa: F401
+from fraudlake.plans import base_queries, graph_queries, pit_queries, retrieval_queries  # noqa: F401
 from fraudlake.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fraudlake.cols import DAY_US
-from fraudlake.session import tune
+from fraudlake.operators import keys, pit, tables
+from fraudlake.session import cut, tune
 
 TXN = """
 SELECT event_id AS txn_id,
@@ -111,8 +111,15 @@ def _to_spark(sql: str) -> str:
     return sql
 
 
+_STORE: dict[tuple, DataFrame] = {}
+
+
 class Fixture:
-    """Lazily defined domain tables for one data folder."""
+    """Domain tables for one data folder: transactions as a view, derived tables written once.
+
+    The derived tables (cases, alerts with context, device use and case edges) are the stored
+    graph and feature tables of a real deployment; every session builds its own from the input.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = tune(spark), sf_dir
@@ -120,6 +127,12 @@ class Fixture:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def stored(self, name: str, make) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _STORE:
+            _STORE[key] = cut(make())
+        return _STORE[key]
+
     def _sql(self, sql: str, **tables: DataFrame) -> DataFrame:
         for n, df in tables.items():
             sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}")
@@ -129,39 +142,38 @@ class Fixture:
     def txn(self) -> DataFrame:
         return self._sql(TXN, events=self.raw("events"))
 
-    @cached_property
+    @property
     def cases(self) -> DataFrame:
-        return self._sql(CASE, txn=self.txn)
+        return self.stored("cases", lambda: self._sql(CASE, txn=self.txn))
 
-    @cached_property
+    @property
     def alerts(self) -> DataFrame:
-        return self._sql(ALERT, txn=self.txn)
+        return self.stored("alerts", lambda: self._sql(ALERT, txn=self.txn))
 
-    @cached_property
+    @property
     def predictions(self) -> DataFrame:
         return self._sql(PREDICTION, labels=self.raw("labels"))
 
-    @cached_property
+    @property
     def flags(self) -> DataFrame:
-        from fraudlake.operators.keys import alert_context
-        return alert_context(self.alerts, self.txn)
+        return self.stored("flags", lambda: keys.alert_context(self.alerts, self.txn))
 
-    @cached_property
+    @property
     def cj(self) -> DataFrame:
-        from fraudlake.operators.keys import case_join
-        return case_join(self.cases, self.txn)
+        return self.stored("cj", lambda: keys.case_join(self.cases, self.txn))
 
-    @cached_property
+    @property
     def fraud_ids(self) -> DataFrame:
-        from fraudlake.operators.keys import explode_ids
-        return explode_ids(self.cases.where(F.col("outcome") == "confirmed_fraud")).select("txn_id").distinct()
+        return self.stored("fraud_ids", lambda: keys.fraud_ids(self.cases))
 
-    @cached_property
+    @property
     def cleared_ids(self) -> DataFrame:
-        from fraudlake.operators.keys import explode_ids
-        return explode_ids(self.cases.where(F.col("outcome") == "cleared")).select("txn_id").distinct()
+        return self.stored("cleared_ids", lambda: keys.fraud_ids(self.cases, "cleared"))
 
-    @cached_property
+    @property
     def known(self) -> DataFrame:
-        from fraudlake.operators.tables import known_device
-        return known_device(self.txn)
+        return self.stored("known", lambda: tables.known_device(self.txn))
+
+    @property
+    def features(self) -> DataFrame:
+        return self.stored("features", lambda: pit.pit_features(self.txn, self.cj))

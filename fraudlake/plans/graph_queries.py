@@ -16,19 +16,19 @@ LO, HI = 1_704_412_800_000_000, 1_706_140_800_000_000
 
 
 def cc_dev(f):
-    return tables.e_cc_on_device(f.cases, f.txn)
+    return f.stored("cc_dev", lambda: tables.e_cc_on_device(f.cases, f.txn))
 
 
 def cc_card(f):
-    return tables.e_cc_on_card(f.cases, f.txn)
+    return f.stored("cc_card", lambda: tables.e_cc_on_card(f.cases, f.txn))
 
 
 def cc_conn(f):
-    return tables.e_cc_connected(linked(f), keys.card_map(f.txn))
+    return f.stored("cc_conn", lambda: tables.e_cc_connected(linked(f), keys.card_map(f.txn)))
 
 
 def home(f):
-    return baseline.home_region(f.txn)
+    return f.stored("home", lambda: baseline.home_region(f.txn))
 
 
 def verdicts(f):
@@ -393,6 +393,10 @@ CONN = {**ring_ctes(100), "risk": RISK_SQL, "peers": PEERS_SQL, "regpeer": REGPE
 
 
 def connected(f):
+    return f.stored("connected", lambda: _connected(f))
+
+
+def _connected(f):
     risk = rings.ring_risk_cards(f.flags, f.txn, f.known, f.cj, cc_dev(f), cc_conn(f), cc_card(f))
     return rings.connected_cards(f.flags, risk, tables.device_degree(f.known), neighbors.device_peers(f.flags, f.txn, known=f.known),
                                  rings.region_peers(f.flags, f.txn))
@@ -410,7 +414,7 @@ FROM flag f LEFT JOIN (SELECT alert_id, count(*) AS n FROM conn GROUP BY 1) c US
 LEFT JOIN reg r USING (alert_id) LEFT JOIN rec m USING (alert_id)
 """, (*RV, "cj"), {**CONN, **TIERS, "reg": cluster_sql("addr1"), "rec": cluster_sql("r_email")})
 def _(f):
-    return rings.shared_element(f.flags, connected(f), neighbors.all_device_tiers(f.flags, f.txn, f.cj, f.known),
+    return rings.shared_element(f.flags, connected(f), tier_table(f),
                                 neighbors.region_cluster(f.flags, f.txn), neighbors.recipient_cluster(f.flags, f.txn))
 
 
@@ -449,8 +453,16 @@ EPI = {**ring_ctes(100), "v": VERDICT_SQL,
        "sizes": "SELECT alert_id, count(*) AS n_cards FROM ring_cards GROUP BY 1", "epi": EPI_SQL}
 
 
+def ring_table(f):
+    return f.stored("rings", lambda: rings.ring_components(f.flags, f.txn, f.known, f.cj, cc_dev(f), cc_conn(f), cc_card(f)))
+
+
+def tier_table(f):
+    return f.stored("tiers", lambda: neighbors.all_device_tiers(f.flags, f.txn, f.cj, f.known))
+
+
 def episode_rows(f):
-    ring = rings.ring_components(f.flags, f.txn, f.known, f.cj, cc_dev(f), cc_conn(f), cc_card(f))
+    ring = ring_table(f)
     decided = verdicts(f).join(ring.select("alert_id", F.col("n_cards").alias("ring_cards")), "alert_id")
     return rings.episode_members(decided, f.txn, neighbors.testing_members(f.flags, f.txn))
 
@@ -461,9 +473,10 @@ def _(f):
 
 
 @query("g28_episode_bounds", """
-SELECT f.alert_id, coalesce(n_before, 0) AS n_before, coalesce(n_after, 0) AS n_after, coalesce(exposure_usd, 0) AS exposure_usd, first_txn_id, first_date, last_date
+SELECT f.alert_id, coalesce(n_before, 0) AS n_before, coalesce(n_after, 0) AS n_after, coalesce(exposure_usd, 0) AS exposure_usd, CAST(first_txn_id AS VARCHAR) AS first_txn_id, first_date, last_date
 FROM flag f LEFT JOIN (SELECT alert_id, count(*) FILTER (WHERE base) AS n_before, count(*) AS n_after, round(sum(CAST(abs(amt) AS DECIMAL(28,6)))::DOUBLE, 2) AS exposure_usd,
   arg_min(txn_id, (ts_us, txn_id)) AS first_txn_id, strftime(min(ts), '%Y-%m-%d') AS first_date, strftime(max(ts), '%Y-%m-%d') AS last_date FROM epi JOIN txn USING (txn_id) GROUP BY 1) e USING (alert_id)
 """, RV, EPI)
 def _(f):
-    return rings.episodes(f.flags, episode_rows(f), f.txn)
+    out = rings.episodes(f.flags, episode_rows(f), f.txn)
+    return out.withColumn("first_txn_id", F.col("first_txn_id").cast("string"))
