@@ -113,36 +113,42 @@ def _has(actions: Column, name: str) -> Column:
     return F.exists(actions, lambda a: a["action"] == name)
 
 
+def _guards(block_all: bool) -> Column:
+    """Actions a fraud verdict guarantees, in order; each is added unless ``unless`` is in the list."""
+    fraud = (F.col("verdict") == "fraud") & (F.col("rule") != "recurring")
+    pat = F.coalesce(F.col("pattern"), F.lit("none"))
+    rows = [
+        ("BLOCK_CARD", "R2: a fraud verdict blocks the card", fraud, "BLOCK_CARD"),
+        ("FILE_REPORT", "§3a: fraud verdict and exposure above 1,000", fraud & (F.col("exposure") > REPORT_ABOVE), "FILE_REPORT"),
+        ("MONITOR_CONNECTED_CARDS", "R6: linked cards", fraud & (F.col("shared_element").isNotNull() | pat.isin("undocumented", "card_testing")), "MONITOR_CONNECTED_CARDS"),
+        ("STEP_UP_AUTH", "R5: card testing", fraud & (pat == "card_testing"), "STEP_UP_AUTH"),
+    ]
+    if block_all:
+        rows.append(("BLOCK_ALL_CARDS", "R10: fraud on two cards of the customer", block_all_gate(), "CLOSE_NO_FRAUD"))
+    return F.array(*[F.struct(F.lit(n).alias("action"), F.lit(r).alias("reason"), F.coalesce(c, F.lit(False)).alias("on"), F.lit(u).alias("unless")) for n, r, c, u in rows])
+
+
+def block_all_gate() -> Column:
+    """Two cards with fraud, a fraud verdict and a named pattern; a closed case still excludes it."""
+    return (F.col("verdict") == "fraud") & flag("two_cards") & (F.coalesce(F.col("pattern"), F.lit("none")) != "none")
+
+
 def decide(df: DataFrame, block_all: bool = True) -> DataFrame:
     """Add ``rule``, ``actions`` (ordered, with route and reason), ``case_open``, ``report`` and ``escalate``."""
-    ladder = _ladder()
-    d = df.withColumn("rule", rule())
     acts = None
-    for name, rows in ladder.items():
+    for name, rows in _ladder().items():
         arr = F.array_compact(F.array(*rows))
         acts = F.when(F.col("rule") == name, arr) if acts is None else acts.when(F.col("rule") == name, arr)
-    d = d.withColumn("_a", acts)
-    # guarantees of a fraud verdict, added in this order unless already present
-    fraud = (F.col("verdict") == "fraud") & (F.col("rule") != "recurring")
-    pat = F.coalesce(F.col("pattern"), F.lit("none"))
-    for name, reason, cond in (
-            ("BLOCK_CARD", "R2: a fraud verdict blocks the card", F.lit(True)),
-            ("FILE_REPORT", "§3a: fraud verdict and exposure above 1,000", F.col("exposure") > REPORT_ABOVE),
-            ("MONITOR_CONNECTED_CARDS", "R6: linked cards", F.col("shared_element").isNotNull() | pat.isin("undocumented", "card_testing")),
-            ("STEP_UP_AUTH", "R5: card testing", pat == "card_testing")):
-        d = d.withColumn("_a", F.when(fraud & cond & ~_has(F.col("_a"), name), F.concat("_a", F.array(_act(name, reason)))).otherwise(F.col("_a")))
-    d = d.withColumn("report", _has(F.col("_a"), "FILE_REPORT"))
-    if block_all:
-        d = d.withColumn("_a", F.when(block_all_gate(F.col("_a")), F.concat("_a", F.array(_act("BLOCK_ALL_CARDS", "R10: fraud on two cards of the customer")))).otherwise(F.col("_a")))
+    add = lambda acc, g: F.when(
+        g["on"] & ~F.exists(acc, lambda a: a["action"] == g["unless"]),
+        F.concat(acc, F.array(F.struct(g["action"].alias("action"), g["reason"].alias("reason"))))).otherwise(acc)
+    routed = lambda acc: F.transform(acc, lambda a: F.struct(
+        a["action"].alias("action"), route(a["action"], F.col("exposure")).alias("route"), a["reason"].alias("reason")))
+    d = df.withColumn("rule", rule())
+    # one expression that names the ladder once: a chain of columns would repeat it in every later filter
+    d = d.withColumn("actions", F.aggregate(_guards(block_all), acts, add, routed))
     d = d.withColumn("case_open", F.when(F.col("rule").isin("legitimate", "confirmed", "no_reply", "testing", "single_signal", "watch"), case_required()).otherwise(True))
-    d = d.withColumn("escalate", _has(F.col("_a"), "ESCALATE_TO_ANALYST"))
-    routed = F.transform("_a", lambda a: F.struct(a["action"].alias("action"), route(a["action"], F.col("exposure")).alias("route"), a["reason"].alias("reason")))
-    return d.withColumn("actions", routed).drop("_a")
-
-
-def block_all_gate(actions: Column) -> Column:
-    """Two cards with fraud, a fraud verdict, a named pattern and nothing closed."""
-    return ((F.col("verdict") == "fraud") & flag("two_cards") & (F.coalesce(F.col("pattern"), F.lit("none")) != "none") & ~_has(actions, "CLOSE_NO_FRAUD"))
+    return d.withColumn("report", _has(F.col("actions"), "FILE_REPORT")).withColumn("escalate", _has(F.col("actions"), "ESCALATE_TO_ANALYST"))
 
 
 def reroute(actions: Column, exposure: Column) -> Column:

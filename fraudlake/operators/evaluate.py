@@ -68,7 +68,7 @@ def verdict_accuracy(p: DataFrame, group: list[str] | None = None) -> DataFrame:
 def confusion(p: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """True by predicted pattern; the columns are the fixed pattern list."""
     labels = labels or PATTERNS
-    return p.groupBy("gt_pattern").pivot("pattern", labels).agg(F.count("*")).na.fill(0, labels)
+    return p.groupBy("gt_pattern").pivot("pattern", labels).agg(F.count(F.lit(1))).na.fill(0, labels)
 
 
 def binary_agreement(p: DataFrame, truth: str = "gt_report", pred: str = "report", group: list[str] | None = None) -> DataFrame:

@@ -333,7 +333,7 @@ def _(f):
     return r6(evaluate.exposure_error(pv(f)), "mae", "max_abs_err")
 
 
-@query("b09_jaccard", """SELECT count(*) AS n, round(avg(1.0 / n_ids), 6) AS before, round(avg(2.0 / greatest(n_ids, 2)), 6) AS after FROM (
+@query("b09_jaccard", """SELECT count(*) AS n, round(avg(1.0 / n_ids), 6) AS before, round(avg(CASE WHEN n_ids = 1 THEN 0.5 ELSE 2.0 / n_ids END), 6) AS after FROM (
  SELECT len(string_split(txn_ids, '|')) AS n_ids FROM closed_case)""", C)
 def _(f):
     ids = F.split("txn_ids", r"\|")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import functions as F
 
 from fraudlake.cols import DAY_US, HOUR_US
@@ -264,6 +266,10 @@ LOGIT = "-0.25 + " + " + ".join(f'"{n}" * {COEF[n]}' for n in model.FEATURES)
 M16 = {**SIG, "ft": M13_SQL, "sc": f"SELECT *, CAST({LOGIT} AS DOUBLE) AS logit FROM ft"}
 
 
+def half_up(x: float) -> str:
+    return f"{Decimal(str(x)).quantize(Decimal('0.01'), ROUND_HALF_UP):+}"
+
+
 def scored(f):
     return model.score_alerts(model.alert_features(signals(f)), COEF)
 
@@ -275,7 +281,7 @@ def _(f):
 
 @query("m21_model_evidence", " UNION ALL ".join(
     f"SELECT alert_id, 'alert_model:{n}' AS ref, '{model.CHANNEL.get(n, 'history')}' AS channel, CAST({COEF[n]} AS DOUBLE) AS log_lr, {str(abs(COEF[n]) >= 0.5).upper()} AS published, "
-    f"'{COEF[n]:+.2f}' AS weight_text FROM sc WHERE \"{n}\" = 1" for n in model.FEATURES if abs(COEF[n]) >= 0.05), SV, M16)
+    f"'{half_up(COEF[n])}' AS weight_text FROM sc WHERE \"{n}\" = 1" for n in model.FEATURES if abs(COEF[n]) >= 0.05), SV, M16)
 def _(f):
     ev = model.model_evidence(scored(f))
     return ev.select("alert_id", "ref", "channel", "log_lr", "published", F.regexp_extract("claim", r"weight ([+-][0-9.]+)\)", 1).alias("weight_text"))
