@@ -18,6 +18,8 @@ def v_customer(txn: DataFrame) -> DataFrame:
 
 def v_card(txn: DataFrame, parts: list[str]) -> DataFrame:
     cmap = keys.card_map(txn)
+    if not parts:
+        return cmap.select("card", "card_id", "customer_id", "first_us", "last_us", "n")
     extra = txn.groupBy("card").agg(*[F.min(p).alias(p) for p in parts])
     return cmap.join(extra, "card").select("card", "card_id", "customer_id", *parts, "first_us", "last_us", "n")
 

@@ -72,7 +72,7 @@ def write_graph(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -
         df.write.mode("overwrite").option("header", True).format(fmt).save(f"{path}/{name}")
 
 
-def read_graph(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+def read_graph_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
