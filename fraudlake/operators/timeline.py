@@ -31,6 +31,11 @@ def heavy_keys(df: DataFrame, key: list[str], rows: int | None = None) -> DataFr
     """Keys with more than ``rows`` rows and their counts, materialised; None if there are none."""
     rows = rows or max_rows(df.sparkSession)
 
+    # a table that fits one task has no heavy key, whatever the key is
+    total = _memo(df, ("count",), df.count)
+    if total <= rows:
+        return None
+
     def make():
         heavy = df.groupBy(*key).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > rows)
         return None if heavy.isEmpty() else cut(heavy)
@@ -128,9 +133,10 @@ def window_sums(probes: DataFrame, data: DataFrame, key: list[str], measures: di
 
 def prior_time(df: DataFrame, key: list[str], t: str = "ts_us") -> DataFrame:
     """Distinct ``(key, t)`` rows with the key's previous time in ``prev_us`` (NULL for the first)."""
-    d = df.select(*key, F.col(t).alias("ts_us")).distinct()
-    slices = find_slices(d, key)
-    d = add_slice(d, slices, key)
+    rows = df.select(*key, F.col(t).alias("ts_us"))
+    # checked before the distinct: cheaper, and at least as careful
+    slices = find_slices(rows, key)
+    d = add_slice(rows.distinct(), slices, key)
     part = [*key, "_slice"] if slices is not None else key
     d = d.withColumn("prev_us", F.lag("ts_us").over(Window.partitionBy(*part).orderBy("ts_us")))
     if slices is not None:
@@ -159,7 +165,8 @@ def window_distinct(probes: DataFrame, data: DataFrame, key: list[str], item: st
     for k in key:
         okk = okk & F.col(k).isNotNull()
     pr = probes.where(okk).select(*key, *ids, F.col("lo_us").alias("t"), F.lit(1).alias("sign"))
-    return running_at(ev, pr, key, [out], ids)
+    slices = find_slices(data.where(okk).select(*key, "ts_us"), key)
+    return running_at(ev, pr, key, [out], ids, slices=slices, auto=False)
 
 
 def window_members(probes: DataFrame, data: DataFrame, key: list[str], width_us: int,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 
 from fraudlake.cols import DAY_US
@@ -115,7 +113,7 @@ _STORE: dict[tuple, DataFrame] = {}
 
 
 class Fixture:
-    """Domain tables for one data folder: transactions as a view, derived tables written once.
+    """Domain tables for one data folder: ingested transactions and derived tables, each written once.
 
     The derived tables (cases, alerts with context, device use and case edges) are the stored
     graph and feature tables of a real deployment; every session builds its own from the input.
@@ -138,9 +136,9 @@ class Fixture:
             sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}")
         return self.spark.sql(_to_spark(sql), **tables)
 
-    @cached_property
+    @property
     def txn(self) -> DataFrame:
-        return self._sql(TXN, events=self.raw("events"))
+        return self.stored("txn", lambda: self._sql(TXN, events=self.raw("events")))
 
     @property
     def cases(self) -> DataFrame:
