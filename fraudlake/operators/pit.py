@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fraudlake.cols import DAY_US, HOUR_US, SEC_US, is_proxied
 from fraudlake.operators.rolling import rolling_median
 from fraudlake.operators.timeline import (_carry, add_slice, find_slices, heavy_keys, window_sums)
-from fraudlake.session import max_rows, small
+from fraudlake.session import cut, max_rows, small
 
 ORDER = ["ts_us", "txn_id"]
 RAW = ["n_prior", "prev_txn_id", "gap_secs", "n_prior_90d", "n_online_48h", "n_online_24h", "n_in_person_24h",
@@ -70,6 +70,7 @@ def _card_windows(txn: DataFrame) -> DataFrame:
 def _card_slices(txn: DataFrame, slices: DataFrame) -> DataFrame:
     """The same columns for cards too large for one task."""
     key = ["card"]
+    txn = cut(txn)
     df = add_slice(txn, slices, key)
     w = Window.partitionBy("card", "_slice").orderBy(*ORDER)
     prior = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -93,7 +94,7 @@ def _card_slices(txn: DataFrame, slices: DataFrame) -> DataFrame:
             .withColumn("_n", F.count("*").over(wr) + F.coalesce("_c_n", F.lit(0)))
             .withColumn("_f", F.least(F.min("_rn").over(wr), F.col("_c_f")))
             .select("txn_id", F.struct("_n", (-F.col("_f")).alias("f"), "addr1").alias("_cand")))
-    df = df.join(seen, "txn_id", "left")
+    df = cut(df.join(seen, "txn_id", "left"))
     cb = _carry(df, key, {"best": F.max("_cand")}, {"best": "max"})
     df = df.join(small(cb), [*key, "_slice"], "left")
     df = df.withColumn("home_addr1", _home_pick(F.greatest(F.max("_cand").over(prior), F.col("_c_best"))))
@@ -121,7 +122,7 @@ def pit_base(txn: DataFrame) -> DataFrame:
     keys = small(giant.select("card"))
     many = txn.join(keys, "card", "left_semi")
     slices = find_slices(many, ["card"])
-    return _card_windows(txn.join(keys, "card", "left_anti")).unionByName(_card_slices(many, slices))
+    return _card_windows(txn.join(keys, "card", "left_anti")).unionByName(cut(_card_slices(many, slices)))
 
 
 def pit_counts(txn: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fraudlake.cols import SEC_US
 from fraudlake.operators.timeline import add_slice, find_slices, heavy_keys
-from fraudlake.session import max_rows, small
+from fraudlake.session import cut, max_rows, small
 
 NATIVE_ROWS_CONF = "fraudlake.nativeMedianRows"
 
@@ -101,8 +101,10 @@ def rolling_median(txn: DataFrame, value: str, frame_us: int, out: str) -> DataF
     busy = heavy_keys(txn, ["card"], rows)
     if busy is None:
         return native(txn)
+    # three readers follow: the input, with all windows before it, is computed once
+    txn = cut(txn)
     keys = small(busy.select("card"))
     few, many = txn.join(keys, "card", "left_anti"), txn.join(keys, "card", "left_semi")
-    med = _swept(many.select("card", "txn_id", "ts_us", value), value, frame_us)
+    med = cut(_swept(many.select("card", "txn_id", "ts_us", value), value, frame_us))
     many = many.join(med.withColumnRenamed("med", out), "txn_id", "left")
     return native(few).unionByName(many)
