@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fraudlake.llm import bk_dedup
-from fraudlake.llm.common import table
+from fraudlake.llm import bk_dedup, quality
+from fraudlake.llm.common import held_out, table
 
 
 def op5_simhash_bk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +16,15 @@ def op5_simhash_bk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bk_dedup.near_groups(table(spark, sf_dir), words=3, bits=64, radius=3)
 
 
+def op10_quality_fourier_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labelled documents that are not held out."""
+    docs, labels = table(spark, sf_dir), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~held_out(4, 2)))
+    return (quality.score(docs.select("doc_id", "text"), model)
+            .select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_simhash_bk_dedup,)
+    f.__name__: f for f in (op5_simhash_bk_dedup, op10_quality_fourier_ridge)
 }
 ORACLES: dict[str, str] = {}
