@@ -67,19 +67,23 @@ def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
     return np.frombuffer(out, ">u8").astype(np.uint64)
 
 
-def word_codes(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
-    """A 64-bit hash of every word; ``cache`` is emptied when it has grown large."""
-    if len(cache) > 500_000:
-        cache.clear()
-    digest = xxhash.xxh64_intdigest
-    get = cache.get
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = get(w)
-        if h is None:
-            h = cache[w] = digest(w, 42)
-        out[i] = h
-    return out
+def words_lower(text: str | None) -> list[bytes]:
+    """Words with A-Z lower-cased; other letters stay."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+class Codes(dict):
+    """A 64-bit hash of every word, kept for words seen before."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word, 42)
+        self[word] = h = h - (1 << 64) if h >> 63 else h
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > 500_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

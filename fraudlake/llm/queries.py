@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlake.llm import bk_dedup, quality
+from fraudlake.llm import bk_dedup, decontaminate, packing, quality
 from fraudlake.llm.common import held_out, table
 
 
@@ -24,7 +24,17 @@ def op10_quality_fourier_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")))
 
 
+def op9_benchmark_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the best window for each item."""
+    return decontaminate.matches(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 256 to 4,096 words."""
+    return packing.pack_documents(table(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_simhash_bk_dedup, op10_quality_fourier_ridge)
+    f.__name__: f for f in (op1_best_fit_packing, op5_simhash_bk_dedup, op9_benchmark_simhash_windows, op10_quality_fourier_ridge)
 }
 ORACLES: dict[str, str] = {}
