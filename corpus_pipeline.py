@@ -5,20 +5,48 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fraudlake.llm import bk_dedup
+from fraudlake.llm import bk_dedup, decontaminate, packing, quality, secrets
 from fraudlake.llm.common import ready, table
 from fraudlake.session import ensure_checkpoint_dir
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of 0.7 or more, learnt from the labels of the documents of this stage."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, "_quality").where(F.col("_quality") >= 0.7).drop("_quality")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, 256 bits, similarity of about 0.8 or more."""
     ready(spark)
     return bk_dedup.keep_one(docs, words=5, bits=256, radius=42, n_keys=6)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mask."""
+    ready(spark)
+    return secrets.redact(docs, secrets.fit(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces of training sequences."""
+    ready(spark)
+    return packing.pack_documents(docs)
+
+
 STAGES = [
+    ("quality classifier", good_quality),
     ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminated),
+    ("secret scans", without_secrets),
+    ("best-fit packing", packed),
 ]
 # Hash families and trained models have no SQL form; tests compare each stage with a brute-force version.
 ORACLE_SQL = None

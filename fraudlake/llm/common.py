@@ -138,7 +138,7 @@ def minimise(fun, x: np.ndarray, rounds: int = 30, memory: int = 8, tol: float =
     """L-BFGS with step halving; ``fun`` returns value and gradient."""
     f, g = fun(x)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(rounds):
+    for k in range(rounds):
         q, alphas = g.copy(), []
         for s, y in reversed(steps):
             a = s @ q / (s @ y)
@@ -148,7 +148,7 @@ def minimise(fun, x: np.ndarray, rounds: int = 30, memory: int = 8, tol: float =
             s, y = steps[-1]
             q *= s @ y / (y @ y)
         else:
-            q /= max(np.abs(g).sum(), 1.0)
+            q /= max(np.abs(g).max(), 1e-9)
         for (s, y), a in zip(steps, reversed(alphas)):
             q += s * (a - y @ q / (s @ y))
         t, slope = 1.0, -(g @ q)
@@ -163,7 +163,7 @@ def minimise(fun, x: np.ndarray, rounds: int = 30, memory: int = 8, tol: float =
         s, y = new - x, gn - g
         if s @ y > 1e-12:
             steps = [*steps[-memory + 1:], (s, y)]
-        done = abs(f - fn) <= tol * max(abs(f), 1e-9)
+        done = k > 3 and abs(f - fn) <= tol * max(abs(f), 1e-9)
         x, f, g = new, fn, gn
         if done:
             break

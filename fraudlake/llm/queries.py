@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlake.llm import bk_dedup, decontaminate, packing, quality
+from fraudlake.llm import bk_dedup, decontaminate, packing, quality, secrets
 from fraudlake.llm.common import held_out, table
 
 
+def op3_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of every document and those the random field adds."""
+    docs = table(spark, sf_dir)
+    return secrets.find(docs, secrets.fit(docs))
+
+
 def op5_simhash_bk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 64-bit fingerprints of three-word shingles link at three bits or fewer."""
     return bk_dedup.near_groups(table(spark, sf_dir), words=3, bits=64, radius=3)
@@ -35,6 +41,6 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op5_simhash_bk_dedup, op9_benchmark_simhash_windows, op10_quality_fourier_ridge)
+    f.__name__: f for f in (op1_best_fit_packing, op3_secret_field, op5_simhash_bk_dedup, op9_benchmark_simhash_windows, op10_quality_fourier_ridge)
 }
 ORACLES: dict[str, str] = {}
