@@ -66,9 +66,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def shape(token: str) -> int:
-    """Class of a token: length step, mix of letters and digits, changes between kinds of characters, key word."""
+    """Class of a token: sign, address, link; otherwise length step, mix of letters and digits, changes between kinds of characters, key word."""
     if token in ":=":
         return N_OWN - 1
+    if "@" in token:
+        return N_OWN - 3
+    if "//" in token or token.startswith("www."):
+        return N_OWN - 4
     n = len(token)
     digits = sum(map(str.isdigit, token))
     step = 0 if n < 4 else 1 if n < 8 else 2 if n < 12 else 3 if n < 16 else 4 if n < 24 else 5 if n < 36 else 6
@@ -210,7 +214,7 @@ def windows(text: str | None, shapes: Shapes, rng_seed: int):
     pad = np.full(REACH + 2, N_OWN - 2)
     cp, yp = np.concatenate((pad, c, pad)), np.concatenate((np.zeros(REACH + 2, np.int64), y, np.zeros(REACH + 2, np.int64)))
     # centres: every taught begin, tokens with digits (hard outsiders) and some of the rest
-    hard = np.flatnonzero((y == O) & (c < N_OWN - 4) & (c // 6 % 4 > 0))[:8]
+    hard = np.flatnonzero((y == O) & (c < N_OWN - 2) & ((c >= N_OWN - 4) | (c // 6 % 4 > 0)))[:8]
     begins = np.flatnonzero(y == B).tolist()
     for centre, redrawn in [*((k, r) for k in begins for r in (False, True, True)), *((k, False) for k in hard.tolist()),
                             *((k, False) for k in rng.integers(0, n, 2).tolist())]:
