@@ -141,35 +141,37 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def block_keys(reps: DataFrame, radius: int, max_tree: int = MAX_TREE, levels: int = 3) -> DataFrame:
-    """``reps(id, f0)`` once for each block of bits, with the shard ``key``; overfull keys are cut by further blocks."""
-    def deal(df, used: int, free: int, tag: int):
-        masks = [m for m in split_mask(free, radius + 1) if m]
-        keys = F.array(*[F.struct(F.lit(signed(used | m)).alias("mask"),
-                                  F.xxhash64(F.lit(tag), F.lit(i), F.col("f0").bitwiseAND(signed(used | m))).alias("key"))
-                         for i, m in enumerate(masks)])
-        return df.select("id", "f0", F.explode(keys).alias("k")).select("id", "f0", "k.mask", "k.key"), masks
-
-    full = (1 << 64) - 1
-    todo, masks = deal(reps, 0, full, 0)
-    out, state = None, [(0, full, masks)]
-    for level in range(1, levels + 1):
+def block_keys(reps: DataFrame, radius: int, max_tree: int = MAX_TREE, levels: int = 3, order: bool = False) -> DataFrame:
+    """``reps(id, f0)`` once for each block of bits, with the shard ``key``; overfull keys are cut by further blocks.
+
+    With ``order``, ``before`` has the blocks that come before the row's own: a pair that
+    differs in all of them has not met under an earlier key.
+    """
+    def deal(df, used: int, free: int, before: list[int], tag: int):
+        blocks = [(used | m, free & ~m, before + parts[:i]) for parts in [[p for p in split_mask(free, radius + 1) if p]] for i, m in enumerate(parts)]
+        keys = F.array(*[F.struct(F.lit(tag + i).alias("block"), F.xxhash64(F.lit(tag + i), F.col("f0").bitwiseAND(signed(u))).alias("key"),
+                                  F.array(*[F.lit(signed(x)) for x in prior]).cast("array<long>").alias("before"))
+                         for i, (u, _, prior) in enumerate(blocks)])
+        return df.select("id", "f0", F.explode(keys).alias("k")).select("id", "f0", "k.*"), {tag + i: x for i, x in enumerate(blocks)}
+
+    todo, state = deal(reps, 0, (1 << 64) - 1, [], 0)
+    out = None
+    for _ in range(levels):
         todo = cut(todo)
-        hot = cut(todo.groupBy("mask", "key").count().where(F.col("count") > max_tree).select("mask", "key"))
+        hot = cut(todo.groupBy("block", "key").count().where(F.col("count") > max_tree).select("block", "key"))
         if hot.isEmpty():
             break
-        cold = todo.join(hot, ["mask", "key"], "left_anti")
+        cold = todo.join(hot, ["block", "key"], "left_anti")
         out = cold if out is None else out.unionByName(cold)
-        full_keys, todo, nxt = todo.join(hot, ["mask", "key"], "left_semi"), None, []
-        for n, (used, free, masks) in enumerate(state):
-            for m in masks:
-                sub, sm = deal(full_keys.where(F.col("mask") == signed(used | m)).select("id", "f0"), used | m, free & ~m,
-                               level * 100_000 + len(nxt))
-                nxt.append((used | m, free & ~m, sm))
-                todo = sub if todo is None else todo.unionByName(sub)
+        full, todo, nxt = cut(todo.join(hot, ["block", "key"], "left_semi")), None, {}
+        for block, (used, free, before) in state.items():
+            # rows of one overfull key only meet each other: its hash is part of the new key
+            sub, more = deal(full.where(F.col("block") == block).select("id", "f0"), used, free, before, max(state) + 1 + len(nxt))
+            nxt |= more
+            todo = sub if todo is None else todo.unionByName(sub)
         state = nxt
     out = todo if out is None else out.unionByName(todo)
-    return out.select("id", "f0", "key")
+    return out.select("id", "f0", "key", *(["before"] if order else []))
 
 
 def minhash_keys(reps: DataFrame) -> DataFrame:

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlake.llm import bk_dedup, decontaminate, packing, quality, secrets
+from fraudlake.llm import bk_dedup, decontaminate, fingerprint, packing, quality, secrets, sharding, substring_dedup
 from fraudlake.llm.common import held_out, table
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of repeats of 20 words and more that start earlier."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir)).drop("kept")
+
+
 def op3_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans of every document and those the random field adds."""
     docs = table(spark, sf_dir)
@@ -30,6 +35,16 @@ def op10_quality_fourier_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")))
 
 
+def op7_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.place(table(spark, sf_dir)).select("doc_id", "slot", "shard")
+
+
+def op8_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how many others lie within three bits."""
+    return fingerprint.fingerprint_documents(table(spark, sf_dir))
+
+
 def op9_benchmark_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the best window for each item."""
     return decontaminate.matches(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
@@ -40,7 +55,9 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_secret_field, op5_simhash_bk_dedup, op9_benchmark_simhash_windows, op10_quality_fourier_ridge)
-}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_substring_dedup, op3_secret_field, op5_simhash_bk_dedup, op7_maglev_sharding,
+    op8_weighted_fingerprints, op9_benchmark_simhash_windows, op10_quality_fourier_ridge,
+)}
+# The others rest on trained models or on hashes that the SQL engine lacks; tests compare them with brute force.
+ORACLES: dict[str, str] = {"op2_substring_dedup": substring_dedup.ORACLE, "op7_maglev_sharding": sharding.ORACLE}
