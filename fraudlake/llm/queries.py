@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlake.llm import bk_dedup, decontaminate, fingerprint, packing, quality, secrets, sharding, substring_dedup
+from fraudlake.llm import bk_dedup, decontaminate, fingerprint, language, packing, quality, secrets, sharding, substring_dedup, toxicity
 from fraudlake.llm.common import held_out, table
 
 
@@ -22,6 +22,13 @@ def op3_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(docs, secrets.fit(docs))
 
 
+def op4_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the documents that are not held out."""
+    docs = table(spark, sf_dir)
+    model = language.fit(docs.select("doc_id", "text", "lang"), ~held_out(4, 2))
+    return language.predict(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_simhash_bk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 64-bit fingerprints of three-word shingles link at three bits or fewer."""
     return bk_dedup.near_groups(table(spark, sf_dir), words=3, bits=64, radius=3)
@@ -35,6 +42,14 @@ def op10_quality_fourier_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")))
 
 
+def op6_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labelled documents that are not held out."""
+    docs, labels = table(spark, sf_dir), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out(5, 0)))
+    return (toxicity.score(docs, model)
+            .select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
+
+
 def op7_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document."""
     return sharding.place(table(spark, sf_dir)).select("doc_id", "slot", "shard")
@@ -56,7 +71,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_substring_dedup, op3_secret_field, op5_simhash_bk_dedup, op7_maglev_sharding,
+    op1_best_fit_packing, op2_substring_dedup, op3_secret_field, op4_ftrl_language, op5_simhash_bk_dedup,
+    op6_counterfactual_toxicity, op7_maglev_sharding,
     op8_weighted_fingerprints, op9_benchmark_simhash_windows, op10_quality_fourier_ridge,
 )}
 # The others rest on trained models or on hashes that the SQL engine lacks; tests compare them with brute force.
