@@ -96,8 +96,12 @@ class Forest:
         order = np.argsort(code, kind="stable")
         self.child, self.code = child[order], code[order]
 
-    def search(self, radius: int, query: np.ndarray, block: int = 4096):
-        """Pairs (query row, other row) within the radius, block by block. ``query`` are rows of the forest."""
+    def search(self, radius: int, query: np.ndarray, at_once: int = 1_000_000):
+        """Pairs (query row, other row) within the radius, block by block. ``query`` are rows of the forest.
+
+        A block has few enough queries that, were each to meet every node of the largest tree, ``at_once`` pairs are held.
+        """
+        block = max(1, at_once // max(int(np.bincount(self.root).max(initial=1)), 1))
         for at in range(0, len(query), block):
             q = query[at:at + block]
             node, found = self.root[q], []
