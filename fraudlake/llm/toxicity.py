@@ -2,7 +2,8 @@
 
 Features are the distinct words of a text and their first three to five letters, hashed. Of these, the ones that
 differ most between toxic and other labelled documents are kept. Labelled texts that name a group are also
-read with the name swapped for another of its kind and for a neutral word; the training loss adds
+read with the name swapped for another of its kind and without it (an unseen neutral word could
+take on the weight of the name); the training loss adds
 ``BALANCE`` times the squared change of the score, so that a group's name alone moves no score.
 
 The fit reads a bounded sample of labelled rows (``MAX_TRAIN``) and at most ``MAX_FEATURES`` weights;
@@ -30,7 +31,6 @@ BALANCE = 5.0
 RIDGE = 2e-4
 SPACE = 1 << 22
 SEED = 41
-NEUTRAL = b"someone"
 # Names of groups; those of one line can be swapped for each other.
 GROUPS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"),
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_train: in
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
                 words = distinct_words(text)
                 named = words & swap.keys()
-                other = [(words - named) | {swap[w] for w in named}, (words - named) | {NEUTRAL}] if named else []
+                other = [(words - named) | {swap[w] for w in named}, words - named] if named else []
                 out.append((y, numbers(words, ids).tobytes(), [numbers(o, ids).tobytes() for o in other]))
             yield batch_of(schema, *(zip(*out) if out else [[]] * 3))
 
