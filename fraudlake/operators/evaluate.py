@@ -116,12 +116,14 @@ def auc(p: DataFrame) -> DataFrame:
         "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
-def running_total(df: DataFrame, order: str, value: str, ranges: int = 64) -> DataFrame:
+def running_total(df: DataFrame, order: str, value: str, rows_per_range: int = 500_000) -> DataFrame:
     """``before``: the sum of ``value`` over rows with a smaller ``order`` value (distinct values).
 
-    Fixed range limits make it two steps: totals of the ranges, then running sums inside each range.
+    Range limits make it two steps: totals of the ranges, then running sums inside each range. The number of
+    ranges follows the number of rows.
     """
-    marks = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    ranges = max(2, -(-df.count() // rows_per_range))
+    marks = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] or []
     arr = F.array(*[F.lit(float(m)) for m in sorted(set(marks))]) if marks else F.array().cast("array<double>")
     d = df.withColumn("_r", F.size(F.filter(arr, lambda m: m <= F.col(order))))
     tot = d.groupBy("_r").agg(F.sum(value).alias("_t"))

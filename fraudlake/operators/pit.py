@@ -107,7 +107,7 @@ def _card_slices(txn: DataFrame, slices: DataFrame) -> DataFrame:
     probes = probes.select("card", "txn_id", F.col("f.frame").alias("frame"),
                            (F.col("ts_us") - F.col("f.len")).alias("lo_us"), (F.col("ts_us") - SEC_US).alias("hi_us"))
     sums = window_sums(probes, txn, key, {"n_all": _hit(None), "n_on": _hit("online"), "n_ip": _hit("in_person")},
-                       ["txn_id", "frame"])
+                       ["txn_id", "frame"], prune=False)
     pick = {None: "n_all", "online": "n_on", "in_person": "n_ip"}
     counts = sums.groupBy("txn_id").agg(*[
         F.max(F.when(F.col("frame") == n, F.col(pick[ch]))).alias(n) for n, _, ch in FRAMES])

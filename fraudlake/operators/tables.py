@@ -98,7 +98,8 @@ def e_cc_on_device(cases: DataFrame, txn: DataFrame) -> DataFrame:
     return keys.explode_ids(cases).join(t, "txn_id").select("case_id", "device_profile").distinct()
 
 
-MEMORY_EDGES = [  # edge kind, array column of the investigated case
+# Edge kinds of an investigated case and the array column each comes from.
+MEMORY_EDGES = [
     ("C_ON_CARD", "cards"), ("C_ON_CUSTOMER", "customers"), ("C_INVOLVES", "txns"), ("C_CONNECTED_TO", "connected"),
     ("C_ON_DEVICE", "devices"), ("C_IN_REGION", "regions"), ("C_SIMILAR_TO_CLOSED", "similar"),
 ]

@@ -16,7 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraudlake.session import cut, max_rows, small
+from fraudlake.session import BROADCAST_ROWS, cut, max_rows, small
+
 
 def _memo(df: DataFrame, what: tuple, make):
     """Reuse a size check for the same plan; a stale answer costs balance, never results."""
@@ -110,21 +111,40 @@ def running_at(events: DataFrame, probes: DataFrame, key: list[str], measures: l
     return run.groupBy(*ids).agg(*[F.sum(F.col("sign") * F.col(f"_r_{m}")).alias(m) for m in measures])
 
 
+def asked(probes: DataFrame, data: DataFrame, key: list[str], hi: Column) -> DataFrame:
+    """Rows of ``data`` that some probe can count: a probe's key, and a time from the first ``lo_us`` to the last ``hi``.
+
+    Sums are differences of running totals, so rows outside cancel out. The time bounds are literals
+    and reach the scan; few probes send their keys to every task, many meet the rows by the shuffle that the
+    window needs anyway.
+    """
+    span = probes.agg(F.min("lo_us").alias("lo"), F.max(hi).alias("hi"), F.count("*").alias("n")).first()
+    if span["lo"] is None or span["hi"] is None:
+        return data.where(F.lit(False))
+    rows = data.where(F.col("ts_us").between(span["lo"], span["hi"]))
+    keys = probes.select(*key).distinct()
+    return rows.join(F.broadcast(keys) if span["n"] <= BROADCAST_ROWS else keys, key, "left_semi")
+
+
 def window_sums(probes: DataFrame, data: DataFrame, key: list[str], measures: dict[str, Column],
-                ids: list[str]) -> DataFrame:
+                ids: list[str], prune: bool = True) -> DataFrame:
     """Sums of ``measures`` over the key's rows with ``lo_us <= ts_us <= hi_us``, for each probe.
 
-    Probes with a NULL key are dropped; probes without rows give zeros.
+    Probes with a NULL key are dropped; probes without rows give zeros. ``prune`` reads only the rows some
+    probe asks for; leave it off where every row asks about its own key.
     """
     ok = F.lit(True)
     for k in key:
         ok = ok & F.col(k).isNotNull()
+    probes = probes.where(ok)
     rows = data.where(ok)
+    if prune:
+        rows = asked(probes, rows, key, F.col("hi_us"))
     ev = rows.select(*key, F.col("ts_us").alias("t"), *[m.alias(n) for n, m in measures.items()])
     # checked on the key alone, so that questions with other measures reuse the answer
     slices = find_slices(rows.select(*key, "ts_us"), key)
     extra = [i for i in ids if i not in key]
-    pr = probes.where(ok).select(*key, *extra, F.explode(F.array(
+    pr = probes.select(*key, *extra, F.explode(F.array(
         F.struct((F.col("lo_us") - 1).alias("t"), F.lit(-1).alias("sign")),
         F.struct(F.col("hi_us").alias("t"), F.lit(1).alias("sign")))).alias("_p"))
     pr = pr.select(*key, *extra, F.col("_p.t").alias("t"), F.col("_p.sign").alias("sign"))
@@ -156,16 +176,19 @@ def window_distinct(probes: DataFrame, data: DataFrame, key: list[str], item: st
     ok = F.lit(True)
     for k in [*key, item]:
         ok = ok & F.col(k).isNotNull()
+    okk = F.lit(True)
+    for k in key:
+        okk = okk & F.col(k).isNotNull()
+    probes = probes.where(okk)
+    # an earlier time of an item that no probe reaches back to would not change any answer
+    data = asked(probes, data.where(okk), key, F.col("lo_us") + width_us)
     d = prior_time(data.where(ok), [*key, item])
     ev = d.select(*key, F.explode(F.array(
         F.struct(F.greatest(F.col("prev_us") + 1, F.col("ts_us") - width_us).alias("t"), F.lit(1).alias("d")),
         F.struct((F.col("ts_us") + 1).alias("t"), F.lit(-1).alias("d")))).alias("e"))
     ev = ev.select(*key, F.col("e.t").alias("t"), F.col("e.d").alias(out))
-    okk = F.lit(True)
-    for k in key:
-        okk = okk & F.col(k).isNotNull()
-    pr = probes.where(okk).select(*key, *ids, F.col("lo_us").alias("t"), F.lit(1).alias("sign"))
-    slices = find_slices(data.where(okk).select(*key, "ts_us"), key)
+    pr = probes.select(*key, *ids, F.col("lo_us").alias("t"), F.lit(1).alias("sign"))
+    slices = find_slices(data.select(*key, "ts_us"), key)
     return running_at(ev, pr, key, [out], ids, slices=slices, auto=False)
 
 

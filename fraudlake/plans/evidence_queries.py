@@ -258,7 +258,7 @@ def _(f):
 
 @query("m15_cross_validation")
 def _(f):
-    return model.cv_eval(training(f), k=3)
+    return model.cv_eval(training(f), k=5)
 
 
 COEF = {n: round(0.0625 * ((i * 7) % 17 - 8), 4) for i, n in enumerate(model.FEATURES)} | {"__intercept__": -0.25}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fraudlake.cols import DAY_US, HOUR_US
 from fraudlake.functions import sqlfuncs
 from fraudlake.operators import tables
-from fraudlake.plans.base_queries import memory_cases
+from fraudlake.plans.base_queries import MEMORY_SQL, memory_cases
 from fraudlake.plans.decision_queries import CASES_SQL, finished
 from fraudlake.plans.fixtures import TXN
 from fraudlake.plans.pit_queries import FEATS, PRIOR_SQL
@@ -136,16 +136,32 @@ def _(f):
     return io.read_predictions(f.spark, path).select("case_id", "predicted_verdict", "predicted_p")
 
 
-@query("i10_case_memory_upsert", "SELECT case_id, kind, count(*) AS n FROM (SELECT case_id, 'C_ON_CARD' AS kind FROM cj UNION ALL SELECT case_id, 'C_IN_REGION' FROM cj WHERE addr1 IS NOT NULL) GROUP BY 1, 2", ("cj",))
+MEMORY_UPSERT = """
+SELECT case_id, kind, count(*) AS n, max(v) AS version FROM (
+  SELECT case_id, kind, 1 + CASE WHEN CAST(right(case_id, 1) AS INT) % 3 = 0 THEN 1 ELSE 0 END AS v,
+         CASE WHEN CAST(right(case_id, 1) AS INT) % 3 = 0 THEN 'Y' || dst ELSE dst END AS dst
+  FROM (SELECT DISTINCT case_id, kind, dst FROM (""" + MEMORY_SQL + """)))
+GROUP BY 1, 2
+"""
+
+
+@query("i10_case_memory_upsert", MEMORY_UPSERT, ("cj",))
 def _(f):
+    """Three writes: half of the cases, the other half on the same days, then a change that also moves the day of every third."""
     path = temp(f, "case-memory")
-    day = F.lit("2024-01-01").alias("day")
-    edges = tables.memory_edges(memory_cases(f)).select("*", day)
-    cases = f.cj.select("case_id", F.col("closed_at").alias("written_at"), F.lit(0).alias("batch_id"), day)
-    for _ in range(2):  # the second write replaces the first
-        io.write_memory(io.latest_cases(cases), edges, path)
-    got = f.spark.read.parquet(f"{path}/edge").where(F.col("kind").isin("C_ON_CARD", "C_IN_REGION"))
-    return got.groupBy("case_id", "kind").agg(F.count("*").alias("n"))
+    edges = tables.memory_edges(memory_cases(f)).select("case_id", "kind", "dst")
+    last = F.substring("case_id", -1, 1).cast("int")
+    cases = f.cj.select("case_id", F.col("closed_at").alias("written_at"), F.lit(1).alias("batch_id"),
+                        F.date_format("closed_at", "yyyy-MM-dd").alias("day")).distinct()
+    for half in (0, 1):
+        ids = cases.where(last % 2 == half)
+        io.write_memory(io.latest_cases(ids), edges.join(ids.select("case_id"), "case_id", "left_semi"), path)
+    again = (cases.where(last % 3 == 0).withColumn("written_at", F.col("written_at") + F.expr("INTERVAL 1 DAY"))
+             .withColumn("batch_id", F.lit(2)).withColumn("day", F.date_format("written_at", "yyyy-MM-dd")))
+    changed = edges.join(again.select("case_id"), "case_id", "left_semi").withColumn("dst", F.concat(F.lit("Y"), "dst"))
+    io.write_memory(io.latest_cases(again), changed, path)
+    _, got = io.read_memory(f.spark, path)
+    return got.groupBy("case_id", "kind").agg(F.count("*").alias("n"), F.max("batch_id").alias("version"))
 
 
 @query("u03_sql_functions", """SELECT txn_id, round(1 / (1 + exp(-(amt / 100 - 1))), 6) AS s, round(CASE WHEN risk_score > 0 AND risk_score < 1 THEN ln(risk_score / (1 - risk_score)) END, 6) AS l,

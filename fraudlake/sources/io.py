@@ -102,14 +102,22 @@ def write_cases(df: DataFrame, path: str) -> None:
 
 
 def write_memory(cases: DataFrame, edges: DataFrame, path: str) -> None:
-    """Upsert investigated cases: the newest record of a case replaces its folder.
+    """Upsert investigated cases: every batch is added, and ``read_memory`` lets the newest record of a case count.
 
-    ``cases`` needs ``case_id`` and ``written_at``; both tables need the partition
-    column ``day``. Only the partitions present in the input are replaced.
+    ``cases`` needs ``case_id``, ``written_at``, ``batch_id`` and the partition column ``day``; ``edges`` needs
+    ``case_id``. Nothing stored is rewritten, so other cases of the same day stay and a lost task can be run again.
     """
-    for name, df in (("case", cases), ("edge", edges)):
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy("day").parquet(f"{path}/{name}"))
+    stamps = cases.select("case_id", "written_at", "batch_id", "day")
+    cases.write.mode("append").partitionBy("day").parquet(f"{path}/case")
+    (edges.drop("written_at", "batch_id", "day").join(stamps, "case_id")
+     .write.mode("append").partitionBy("day").parquet(f"{path}/edge"))
+
+
+def read_memory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The newest record of every stored case, and the edges written with it."""
+    cases = latest_cases(spark.read.parquet(f"{path}/case"))
+    edges = spark.read.parquet(f"{path}/edge")
+    return cases, edges.join(cases.select("case_id", "written_at", "batch_id"), ["case_id", "written_at", "batch_id"], "left_semi").distinct()
 
 
 def latest_cases(cases: DataFrame) -> DataFrame:
