@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fraudlake.cols import DAY_US, HOUR_US, SEC_US, is_proxied
 from fraudlake.operators.rolling import rolling_median
-from fraudlake.operators.timeline import (_carry, add_slice, find_slices, heavy_keys, window_sums)
+from fraudlake.operators.timeline import (_carry, add_slice, find_slices, heavy_keys, join_key, window_sums)
 from fraudlake.session import cut, max_rows, small
 
 ORDER = ["ts_us", "txn_id"]
@@ -77,7 +77,7 @@ def _card_slices(txn: DataFrame, slices: DataFrame) -> DataFrame:
     last = F.max(F.struct("ts_us", "txn_id"))
     c = _carry(df, key, {"n": F.count("*"), "last": last, "amt": F.max("amt")},
                {"n": "sum", "last": "max", "amt": "max"})
-    df = df.join(small(c), [*key, "_slice"], "left")
+    df = join_key(df, small(c), [*key, "_slice"], "left")
     prev = F.coalesce(F.lag(F.struct("ts_us", "txn_id")).over(w), F.col("_c_last"))
     df = (df.withColumn("_rn", F.row_number().over(w) + F.coalesce("_c_n", F.lit(0)))
             .withColumn("n_prior", F.col("_rn") - 1).withColumn("_prev", prev)
@@ -90,13 +90,13 @@ def _card_slices(txn: DataFrame, slices: DataFrame) -> DataFrame:
     rk = ["card", "addr1"]
     wr = Window.partitionBy(*rk, "_slice").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     cr = _carry(seen, rk, {"n": F.count("*"), "f": F.min("_rn")}, {"n": "sum", "f": "min"})
-    seen = (seen.join(cr, [*rk, "_slice"], "left")
+    seen = (join_key(seen, cr, [*rk, "_slice"], "left")
             .withColumn("_n", F.count("*").over(wr) + F.coalesce("_c_n", F.lit(0)))
             .withColumn("_f", F.least(F.min("_rn").over(wr), F.col("_c_f")))
             .select("txn_id", F.struct("_n", (-F.col("_f")).alias("f"), "addr1").alias("_cand")))
     df = cut(df.join(seen, "txn_id", "left"))
     cb = _carry(df, key, {"best": F.max("_cand")}, {"best": "max"})
-    df = df.join(small(cb), [*key, "_slice"], "left")
+    df = join_key(df, small(cb), [*key, "_slice"], "left")
     df = df.withColumn("home_addr1", _home_pick(F.greatest(F.max("_cand").over(prior), F.col("_c_best"))))
     for name, v in (("new_device", "device_profile"), ("new_product", "product_cd"), ("new_email", "p_email")):
         firsts = (txn.groupBy("card", v).agg(F.min(F.struct("ts_us", "txn_id")).alias("_m"))
@@ -120,9 +120,9 @@ def pit_base(txn: DataFrame) -> DataFrame:
     if giant is None:
         return _card_windows(txn)
     keys = small(giant.select("card"))
-    many = txn.join(keys, "card", "left_semi")
+    many = join_key(txn, keys, ["card"], "left_semi")
     slices = find_slices(many, ["card"])
-    return _card_windows(txn.join(keys, "card", "left_anti")).unionByName(cut(_card_slices(many, slices)))
+    return _card_windows(join_key(txn, keys, ["card"], "left_anti")).unionByName(cut(_card_slices(many, slices)))
 
 
 def pit_counts(txn: DataFrame) -> DataFrame:

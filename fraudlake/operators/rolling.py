@@ -14,23 +14,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudlake.cols import SEC_US
-from fraudlake.operators.timeline import add_slice, find_slices, heavy_keys
+from fraudlake.operators.timeline import add_slice, find_slices, heavy_keys, join_key
 from fraudlake.session import cut, max_rows, small
 
 NATIVE_ROWS_CONF = "fraudlake.nativeMedianRows"
 
 
 def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Medians at the query rows of one slice; counts per value are kept in a Fenwick tree."""
+    """Medians at the query times of one slice; counts per value are kept in a Fenwick tree.
+
+    NaN is a value above all others, as in Spark's order; ``found`` is False where the window holds no value.
+    """
     pdf = pdf.sort_values(["t", "kind"], kind="stable")
-    vals = np.unique(pdf.v.to_numpy()[~np.isnan(pdf.v.to_numpy())])
+    v, moves = pdf.v.to_numpy(), pdf.kind.to_numpy() < 2
+    vals = np.unique(v[moves])  # sorted, one NaN at the end
     size = len(vals)
     tree = [0] * (size + 1)
     top = 1
     while top * 2 <= size:
         top *= 2
-    pos = np.where(np.isnan(pdf.v.to_numpy()), -1, np.searchsorted(vals, pdf.v.to_numpy()))
-    total, ids, meds = 0, [], []
+    pos = np.searchsorted(vals, v)
+    total, times, meds, found = 0, [], [], []
 
     def at(rank: int) -> float:
         i, step, left = 0, top, rank
@@ -41,33 +45,34 @@ def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
             step >>= 1
         return float(vals[i])
 
-    for kind, p, n, tid in zip(pdf.kind.tolist(), pos.tolist(), pdf.n.tolist(), pdf.txn_id.tolist()):
+    for kind, t, p, n in zip(pdf.kind.tolist(), pdf.t.tolist(), pos.tolist(), pdf.n.tolist()):
         if kind < 2:
-            if p >= 0:
-                total += n
-                i = p + 1
-                while i <= size:
-                    tree[i] += n
-                    i += i & -i
-        else:
-            ids.append(tid)
-            if total:
-                lo, hi = at((total - 1) // 2), at(total // 2)
-                # same interpolation as an exact 0.5 percentile
-                meds.append(lo if total % 2 else lo + (hi - lo) * 0.5)
-            else:
-                meds.append(np.nan)
-    return pd.DataFrame({"txn_id": np.asarray(ids, dtype="int64"), "med": np.asarray(meds, dtype="float64")})
+            total += n
+            i = p + 1
+            while i <= size:
+                tree[i] += n
+                i += i & -i
+        elif not times or times[-1] != t:  # rows of one time share their window
+            times.append(t)
+            found.append(total > 0)
+            # same interpolation as an exact 0.5 percentile
+            lo, hi = (at((total - 1) // 2), at(total // 2)) if total else (np.nan, np.nan)
+            meds.append(lo if lo == hi else 0.5 * lo + 0.5 * hi)
+    return pd.DataFrame({"card": pdf.card.iloc[0], "ts_us": np.asarray(times, dtype="int64"),
+                         "med": np.asarray(meds, dtype="float64"), "found": np.asarray(found, dtype=bool)})
 
 
 def _swept(rows: DataFrame, value: str, frame_us: int) -> DataFrame:
-    """``(txn_id, med)`` for every row by the sweep; sliced when a card is too large for a task."""
+    """``(card, ts_us, med)`` for every card and time by the sweep; sliced when a card is too large for a task.
+
+    The window depends on the card and the time alone, so rows with the same or no id need no special care.
+    """
     key = ["card"]
     v = F.col(value).cast("double").alias("v")
     none = F.lit(None).cast("double").alias("v")
 
     def part(t, kind, val, n):
-        return rows.select("card", t.alias("t"), F.lit(kind).alias("kind"), val, F.lit(n).alias("n"), "txn_id")
+        return rows.select("card", t.alias("t"), F.lit(kind).alias("kind"), val, F.lit(n).alias("n"))
     moves = part(F.col("ts_us") + SEC_US, 1, v, 1).unionByName(
         part(F.col("ts_us") + frame_us + 1, 1, v, -1)).where(F.col("v").isNotNull())
     asks = part(F.col("ts_us"), 2, none, 0)
@@ -75,10 +80,11 @@ def _swept(rows: DataFrame, value: str, frame_us: int) -> DataFrame:
     ev = add_slice(moves.unionByName(asks), slices, key, "t")
     if slices is not None:
         ev = ev.unionByName(_starts(add_slice(moves, slices, key, "t"), slices))
-    schema = "txn_id long, med double"
+    schema = "card string, ts_us long, med double, found boolean"
     run = lambda k, pdf: _sweep(pdf)
     out = ev.groupBy("card", "_slice").applyInPandas(run, schema)
-    return out.select("txn_id", F.when(~F.isnan("med"), F.col("med")).alias("med"))
+    # a NaN median comes back from pandas as NULL
+    return out.select("card", "ts_us", F.when(F.col("found"), F.coalesce("med", F.lit(float("nan")))).alias("med"))
 
 
 def _starts(moves: DataFrame, slices: DataFrame) -> DataFrame:
@@ -87,9 +93,8 @@ def _starts(moves: DataFrame, slices: DataFrame) -> DataFrame:
     w = Window.partitionBy("card", "v").orderBy("_slice")
     net = net.withColumn("n", F.sum("d").over(w).cast("int")).withColumn("nxt", F.lead("_slice").over(w))
     last = slices.select("card", F.size("starts").alias("last"))
-    net = net.join(small(last), "card").withColumn("to", F.coalesce("nxt", "last")).where("n <> 0 AND to > _slice")
+    net = join_key(net, small(last), ["card"], "inner").withColumn("to", F.coalesce("nxt", "last")).where("n <> 0 AND to > _slice")
     return net.select("card", F.lit(-(2**62)).alias("t"), F.lit(0).alias("kind"), "v", "n",
-                      F.lit(0).cast("long").alias("txn_id"),
                       F.explode(F.expr("sequence(_slice + 1, to)")).alias("_slice"))
 
 
@@ -104,7 +109,7 @@ def rolling_median(txn: DataFrame, value: str, frame_us: int, out: str) -> DataF
     # three readers follow: the input, with all windows before it, is computed once
     txn = cut(txn)
     keys = small(busy.select("card"))
-    few, many = txn.join(keys, "card", "left_anti"), txn.join(keys, "card", "left_semi")
-    med = cut(_swept(many.select("card", "txn_id", "ts_us", value), value, frame_us))
-    many = many.join(med.withColumnRenamed("med", out), "txn_id", "left")
+    few, many = join_key(txn, keys, ["card"], "left_anti"), join_key(txn, keys, ["card"], "left_semi")
+    med = cut(_swept(many.select("card", "ts_us", value), value, frame_us))
+    many = join_key(many, med.withColumnRenamed("med", out), ["card", "ts_us"], "left")
     return native(few).unionByName(many)

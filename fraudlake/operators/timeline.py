@@ -28,6 +28,15 @@ def _memo(df: DataFrame, what: tuple, make):
     return store[name]
 
 
+def join_key(left: DataFrame, right: DataFrame, key: list[str], how: str) -> DataFrame:
+    """Equi-join on ``key`` that matches NULL with NULL, as the partitions of a window do."""
+    r = right.select(*[F.col(k).alias(f"_k_{k}") if k in key else F.col(k) for k in right.columns])
+    same = F.lit(True)
+    for k in key:
+        same = same & left[k].eqNullSafe(r[f"_k_{k}"])
+    return left.join(r, same, how).drop(*[f"_k_{k}" for k in key])
+
+
 def heavy_keys(df: DataFrame, key: list[str], rows: int | None = None) -> DataFrame | None:
     """Keys with more than ``rows`` rows and their counts, materialised; None if there are none."""
     rows = rows or max_rows(df.sparkSession)
@@ -59,7 +68,7 @@ def find_slices(df: DataFrame, key: list[str], t: str = "ts_us", rows: int | Non
         pieces = min(max(2, math.ceil(2 * most / rows)), 20_000)
         marks = [i / pieces for i in range(1, pieces)]
         return cut(
-            df.join(small(heavy.select(*key)), key, "left_semi").groupBy(*key)
+            join_key(df, small(heavy.select(*key)), key, "left_semi").groupBy(*key)
             .agg(F.array_sort(F.array_distinct(F.percentile_approx(t, marks, 10 * pieces))).alias("starts")))
     return _memo(df, ("slices", tuple(key), t, rows), make)
 
@@ -69,7 +78,7 @@ def add_slice(df: DataFrame, slices: DataFrame | None, key: list[str], t: str =
     if slices is None:
         return df.withColumn("_slice", F.lit(0))
     s = small(slices.withColumnRenamed("starts", "_starts"))
-    return (df.join(s, key, "left")
+    return (join_key(df, s, key, "left")
             .withColumn("_slice", F.coalesce(F.expr(f"size(filter(_starts, s -> s <= {t}))"), F.lit(0)))
             .drop("_starts"))
 
@@ -104,7 +113,7 @@ def running_at(events: DataFrame, probes: DataFrame, key: list[str], measures: l
     run = both.select("*", *[F.sum(m).over(w).alias(f"_r_{m}") for m in measures]).where("_q = 1")
     if slices is not None:
         c = _carry(both, key, {m: F.sum(m) for m in measures}, {m: "sum" for m in measures})
-        run = run.join(c, [*key, "_slice"], "left")
+        run = join_key(run, c, [*key, "_slice"], "left")
         for m in measures:
             zero = F.lit(0).cast(run.schema[f"_r_{m}"].dataType)
             run = run.withColumn(f"_r_{m}", F.col(f"_r_{m}") + F.coalesce(F.col(f"_c_{m}"), zero))
@@ -161,7 +170,7 @@ def prior_time(df: DataFrame, key: list[str], t: str = "ts_us") -> DataFrame:
     d = d.withColumn("prev_us", F.lag("ts_us").over(Window.partitionBy(*part).orderBy("ts_us")))
     if slices is not None:
         c = _carry(d, key, {"last": F.max("ts_us")}, {"last": "max"})
-        d = (d.join(c, [*key, "_slice"], "left")
+        d = (join_key(d, c, [*key, "_slice"], "left")
              .withColumn("prev_us", F.coalesce("prev_us", "_c_last")).drop("_c_last"))
     return d.drop("_slice")
 

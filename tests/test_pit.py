@@ -39,6 +39,20 @@ def test_swept_median_without_slices(skewed, conf):
         assert rows(rolling_median(skewed, "amt", 48 * HOUR_US, "m").select("txn_id", "m")) == plain
 
 
+def test_swept_median_with_odd_rows(spark, conf):
+    """NaN, NULL amounts, NULL cards, NULL and repeated ids: both paths give the same rows."""
+    nan, inf = float("nan"), float("inf")
+    r = [(1, "c", 1, 1.0), (2, "c", 2, 1.0), (3, "c", 3, 2.0), (4, "c", 4, nan), (4, "c", 5, 3.0), (4, "c", 5, 3.0), (None, "c", 6, None),
+         (None, "c", 7, inf), (7, "c", 8, inf), (8, "c", 9, 4.0)]
+    r += [(i, None, i, float(i % 5)) for i in range(20)] + [(None, None, 5, nan)] + [(50, "n", i, nan) for i in range(8)]
+    df = spark.createDataFrame([(i, c, t * SEC_US, v) for i, c, t, v in r], "txn_id long, card string, ts_us long, amt double")
+    plain = rows(rolling_median(df, "amt", 4 * SEC_US, "m"))
+    assert len(plain) == len(r)
+    for kv in ({"fraudlake.nativeMedianRows": 3}, {"fraudlake.nativeMedianRows": 3, "fraudlake.maxRowsPerTask": 5}):
+        with conf(**kv):
+            assert [str(x) for x in rows(rolling_median(df, "amt", 4 * SEC_US, "m"))] == [str(x) for x in plain]
+
+
 def test_distributed_decile_equals_ntile(skewed, conf):
     ties = skewed.withColumn("risk_score", F.when(F.col("txn_id") % 4 == 0, 0.5).otherwise(F.col("risk_score")))
     plain = rows(pit.risk_decile(ties).select("txn_id", "risk_decile"))
