@@ -34,11 +34,11 @@ def undocumented() -> Column:
     return (F.coalesce(F.col("pattern"), F.lit("none")) == "undocumented") | flag("undocumented_coordinated")
 
 
-def report_required(sure: Column | None = None) -> Column:
+def report_required(sure: Column | None = None, above: float = REPORT_ABOVE) -> Column:
     """Strong suspicion, and large exposure, a shared element or an undocumented pattern."""
     if sure is None:
         sure = (F.col("verdict") == "fraud") | ((F.col("verdict") != "legitimate") & (F.col("p") >= 0.85))
-    return sure & ((F.col("exposure") > REPORT_ABOVE) | F.col("shared_element").isNotNull() | undocumented())
+    return sure & ((F.col("exposure") > above) | F.col("shared_element").isNotNull() | undocumented())
 
 
 def case_required() -> Column:
@@ -173,9 +173,14 @@ def action_diff(df: DataFrame, initial: str = "initial", final: str = "final") -
 
 
 def replay_reports(cases: DataFrame, threshold: float = REPORT_ABOVE) -> DataFrame:
-    """Report rule on closed fraud cases against what was filed: agreement counts."""
-    rows = cases.where(F.col("outcome") == "confirmed_fraud")
-    want = (F.col("exposure_usd") > threshold) | (F.col("pattern") == "undocumented")
+    """The report rule on closed fraud cases against what was filed: agreement counts.
+
+    Cards listed in ``connected_card_ids`` are the shared element of a case.
+    """
+    shared = F.when(F.length(F.trim("connected_card_ids")) > 0, F.col("connected_card_ids"))
+    rows = (cases.where(F.col("outcome") == "confirmed_fraud").withColumn("shared_element", shared)
+            .withColumn("undocumented_coordinated", F.lit(False)).withColumn("exposure", F.col("exposure_usd")))
+    want = F.coalesce(report_required(F.lit(True), threshold), F.lit(False))
     got = F.col("report_filed") == "Yes"
     return rows.agg(F.count("*").alias("n"), F.count(F.when(want == got, 1)).alias("agree"), F.count(F.when(want & ~got, 1)).alias("only_rule"),
                     F.count(F.when(~want & got, 1)).alias("only_filed"))

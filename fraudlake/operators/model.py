@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from fraudlake.operators.evaluate import auc, brier
 from fraudlake.operators.evidence import BUCKETS, TIER_TESTS, sigmoid
-from fraudlake.session import cut
+from fraudlake.operators.timeline import join_key
+from fraudlake.session import cut, max_rows
 
 PREVALENCE = 0.838  # share of fraud among the labelled cases behind the published intercept shift
 
@@ -84,14 +85,30 @@ def balanced_weights(df: DataFrame, label: str = "y") -> DataFrame:
     return df.join(F.broadcast(tot), label).withColumn("weight", F.lit(float(n)) / (2.0 * F.col("_c"))).drop("_c")
 
 
+def class_ranks(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """Rank of each row in its class (from 0) by a seeded hash of the key, and the rows of the class.
+
+    Ranks are taken inside ranges of the hash, as many as the rows need, and offset by the counts of earlier ranges.
+    """
+    digits = max(1, math.ceil(math.log(max(df.count(), 1) / max_rows(df.sparkSession), 16)))
+    h = df.withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))).withColumn("_b", F.substring("_h", 1, digits))
+    counts = h.groupBy(label, "_b").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.select(label, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(label)).alias("_class_rows"))
+    w = Window.partitionBy(label, "_b").orderBy("_h", key)
+    ranked = h.withColumn("_rank", F.row_number().over(w) - 1)
+    return join_key(ranked, ranges, [label, "_b"], "inner").withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_h", "_b", "_before")
+
+
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Fold number by a seeded hash of the key. Each class spreads evenly; rows need no ordering or shuffle."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(label).cast("string"), F.lit(seed)), F.lit(k)).cast("int"))
+    """Fold number by rank within the class, so that fold sizes of a class differ by one row at most."""
+    return class_ranks(df, key, label, seed).withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank", "_class_rows")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2, seed: int = 42) -> DataFrame:
-    u = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(label).cast("string"), F.lit(seed)), F.lit(1_000_000)) / 1e6
-    return df.withColumn("is_test", u < test)
+    """The same share of each class, rounded to whole rows, is test data."""
+    share = F.floor(F.lit(test) * F.col("_class_rows") + 0.5)
+    return class_ranks(df, key, label, seed).withColumn("is_test", F.col("_rank") < share).drop("_rank", "_class_rows")
 
 
 def fit_isotonic(df: DataFrame, p: str = "p", y: str = "y", weight: str = "weight") -> DataFrame:

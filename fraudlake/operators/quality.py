@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fraudlake.cols import exact_sum
 from fraudlake.operators.decide import route
 from fraudlake.operators.evaluate import PATTERNS
+from fraudlake.session import cut, small
 
 # Identifiers, citations and enumerations.
 CASE_ID = r"\b(?:CC-\d{4,}|CASE-[A-Z0-9]+-\d+)\b"
@@ -36,7 +37,7 @@ def row_violations(cases: DataFrame) -> DataFrame:
     empty = lambda c: F.coalesce(F.length(F.col(c)), F.lit(0)) == 0
     legit, fraud = F.col("verdict") == "legitimate", F.col("verdict") == "fraud"
     pat = F.col("pattern")
-    bad_route = lambda c: F.exists(c, lambda a: a["route"] != route(a["action"], F.col("exposure_usd")))
+    bad_route = lambda c: F.exists(c, lambda a: ~a["route"].eqNullSafe(F.coalesce(route(a["action"], F.col("exposure_usd")), F.lit("unknown action"))))
     no_rule = lambda c: F.exists(c, lambda a: ~F.coalesce(a["reason"], F.lit("")).rlike(CITATION))
     both = [("initial", ini), ("final", fin)]
     cited = F.array_union(F.array_union(ids_cited("summary"), ids_cited("pattern_description")), ids_cited("narrative"))
@@ -68,10 +69,16 @@ def row_violations(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", F.inline(rows))
 
 
+def asked_txn(ids: DataFrame, txn: DataFrame) -> DataFrame:
+    """Transactions that ``ids(id string)`` names: the big table is filtered before any shuffle of it."""
+    asked = cut(ids.select(F.expr("try_cast(id AS BIGINT)").alias("txn_id")).where("txn_id IS NOT NULL").distinct())
+    return txn.join(small(asked), "txn_id", "left_semi").withColumn("id", F.col("txn_id").cast("string"))
+
+
 def exposure_violations(cases: DataFrame, txn: DataFrame) -> DataFrame:
     """I5: exposure equals the absolute amounts of the affected transactions, to the cent."""
     x = cases.select("case_id", F.explode("affected").alias("id"))
-    amt = txn.select(F.col("txn_id").cast("string").alias("id"), F.abs("amt").alias("a"))
+    amt = asked_txn(x, txn).select("id", F.abs("amt").alias("a"))
     tot = x.join(amt, "id", "left").groupBy("case_id").agg(F.round(exact_sum("a"), 2).alias("total"), F.max(F.col("a").isNull()).alias("missing"))
     j = cases.select("case_id", "exposure_usd").join(tot, "case_id", "left")
     off = F.abs(F.coalesce("total", F.lit(0.0)) - F.round(F.coalesce("exposure_usd", F.lit(0.0)), 2)) > 0.01
@@ -83,14 +90,15 @@ def exposure_violations(cases: DataFrame, txn: DataFrame) -> DataFrame:
 def id_violations(cases: DataFrame, txn: DataFrame, cards: DataFrame, closed: DataFrame) -> DataFrame:
     """I6: every published id exists; one row for each unknown id."""
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(c), F.array().cast("array<string>")).alias("ids"))
-                      for k, c in (("transaction", "affected"), ("card", "connected"), ("case", "similar"), ("subject", "subjects"))])
-    x = (cases.select("case_id", F.explode(kinds).alias("k")).select("case_id", "k.kind", F.explode("k.ids").alias("id"))
+                      for k, c in (("transaction", "affected"), ("first transaction", "_first"), ("card", "connected"), ("case", "similar"), ("subject", "subjects"))])
+    first = F.when(F.col("first_suspicious").isNotNull(), F.array(F.col("first_suspicious").cast("string")))
+    x = (cases.withColumn("_first", first).select("case_id", F.explode(kinds).alias("k")).select("case_id", "k.kind", F.explode("k.ids").alias("id"))
          .where(F.coalesce(F.col("id"), F.lit("")) != "").distinct())
-    txns = txn.select(F.col("txn_id").cast("string").alias("id"))
+    txns = asked_txn(x, txn).select("id")
     card_ids = cards.select(F.col("card").alias("id"))
     owners = cards.select(F.col("customer_id").alias("id"))
     tag = lambda df, k: df.distinct().withColumn("kind", F.lit(k))
-    known = tag(txns, "transaction").unionByName(tag(card_ids, "card")).unionByName(tag(closed.select(F.col("case_id").alias("id")), "case"))
+    known = tag(txns, "transaction").unionByName(tag(txns, "first transaction")).unionByName(tag(card_ids, "card")).unionByName(tag(closed.select(F.col("case_id").alias("id")), "case"))
     known = known.unionByName(tag(txns.unionByName(card_ids).unionByName(owners), "subject"))
     bad = x.join(known, ["kind", "id"], "left_anti")
     return bad.select("case_id", F.lit("I6").alias("invariant"), F.concat(F.lit("unknown "), "kind", F.lit(" "), "id").alias("detail"))

@@ -143,9 +143,10 @@ def _(f):
 
 
 @query("p07_report_replay", """SELECT count(*) AS n, count(*) FILTER (WHERE w = g) AS agree, count(*) FILTER (WHERE w AND NOT g) AS only_rule, count(*) FILTER (WHERE g AND NOT w) AS only_filed
-FROM (SELECT exposure_usd > 100 OR pattern = 'undocumented' AS w, report_filed = 'Yes' AS g FROM closed_case WHERE outcome = 'confirmed_fraud')""", ("closed_case",))
+FROM (SELECT exposure_usd > 100 OR pattern = 'undocumented' OR first_fraud_txn_id % 7 = 0 AS w, report_filed = 'Yes' AS g FROM closed_case WHERE outcome = 'confirmed_fraud')""", ("closed_case",))
 def _(f):
-    return decide.replay_reports(f.cases, 100.0)
+    linked = F.when(F.col("first_fraud_txn_id") % 7 == 0, F.col("card")).when(F.col("first_fraud_txn_id") % 7 == 1, "")
+    return decide.replay_reports(f.cases.withColumn("connected_card_ids", linked), 100.0)
 
 
 # Finished cases built from every transaction, with defects of all kinds spread by remainders.
@@ -159,7 +160,8 @@ SELECT concat('CASE-EV-', CAST(txn_id AS VARCHAR)) AS case_id, txn_id, card, cus
   CASE WHEN txn_id % 3 = 2 AND txn_id % 59 <> 0 THEN 0 ELSE abs(amt) + CASE WHEN txn_id % 61 = 0 THEN 1 ELSE 0 END END AS exposure_usd,
   CASE WHEN txn_id % 3 = 2 AND txn_id % 67 <> 0 THEN NULL WHEN txn_id % 71 = 0 THEN '999999999' ELSE CAST(txn_id AS VARCHAR) END AS aff,
   CASE WHEN txn_id % 7 = 0 THEN card END AS conn1, CASE WHEN txn_id % 7 = 0 AND txn_id % 2 = 0 THEN 'NO-CARD' END AS conn2,
-  CASE WHEN txn_id % 73 = 0 THEN 'CC-NONE' ELSE 'CC-0000008' END AS sim,
+  CASE WHEN txn_id % 73 = 0 THEN 'CC-NONE' ELSE 'CC-0000008' END AS sim, CASE WHEN txn_id % 107 = 0 THEN 888888888 WHEN txn_id % 2 = 0 THEN txn_id END AS first_suspicious, txn_id % 109 = 0 AS odd_action,
+  txn_id % 103 = 0 AS leaking,
   txn_id % 3 = 0 AND txn_id % 5 < 3 AS has_report, txn_id % 3 = 0 AND txn_id % 5 < 3 AND txn_id % 79 <> 0 AS report, txn_id % 4 = 0 AS has_monitor, txn_id % 83 = 0 AS has_all,
   txn_id % 3 = 2 OR txn_id % 89 = 0 AS has_close, txn_id % 97 = 0 AS bad_route, txn_id % 101 = 0 AS bad_reason, txn_id % 6 < 3 AS asked, txn_id % 11 = 0 AS differs,
   CASE WHEN txn_id % 13 = 0 THEN 'Seen in CC-1234567 and CASE-EV-5. ' ELSE 'Nothing special. ' END AS summary, CASE WHEN txn_id % 17 = 0 THEN 'As in CC-0000008.' ELSE '' END AS narrative
@@ -169,11 +171,11 @@ FROM txn
 
 def finished(f):
     d = f._sql(CASES_SQL, txn=f.txn)
-    r = F.when(F.col("bad_reason"), "because").otherwise("R2: rule")
+    r = F.when(F.col("bad_reason"), "because").when(F.col("leaking"), "R2: the customer denied it").otherwise("R2: rule")
     act = lambda name, rt, cond=None: (F.struct(F.lit(name).alias("action"), rt.alias("route"), r.alias("reason")) if cond is None
                                        else F.when(cond, F.struct(F.lit(name).alias("action"), rt.alias("route"), r.alias("reason"))))
     a, l2 = F.lit("auto"), F.lit("L2")
-    final = F.array_compact(F.array(act("CREATE_CASE", F.when(F.col("bad_route"), "L1").otherwise("auto")), act("FILE_REPORT", l2, F.col("has_report")),
+    final = F.array_compact(F.array(act("CREATE_CASE", F.when(F.col("bad_route"), "L1").otherwise("auto"), ~F.col("odd_action")), act("DO_SOMETHING", a, F.col("odd_action")), act("FILE_REPORT", l2, F.col("has_report")),
                                     act("MONITOR_CONNECTED_CARDS", a, F.col("has_monitor")), act("BLOCK_ALL_CARDS", l2, F.col("has_all")), act("CLOSE_NO_FRAUD", a, F.col("has_close"))))
     arr = lambda *c: F.array_compact(F.array(*[F.col(x) for x in c]))
     return (d.withColumn("final", final).withColumn("initial", F.when(F.col("differs"), F.slice("final", 1, 1)).otherwise(F.col("final")))
@@ -188,7 +190,7 @@ INV = [
     ("I3", "undocumented without description", "pattern = 'undocumented' AND pattern_description = ''"), ("I3", "documented with description", "pattern <> 'undocumented' AND pattern_description <> ''"),
     ("I3", "unknown pattern", "pattern = 'strange'"), ("I3", "unknown status", "status = 'odd'"),
     ("I4", "actions changed without a question", f"NOT asked AND differs AND {_N_FINAL} > 1"), ("I4", "change text without a question", "NOT asked AND differs"),
-    ("I7", "initial route differs", "bad_route"), ("I7", "final route differs", "bad_route"), ("I8", "initial reason without rule", "bad_reason"), ("I8", "final reason without rule", "bad_reason"),
+    ("I7", "initial route differs", "bad_route OR odd_action"), ("I7", "final route differs", "bad_route OR odd_action"), ("I8", "initial reason without rule", "bad_reason"), ("I8", "final reason without rule", "bad_reason"),
     ("I9", "legitimate with a pattern", "verdict = 'legitimate' AND pattern <> 'none'"),
     ("I10", "initial: all cards blocked without fraud", "has_all AND NOT differs AND verdict <> 'fraud'"), ("I10", "initial: all cards blocked and closed", "has_all AND has_close AND NOT differs"),
     ("I10", "final: all cards blocked without fraud", "has_all AND verdict <> 'fraud'"), ("I10", "final: all cards blocked and closed", "has_all AND has_close"),
@@ -200,6 +202,7 @@ INV_SQL = " UNION ALL ".join(f"SELECT case_id, '{i}' AS invariant, '{d}' AS deta
 UNION ALL SELECT case_id, 'I5', 'amount of a transaction is missing' FROM done WHERE aff = '999999999'
 UNION ALL SELECT case_id, 'I5', 'exposure differs from the amounts' FROM done WHERE coalesce(aff, '') <> '999999999' AND abs(round(exposure_usd, 2) - CASE WHEN aff IS NULL THEN 0 ELSE (SELECT round(abs(t.amt), 2) FROM txn t WHERE t.txn_id = done.txn_id) END) > 0.01
 UNION ALL SELECT case_id, 'I6', 'unknown transaction 999999999' FROM done WHERE aff = '999999999'
+UNION ALL SELECT case_id, 'I6', 'unknown first transaction 888888888' FROM done WHERE first_suspicious = 888888888
 UNION ALL SELECT case_id, 'I6', 'unknown card NO-CARD' FROM done WHERE conn2 IS NOT NULL
 UNION ALL SELECT case_id, 'I6', concat('unknown case ', sim) FROM done WHERE sim NOT IN (SELECT case_id FROM closed_case)
 """
@@ -241,7 +244,7 @@ def _(f):
     return decided(f).select("case_id", decide.status(F.col("verdict"), F.col("escalate")).alias("status"))
 
 
-@query("p12_acceptance", f"""SELECT verdict, count(*) AS n, count(*) FILTER (WHERE report) AS n_reports, count(*) FILTER (WHERE report <> has_report) AS n_mismatch, 0::BIGINT AS n_leaks,
+@query("p12_acceptance", f"""SELECT verdict, count(*) AS n, count(*) FILTER (WHERE report) AS n_reports, count(*) FILTER (WHERE report <> has_report) AS n_mismatch, count(*) FILTER (WHERE leaking AND NOT bad_reason) AS n_leaks,
  count(*) FILTER (WHERE asked AND differs AND {_N_FINAL} > 1) AS n_ask_first FROM done GROUP BY 1""", T, {"done": CASES_SQL})
 def _(f):
     return quality.acceptance(finished(f))

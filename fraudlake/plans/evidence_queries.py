@@ -140,12 +140,20 @@ def _(f):
     return model.balanced_weights(f.predictions).select("case_id", "y", F.round("weight", 6).alias("weight"))
 
 
-@query("m10_stratified_folds")
+RANKED = "row_number() OVER (PARTITION BY y ORDER BY md5(CAST({key} AS VARCHAR) || '|42'), {key}) - 1 AS r, count(*) OVER (PARTITION BY y) AS c"
+
+
+@query("m10_fold_of_rows", f"SELECT txn_id, y, CAST(r % 5 AS INT) AS fold FROM (SELECT txn_id, y, {RANKED.format(key='txn_id')} FROM lab)", ("txn", "cj", "fraud_ids", "cleared_ids"), LAB)
+def _(f):
+    return model.stratified_folds(labelled(f), "txn_id", "y").select("txn_id", "y", "fold")
+
+
+@query("m10_stratified_folds", f"SELECT CAST(r % 5 AS INT) AS fold, y, count(*) AS n FROM (SELECT y, {RANKED.format(key='txn_id')} FROM lab) GROUP BY 1, 2", ("txn", "cj", "fraud_ids", "cleared_ids"), LAB)
 def _(f):
     return model.fold_sizes(model.stratified_folds(labelled(f), "txn_id", "y"))
 
 
-@query("m10_stratified_split")
+@query("m10_stratified_split", f"SELECT y, r < floor(0.2::DOUBLE * c + 0.5) AS is_test, count(*) AS n FROM (SELECT y, {RANKED.format(key='case_id')} FROM prediction) GROUP BY 1, 2", ("prediction",))
 def _(f):
     return model.stratified_split(f.predictions, "case_id", "y").groupBy("y", "is_test").agg(F.count("*").alias("n"))
 

@@ -93,12 +93,14 @@ def _(f):
 # ---- sources and sinks: written, read back, compared -----------------------------------
 
 
-@query("i02_csv_cases", "SELECT case_id, customer_id, outcome, first_fraud_txn_id, txn_ids, exposure_usd, report_filed, analyst_notes FROM closed_case", ("closed_case",))
+@query("i02_csv_cases", """SELECT case_id, customer_id, outcome, first_fraud_txn_id, txn_ids, exposure_usd, report_filed,
+ CASE WHEN first_fraud_txn_id % 2 = 0 THEN analyst_notes || chr(10) || 'He said "no", then left.' ELSE analyst_notes END AS analyst_notes FROM closed_case""", ("closed_case",))
 def _(f):
     path = temp(f, "cases-csv")
-    c = f.cases
+    said = F.concat("analyst_notes", F.lit('\nHe said "no", then left.'))
+    c = f.cases.withColumn("analyst_notes", F.when(F.col("first_fraud_txn_id") % 2 == 0, said).otherwise(F.col("analyst_notes")))
     have = {"card_id": F.lit(None).cast("string"), "n_txns": F.size(F.split("txn_ids", r"\|")), "connected_card_ids": F.lit(None).cast("string")}
-    c.select(*[have.get(n, F.col(n) if n in c.columns else F.lit(None)).alias(n) for n in io.CASE_SCHEMA.names]).write.option("header", True).csv(path)
+    io.write_csv(c.select(*[have.get(n, F.col(n) if n in c.columns else F.lit(None)).alias(n) for n in io.CASE_SCHEMA.names]), path)
     return io.read_cases(f.spark, path).select("case_id", "customer_id", "outcome", "first_fraud_txn_id", "txn_ids", "exposure_usd", "report_filed", "analyst_notes")
 
 

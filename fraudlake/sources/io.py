@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from fraudlake.cols import Cols
 
 S = T.StringType()
+# one set of options for both directions
+CSV = {"header": True, "quote": '"', "escape": '"'}
 CASE_SCHEMA = T.StructType(
     [T.StructField(n, S) for n in ("case_id", "customer_id", "card_id")]
     + [T.StructField("opened_at", T.TimestampType()), T.StructField("closed_at", T.TimestampType())]
@@ -45,8 +47,12 @@ def read_identity(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return (spark.read.schema(schema).option("header", True).option("multiLine", False)
-            .option("quote", '"').option("escape", '"').csv(path))
+    """Quoted fields may hold line breaks, commas and doubled quotes."""
+    return spark.read.schema(schema).options(**CSV, multiLine=True).csv(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.options(**CSV).csv(path)
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
