@@ -52,6 +52,14 @@ def _(f):
     return out.withColumn("score", F.round("score", 9))
 
 
+@query("r04_topk_asof", """SELECT qid, cid, CAST(r AS INT) AS rank, round(1.0 / (r + 1), 9) AS score
+FROM (SELECT qid, cid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) - 1 AS r FROM sim WHERE cid < qid) WHERE r < 5""", (), {"sim": SIM})
+def _(f):
+    q = vectors(f, "qid")
+    dates = f.raw("embeddings").select(F.col("vec_id").alias("cid"), F.col("vec_id").alias("at"))
+    return retrieval.topk_asof(q, vectors(f, "cid"), q.select("qid", F.col("qid").alias("as_of")), dates, 5).withColumn("score", F.round("score", 9))
+
+
 TC = ("flag", "txn", "closed_case")
 TOUCHX = {"ccdev": CC_DEV, "cctxn": CC_TXN, "touch": TOUCH_SQL}
 STRUCT = """SELECT alert_id AS qid, case_id AS cid, CAST(row_number() OVER (PARTITION BY alert_id ORDER BY case_id) - 1 AS INT) AS rank, 1.0::DOUBLE AS score
@@ -109,10 +117,10 @@ HYB = {
     "cv": "SELECT case_id AS cid, epoch_us(closed_at) AS at_us, embedding FROM closed_case, nv JOIN embeddings ON vec_id = first_fraud_txn_id % n",
     "s1": "SELECT q.qid, c.cid, q.as_of, c.at_us, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])))) AS score FROM qv q, cv c",
     "h1": "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) - 1 AS rank FROM s1",
-    "sem": "SELECT qid, cid, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS rank, 1.0::DOUBLE / (rank + 1) AS score FROM h1 WHERE rank < 30 AND at_us < as_of QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) <= 10",
+    "sem": "SELECT qid, cid, r AS rank, 1.0::DOUBLE / (r + 1) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS r FROM h1 WHERE at_us < as_of) WHERE r < 10",
     "s2": "SELECT q.qid, c.qid AS cid, q.as_of, c.as_of AS at_us, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])))) AS score FROM qv q, qv c",
     "h2": "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) - 1 AS rank FROM s2",
-    "mem": "SELECT qid, cid, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS rank FROM h2 WHERE rank < 10 AND at_us < as_of",
+    "mem": "SELECT qid, cid, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS rank FROM h2 WHERE at_us < as_of QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) <= 10",
 }
 
 
@@ -145,7 +153,7 @@ SELECT qid, cid, CASE WHEN o = 1 THEN 'structural' ELSE 'semantic' END AS source
 """, TC, HYB)
 def _(f):
     q, c = hybrid_inputs(f)
-    sem = retrieval.asof_gate(retrieval.vector_topk(q, c, 30), alert_times(f), case_dates(f), 10)
+    sem = retrieval.topk_asof(q, c, alert_times(f), case_dates(f), 10)
     return retrieval.similar_cases(retrieval.structural_hits(touch_rows(f), alert_times(f), case_dates(f)), sem)
 
 

@@ -95,8 +95,15 @@ def test_topk_equals_brute_force_and_lsh_recall(spark, monkeypatch):
     q, c = df.withColumnRenamed("id", "qid"), df.withColumnRenamed("id", "cid")
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = {(i, int(j)) for i, row in enumerate(u @ u.T) for j in np.argsort(-row)[:5]}
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 100)  # three passes
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 100)
+    monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 70)  # three query blocks meet five corpus blocks
     assert {(r.qid, r.cid) for r in retrieval.vector_topk(q, c, 5).collect()} == want
+    # every query is dated by its number: only earlier rows and the undated ones (multiples of 50) count, to the last one
+    when = q.select("qid", F.col("qid").alias("as_of"))
+    dates = c.where("cid % 50 <> 0").select("cid", F.col("cid").alias("at"))
+    ok = lambda i, j: j < i or j % 50 == 0
+    early = {(i, int(j)) for i, row in enumerate(u @ u.T) for j in [x for x in np.argsort(-row) if ok(i, x)][:5]}
+    assert {(r.qid, r.cid) for r in retrieval.topk_asof(q, c, when, dates, 5).collect()} == early
     near = {(r.qid, r.cid) for r in retrieval.vector_topk_lsh(q, c, 5, bits=3, tables=8, block=40).collect()}
     assert len(near & want) / len(want) > 0.8
 
