@@ -115,7 +115,7 @@ def memory_edges(cases: DataFrame) -> DataFrame:
 
 
 def graph_tables(txn: DataFrame, cases: DataFrame) -> dict[str, DataFrame]:
-    """All vertex and edge tables; Spark shares the scans, each table is written on its own."""
+    """All vertex and edge tables; each is written by its own scan of its source."""
     cj = keys.case_join(cases, txn)
     out = {
         "v_customer": v_customer(txn), "v_txn": v_txn(txn), "v_device": v_device(txn), "v_email": v_email(txn),

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from fraudlake.cols import DAY_US, HOUR_US
 from fraudlake.functions import sqlfuncs
 from fraudlake.operators import tables
-from fraudlake.plans.base_queries import MEMORY_SQL, memory_cases
+from fraudlake.plans.base_queries import MEMORY_SQL, linked, memory_cases
 from fraudlake.plans.decision_queries import CASES_SQL, finished
 from fraudlake.plans.fixtures import TXN
 from fraudlake.plans.pit_queries import FEATS, PRIOR_SQL
 from fraudlake.plans.registry import query
-from fraudlake.session import ensure_checkpoint_dir
+from fraudlake.session import cut, ensure_checkpoint_dir
 from fraudlake.sources import io
 from fraudlake.streaming import jobs
 
@@ -105,12 +105,15 @@ def _(f):
 
 
 @query("i04_graph_sink", """SELECT 'e_owns' AS table_name, count(*) AS n FROM (SELECT DISTINCT customer_id, card FROM txn) UNION ALL SELECT 'v_txn', count(*) FROM txn
- UNION ALL SELECT 'v_case', count(*) FROM closed_case UNION ALL SELECT 'e_known_device', count(*) FROM known""", ("txn", "closed_case", "known"))
+ UNION ALL SELECT 'v_case', count(*) FROM closed_case UNION ALL SELECT 'e_known_device', count(*) FROM known UNION ALL SELECT 'tables equal to their source', 23""", ("txn", "closed_case", "known"))
 def _(f):
     path = temp(f, "graph")
-    io.write_graph(tables.graph_tables(f.txn, f.cases), path)
-    got = io.read_graph_tables(f.spark, path, ["e_owns", "v_txn", "v_case", "e_known_device"])
-    return io.graph_counts(got, got).select("table_name", F.col("n_loaded").alias("n"))
+    source = tables.graph_tables(f.txn, linked(f))
+    io.write_graph(source, path)
+    counts = cut(io.graph_counts(source, io.read_graph_tables(f.spark, path, list(source))))
+    shown = counts.where(F.col("table_name").isin("e_owns", "v_txn", "v_case", "e_known_device"))
+    matching = counts.where("ok").agg(F.lit("tables equal to their source").alias("table_name"), F.count("*").alias("n"))
+    return shown.select("table_name", F.col("n_loaded").alias("n")).unionByName(matching)
 
 
 @query("i07_feature_store", "SELECT txn_id, prior_fraud_card FROM prior", ("txn", "cj"), {"prior": PRIOR_SQL})
