@@ -13,34 +13,44 @@ functions, for radii too wide for blocks: texts of similarity s miss each other
 (1 - s) ** n_keys. A tree of more than ``MAX_TREE`` fingerprints is cut into pieces, and every
 piece is searched by all of the others. Trees are sent to the tasks that search them by the
 shuffle, so nothing is broadcast.
+
+With a least similarity a pair within the radius is a candidate only. Rows with a candidate are dealt
+again, now with their sets of shingles, and a pair is linked when its sets are that similar (Jaccard).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraudlake.llm.common import bit_counts, batch_of, id_back, id_key, mix, pack_bits, parts_for, shingle_hashes
+from fraudlake.llm.common import bit_counts, batch_of, id_back, id_key, mix, no_text, pack_bits, parts_for, shingle_hashes, words_lower
 from fraudlake.llm.graph import components
 from fraudlake.session import cut
 
 MAX_TREE = 20_000
 ROWS_PER_TASK = 30_000
+# Shingles of the sets that one task, or one piece of a key, compares.
+SHINGLES_PER_TASK = 4_000_000
+
+
+def text_key() -> Column:
+    return F.xxhash64(no_text())
 
 
-def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, n_keys: int = 0) -> DataFrame:
-    """``id``, fingerprint words ``f0`` .. and, with ``n_keys``, the smallest shingle hashes ``keys`` of each row.
+def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, n_keys: int = 0, sets: bool = False) -> DataFrame:
+    """``id``, ``text_key``, fingerprint words ``f0`` .. and, with ``n_keys``, the smallest shingle hashes ``keys`` of each row.
 
-    Null and empty texts have fingerprint zero. A-Z is lower-cased, other letters stay.
+    Null and empty texts have fingerprint zero. A-Z is lower-cased, other letters stay. With ``sets`` a repeated shingle counts once.
     """
     w = bits // 64
-    schema = pa.schema([("id", pa.int64())] + [(f"f{k}", pa.int64()) for k in range(w)] + [("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("text_key", pa.int64())] + [(f"f{k}", pa.int64()) for k in range(w)] + [("keys", pa.list_(pa.int64()))])
     odd = mix(np.arange(1, n_keys + 1, dtype=np.uint64) * np.uint64(7919)) | np.uint64(1)
 
     def one(text: str | None):
-        h = shingle_hashes(text.encode("utf-8", "surrogatepass").lower().split() if text else [], words)
+        h = shingle_hashes(words_lower(text), words)
+        h = np.unique(h) if sets else h
         with np.errstate(over="ignore"):
             wide = [h, *(mix(h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) for k in range(1, w))]
             fp = [pack_bits(bit_counts(x) * 2 > len(h)) if len(h) else 0 for x in wide]
@@ -55,10 +65,22 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, n_keys: int =
                 if text not in seen:
                     seen[text] = one(text)
                 rows.append(seen[text])
-            yield batch_of(schema, b.column("id"), *(zip(*rows) if rows else [[]] * (w + 1)))
+            yield batch_of(schema, b.column("id"), b.column("text_key"), *(zip(*rows) if rows else [[]] * (w + 1)))
 
-    ddl = "id long, " + "".join(f"f{k} long, " for k in range(w)) + "keys array<long>"
-    return docs.select(id_key().alias("id"), "text").mapInArrow(run, ddl)
+    ddl = "id long, text_key long, " + "".join(f"f{k} long, " for k in range(w)) + "keys array<long>"
+    return docs.select(id_key().alias("id"), text_key().alias("text_key"), "text").mapInArrow(run, ddl)
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """``id``, the key of a text, and ``shingles``, the set of its shingle hashes, once for each distinct text."""
+    schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in batches:
+            got = [np.unique(shingle_hashes(words_lower(t), words)).view(np.int64) for t in b.column("text").to_pylist()]
+            yield batch_of(schema, b.column("id"), got)
+
+    return docs.groupBy(text_key().alias("id")).agg(F.first("text").alias("text")).mapInArrow(run, "id long, shingles array<long>")
 
 
 def dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -178,10 +200,142 @@ def block_keys(reps: DataFrame, radius: int, max_tree: int = MAX_TREE, levels: i
     return out.select("id", "f0", "key", *(["before"] if order else []))
 
 
+def words_of(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c[0] == "f" and c[1:].isdigit()]
+
+
 def minhash_keys(reps: DataFrame) -> DataFrame:
-    """``reps`` once for each of its smallest shingle hashes."""
-    fs = [c for c in reps.columns if c[0] == "f" and c[1:].isdigit()]
-    return reps.select("id", *fs, F.posexplode("keys").alias("_n", "_h")).select("id", *fs, F.xxhash64("_n", "_h").alias("key"))
+    """``reps`` once for each of its smallest shingle hashes; ``before`` has the ones that come earlier."""
+    fs = words_of(reps)
+    return (reps.select("id", *fs, "keys", F.posexplode("keys").alias("_n", "_h"))
+            .select("id", *fs, F.xxhash64("_n", "_h").alias("key"), F.slice("keys", F.lit(1), F.col("_n")).alias("before")))
+
+
+def matrix(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and where each list starts (one more entry at the end)."""
+    size = np.concatenate([np.diff(c.offsets.to_numpy()) for c in col.chunks])
+    return np.concatenate([c.flatten().to_numpy() for c in col.chunks]), np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+
+
+class Shard:
+    """The rows of one task in the order of key and id, their BK-trees, and the pairs that meet here first."""
+
+    def __init__(self, t: pa.Table, fs: list[str], order: np.ndarray):
+        self.order, self.n = order, t.num_rows
+        fps = np.stack([t.column(c).to_numpy() for c in fs], axis=1).view(np.uint64)[order]
+        self.forest = Forest(fps, t.column("key").to_numpy()[order])
+        flat, at = matrix(t.column("before"))
+        size = np.diff(at)
+        self.before = np.zeros((self.n, int(size.max(initial=0))), np.int64)
+        self.n_before = size[order]
+        for k in range(self.before.shape[1]):
+            has = size > k
+            self.before[has, k] = flat[at[:-1][has] + k]
+        self.before = self.before[order]
+
+    def pairs(self, radius: int):
+        """Pairs of rows a < b within the radius that share no earlier key, block by block, by a."""
+        for a, b in self.forest.search(radius, np.arange(self.n)):
+            a, b = a[a < b], b[a < b]
+            met = np.zeros(len(a), bool)
+            for k in range(self.before.shape[1]):
+                met |= (self.n_before[a] > k) & (self.before[a, k] == self.before[b, k])
+            a, b = a[~met], b[~met]
+            order = np.argsort(a, kind="stable")
+            yield a[order], b[order]
+
+
+def pieces_of(shards: DataFrame, weight: Column, max_weight: int, max_tree: int) -> DataFrame:
+    """``shards`` with ``key`` cut into pieces where it is overfull; ``whole`` is the key itself. Rows alone in a key go."""
+    size = shards.groupBy("key").agg(F.count("*").alias("count"), F.sum(weight).alias("weight")).where("count > 1")
+    pieces = F.ceil(F.greatest(F.col("count") / max_tree, F.col("weight") / max_weight)).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(1), "id"), F.col("pieces").cast("long")).cast("int")
+    return (shards.join(size.select("key", pieces.alias("pieces")), "key")
+            .withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+            .withColumn("whole", F.col("key"))
+            .withColumn("key", F.when(F.col("pieces") == 1, F.col("key"))
+                        .otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))))
+            .drop("pieces", "own", "other"))
+
+
+def candidates(shards: DataFrame, radius: int, max_tree: int = MAX_TREE, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``id`` and ``key`` of the rows of ``shards`` with another row of the key within the radius, not met under an earlier key."""
+    fs = words_of(shards)
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64())])
+
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        ids, whole = t.column("id").to_numpy(), t.column("whole").to_numpy()
+        order = np.lexsort((ids, t.column("key").to_numpy()))
+        near = np.zeros(len(ids), bool)
+        for a, b in Shard(t, fs, order).pairs(radius):
+            near[order[a]] = near[order[b]] = True
+        yield batch_of(schema, ids[near], whole[near])
+
+    dealt = pieces_of(shards, F.lit(1), max_tree, max_tree)
+    return dealt.repartition(parts_for(shards.count(), rows_per_task), "key").mapInArrow(run, "id long, key long").distinct()
+
+
+def join_similar(labels: np.ndarray, shard: Shard, radius: int, least: float, flat: np.ndarray, at: np.ndarray) -> None:
+    """Give rows whose sets are at least ``least`` similar one label. ``flat``, ``at``: numbers of the shingles of each row.
+
+    A pair that earlier pairs have joined is not compared again, so a group of n copies takes about n comparisons.
+    """
+    size = np.diff(at)
+    held = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+    root = shard.forest.root
+    for a, b in shard.pairs(radius):
+        like = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9
+        a, b = a[like], b[like]
+        starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else []
+        for lo, hi in zip(starts, [*starts[1:], len(a)]):
+            q, other = a[lo], b[lo:hi]
+            other = other[labels[other] != labels[q]]
+            if not len(other):
+                continue
+            held[flat[at[q]:at[q + 1]]] = True
+            n = size[other]
+            ends = np.cumsum(n)
+            hits = np.concatenate(([0], np.cumsum(held[flat[np.repeat(at[other] - (ends - n), n) + np.arange(n.sum())]])))
+            both = hits[ends] - hits[ends - n]
+            held[flat[at[q]:at[q + 1]]] = False
+            either = size[q] + n - both
+            other = other[both / np.maximum(either, 1) >= np.where(either == 0, 0, least)]
+            if len(other):
+                # a tree is a run of rows, and only its rows share labels
+                first, last = root[q], np.searchsorted(root, root[q], "right")
+                own = labels[first:last]
+                old = np.unique(np.append(labels[other], labels[q]))
+                own[np.isin(own, old)] = old[0]
+
+
+def similar_links(shards: DataFrame, radius: int, least: float, max_tree: int = MAX_TREE, shingles_per_task: int = SHINGLES_PER_TASK) -> DataFrame:
+    """A spanning forest (``u``, ``v``) of the pairs within the radius that share a key and whose ``shingles`` are ``least`` similar."""
+    fs = words_of(shards)
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        order = np.lexsort((t.column("id").to_numpy(), t.column("key").to_numpy()))
+        t = t.take(pa.array(order))
+        ids = t.column("id").to_numpy()
+        flat, at = matrix(t.column("shingles"))
+        flat = np.unique(flat, return_inverse=True)[1].astype(np.int64)
+        labels = np.arange(len(ids))
+        join_similar(labels, Shard(t, fs, np.arange(len(ids))), radius, least, flat, at)
+        far = np.flatnonzero(labels != np.arange(len(ids)))
+        yield batch_of(schema, ids[far], ids[labels[far]])
+
+    n = shards.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    dealt = pieces_of(shards, F.size("shingles"), shingles_per_task, max_tree)
+    return dealt.repartition(parts_for(n, shingles_per_task), "key").mapInArrow(run, "u long, v long")
 
 
 def links(shards: DataFrame, radius: int, max_tree: int = MAX_TREE, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -190,16 +344,9 @@ def links(shards: DataFrame, radius: int, max_tree: int = MAX_TREE, rows_per_tas
     A key with more rows than ``max_tree`` is cut into pieces by the hash of its ids; every pair
     of pieces becomes a key of its own, so no task holds more than two pieces of it.
     """
-    fs = [c for c in shards.columns if c[0] == "f" and c[1:].isdigit()]
-    sizes = shards.groupBy("key").count().where("count > 1")
+    fs = words_of(shards)
     n = shards.count()
-    pieces = F.ceil(F.col("count") / max_tree).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(1), "id"), F.col("pieces").cast("long")).cast("int")
-    dealt = (shards.join(sizes.select("key", pieces.alias("pieces")), "key")
-             .withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-             .select("id", *fs, F.when(F.col("pieces") == 1, F.col("key"))
-                     .otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key")))
+    dealt = pieces_of(shards, F.lit(1), max_tree, max_tree)
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
@@ -222,22 +369,41 @@ def links(shards: DataFrame, radius: int, max_tree: int = MAX_TREE, rows_per_tas
     return dealt.repartition(parts_for(n, rows_per_task), "key").mapInArrow(run, "u long, v long")
 
 
-def near_groups(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, n_keys: int = 0) -> DataFrame:
+def labelled(docs: DataFrame, words: int, bits: int, radius: int, n_keys: int, least: float | None) -> tuple[DataFrame, DataFrame]:
+    """``id``, ``node`` and fingerprint words of every row, and ``node``, ``label`` of the nodes that are linked.
+
+    A node is a fingerprint; with ``least`` it is a text. Ids take no part, so they may be null or repeat.
+    """
+    fs = [f"f{k}" for k in range(bits // 64)]
+    if least is not None and not n_keys:
+        raise ValueError("a least similarity needs min-hash shards")
+    node = F.col("text_key") if least is not None else F.col("f0") if bits == 64 else F.xxhash64(*fs)
+    rows = cut(fingerprints(docs, words, bits, n_keys, sets=least is not None).select("id", node.alias("node"), *fs, "keys"))
+    reps = cut(rows.groupBy(F.col("node").alias("id")).agg(F.min(F.struct(*fs, "keys")).alias("r")).select("id", "r.*"))
+    shards = cut(minhash_keys(reps) if n_keys else block_keys(reps.select("id", "f0"), radius))
+    if least is None:
+        found = links(shards, radius)
+    else:
+        near = cut(candidates(shards, radius))
+        texts = docs.join(near.select(F.col("id").alias("_node")).distinct(), text_key() == F.col("_node"), "left_semi")
+        found = similar_links(cut(shards.join(near, ["id", "key"]).join(shingle_sets(texts, words), "id")), radius, least)
+    return rows.drop("keys"), components(cut(found))
+
+
+def near_groups(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, n_keys: int = 0, least: float | None = None) -> DataFrame:
     """``doc_id``, the fingerprint as hex, and ``component_id``, the smallest id linked to it, for every row.
 
-    ``n_keys`` = 0 takes the exact block shards (64 bits only), otherwise that many min-hash shards.
+    ``n_keys`` = 0 takes the exact block shards (64 bits only), otherwise that many min-hash shards. With ``least`` texts are
+    linked when their sets of shingles are that similar, and the radius only has to find them.
     Rows that repeat an id are linked like other rows. Tables of any size, empty ones too, take the same path.
     """
     fs = [f"f{k}" for k in range(bits // 64)]
-    rows = cut(fingerprints(docs, words, bits, n_keys))
-    reps = cut(rows.groupBy(*fs).agg(F.min(F.struct("id", "keys")).alias("r")).select("r.id", *fs, "r.keys"))
-    shards = cut(minhash_keys(reps) if n_keys else block_keys(reps.select("id", "f0"), radius))
-    # one id may stand for two fingerprints when ids repeat: such classes are linked by the id itself
-    labels = components(cut(links(shards, radius)))
-    byfp = reps.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*fs, F.coalesce("label", "id").alias("label"))
+    rows, labels = labelled(docs, words, bits, radius, n_keys, least)
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("low")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    bynode = nodes.join(nodes.groupBy("label").agg(F.min("low").alias("component")), "label").select("node", "component")
     hexed = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in reversed(fs)])
-    return (rows.join(byfp, fs, "left")
-            .select(id_back("id").alias("doc_id"), hexed.alias("fingerprint"), id_back("label").alias("component_id")))
+    return (rows.join(bynode, "node", "left")
+            .select(id_back("id").alias("doc_id"), hexed.alias("fingerprint"), id_back("component").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

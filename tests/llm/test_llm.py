@@ -135,6 +135,64 @@ def test_keep_one_keeps_a_row_of_each_group(odd):
     assert ids[1] == 1 and ids[2] == ids[3] == 0 and ids[11] == 1 and ids[8] == ids[13] == 1
 
 
+def five_word_sets(text):
+    words = (text or "").lower().split()
+    return {tuple(words[p:p + min(5, len(words))]) for p in range(max(len(words) - 5, 0) + 1)} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_dedup_links_by_exact_similarity(spark):
+    """Pairs on both sides of 0.8, of many lengths, and texts that share only a line that repeats."""
+    rng = random.Random(21)
+    rows, pairs_of = [], []
+    for k in range(160):
+        n = rng.choice([9, 30, 80, 200, 400])
+        a = [f"{rng.randrange(10**6)}" for _ in range(n)]
+        want = rng.choice([0.7, 0.75, 0.78, 0.8, 0.82, 0.85, 0.9])
+        shingles = n - 4
+        b = a + [f"{rng.randrange(10**6)}" for _ in range(round(shingles / want) - shingles)] if k % 2 else a[:round(shingles * want) + 4]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        pairs_of.append((2 * k, 2 * k + 1))
+    line = " ".join(f"l{k}" for k in range(8))
+    for k in range(1000, 1004):
+        rows.append((k, " ".join([line] * 40) + " " + " ".join(f"{rng.randrange(10**6)}" for _ in range(40))))
+    rows += [(2000, None), (2001, " \n")]
+    sets = {i: five_word_sets(t) for i, t in rows}
+    score = [alike(sets[a], sets[b]) for a, b in pairs_of]
+    assert sum(0.7 <= x < 0.8 for x in score) > 20 and sum(0.8 <= x < 0.85 for x in score) > 20
+    want = plain_components(sets, [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b]) >= 0.8])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert got == set(want.values())
+
+
+def test_similar_links_in_pieces_give_the_same_groups(spark):
+    """A key cut into pieces by rows or by shingles, and pairs that meet under several keys."""
+    rng = random.Random(22)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    sets = {i: five_word_sets(t) for i, t in rows}
+    want = plain_components(sets, [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b]) >= 0.8])
+    assert 1 < len(set(want.values())) < 60
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = {r["k"]: r["doc_id"] for r in df.select("doc_id", bk_dedup.text_key().alias("k")).collect()}
+    fps = bk_dedup.fingerprints(df, 5, 256, 6, sets=True)
+    shards = bk_dedup.minhash_keys(fps.select(F.col("text_key").alias("id"), "f0", "f1", "f2", "f3", "keys")).localCheckpoint()
+    for rows_, shingles in ((7, 10**6), (20_000, 500), (20_000, 10**6)):
+        near = bk_dedup.candidates(shards, 72, max_tree=rows_)
+        full = shards.join(near, ["id", "key"]).join(bk_dedup.shingle_sets(df, 5), "id")
+        edges = bk_dedup.similar_links(full, 72, 0.8, max_tree=rows_, shingles_per_task=shingles)
+        assert {i: j for i, j in plain_components(sets, [(key[r["u"]], key[r["v"]]) for r in edges.collect()]).items()} == want
+
+
 # ---- substring dedup -----------------------------------------------------------------------------
 
 
