@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraudlake.llm.common import bit_counts, batch_of, id_back, id_key, mix, no_text, pack_bits, parts_for, shingle_hashes, words_lower
+from fraudlake.llm.common import NULL_ID, bit_counts, batch_of, id_back, id_key, mix, no_text, pack_bits, parts_for, shingle_hashes, words_lower
 from fraudlake.llm.graph import components
 from fraudlake.session import cut
 
@@ -370,7 +370,7 @@ def links(shards: DataFrame, radius: int, max_tree: int = MAX_TREE, rows_per_tas
 
 
 def labelled(docs: DataFrame, words: int, bits: int, radius: int, n_keys: int, least: float | None) -> tuple[DataFrame, DataFrame]:
-    """``id``, ``node`` and fingerprint words of every row, and ``node``, ``label`` of the nodes that are linked.
+    """``id``, ``text_key``, ``node`` and fingerprint words of every row, and ``node``, ``label`` of the nodes that are linked.
 
     A node is a fingerprint; with ``least`` it is a text. Ids take no part, so they may be null or repeat.
     """
@@ -378,7 +378,7 @@ def labelled(docs: DataFrame, words: int, bits: int, radius: int, n_keys: int, l
     if least is not None and not n_keys:
         raise ValueError("a least similarity needs min-hash shards")
     node = F.col("text_key") if least is not None else F.col("f0") if bits == 64 else F.xxhash64(*fs)
-    rows = cut(fingerprints(docs, words, bits, n_keys, sets=least is not None).select("id", node.alias("node"), *fs, "keys"))
+    rows = cut(fingerprints(docs, words, bits, n_keys, sets=least is not None).select("id", "text_key", node.alias("node"), *fs, "keys"))
     reps = cut(rows.groupBy(F.col("node").alias("id")).agg(F.min(F.struct(*fs, "keys")).alias("r")).select("id", "r.*"))
     shards = cut(minhash_keys(reps) if n_keys else block_keys(reps.select("id", "f0"), radius))
     if least is None:
@@ -393,28 +393,39 @@ def labelled(docs: DataFrame, words: int, bits: int, radius: int, n_keys: int, l
 def near_groups(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, n_keys: int = 0, least: float | None = None) -> DataFrame:
     """``doc_id``, the fingerprint as hex, and ``component_id``, the smallest id linked to it, for every row.
 
+    A null id is reported only where no row of the group has an id.
+
     ``n_keys`` = 0 takes the exact block shards (64 bits only), otherwise that many min-hash shards. With ``least`` texts are
     linked when their sets of shingles are that similar, and the radius only has to find them.
     Rows that repeat an id are linked like other rows. Tables of any size, empty ones too, take the same path.
     """
     fs = [f"f{k}" for k in range(bits // 64)]
     rows, labels = labelled(docs, words, bits, radius, n_keys, least)
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("low")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    nodes = cut(rows.groupBy("node").agg(F.min(id_back("id")).alias("low")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     bynode = nodes.join(nodes.groupBy("label").agg(F.min("low").alias("component")), "label").select("node", "component")
     hexed = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in reversed(fs)])
     return (rows.join(bynode, "node", "left")
-            .select(id_back("id").alias("doc_id"), hexed.alias("fingerprint"), id_back("component").alias("component_id")))
+            .select(id_back("id").alias("doc_id"), hexed.alias("fingerprint"), F.col("component").alias("component_id")))
+
 
+def keep_one(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, n_keys: int = 0, least: float | None = None) -> DataFrame:
+    """One row of ``docs`` for each group of near copies: the one with the smallest id, a null id last.
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; of rows that repeat an id, one."""
-    groups = near_groups(docs, **how)
-    gone = cut(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key().alias("_gone")).distinct())
-    twice = cut(docs.groupBy(id_key().alias("_id")).count().where("count > 1").select("_id"))
-    kept = docs.withColumn("_id", id_key()).join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    Rows that repeat an id, or have none, go only when their own text is a near copy.
+    """
+    rows, labels = labelled(docs, words, bits, radius, n_keys, least)
+    # a text is one node, a node may be several texts: rows are told apart by id and text
+    rank = F.struct((F.col("id") == NULL_ID).alias("none"), "id", "text_key")
+    parts = cut(rows.groupBy("node", "id", "text_key").agg(F.count("*").alias("n")))
+    nodes = cut(parts.groupBy("node").agg(F.min(rank).alias("low")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    best = nodes.join(nodes.groupBy("label").agg(F.min("low").alias("best")), "label").select("node", "best")
+    ranked = cut(parts.join(best, "node").select("id", "text_key", "n", ((F.col("best.id") == F.col("id")) & (F.col("best.text_key") == F.col("text_key"))).alias("stays")))
+    key = ["_id", "_text"]
+    gone = ranked.where(~F.col("stays")).select(F.col("id").alias("_id"), F.col("text_key").alias("_text"))
+    twice = cut(ranked.where(F.col("stays") & (F.col("n") > 1)).select(F.col("id").alias("_id"), F.col("text_key").alias("_text")))
+    kept = docs.withColumn("_id", id_key()).withColumn("_text", text_key()).join(gone, key, "left_anti")
     if not twice.isEmpty():
-        # repeated ids only: one row each, the smallest by its columns
-        cols = [c for c in kept.columns if c != "_id"]
-        again = (kept.join(twice, "_id", "left_semi").groupBy("_id").agg(F.min(F.struct(*cols)).alias("r")).select("_id", "r.*"))
-        kept = kept.join(twice, "_id", "left_anti").unionByName(again)
-    return kept.drop("_id")
+        # rows of one id and one text only: one of them, the smallest by its columns
+        again = (kept.join(twice, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*docs.columns)).alias("r")).select(*key, "r.*"))
+        kept = kept.join(twice, key, "left_anti").unionByName(again)
+    return kept.select(*docs.columns)

@@ -193,6 +193,21 @@ def test_similar_links_in_pieces_give_the_same_groups(spark):
         assert {i: j for i, j in plain_components(sets, [(key[r["u"]], key[r["v"]]) for r in edges.collect()]).items()} == want
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    """Ids that are null or repeat neither join texts nor remove them."""
+    rng = random.Random(23)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (None, c), (1, a), (2, a), (3, d), (3, e), (4, d), (5, c), (None, prose(rng, 60)), (6, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({}, {"words": 5, "bits": 256, "radius": 72, "n_keys": 6, "least": 0.8}):
+        kept = [(r["doc_id"], r["text"]) for r in bk_dedup.keep_one(df, **how).collect()]
+        assert sorted(kept, key=str) == sorted([(1, a), (6, b), (5, c), (3, d), (3, e), (None, rows[10][1])], key=str)
+    want = {a: 1, b: 6, c: 5, d: 3, e: 3, rows[10][1]: None}
+    texts = {f"{plain_simhash(t):016x}": t for t in want}
+    got = bk_dedup.near_groups(df).collect()
+    assert len(got) == len(rows) and all(r["component_id"] == want[texts[r["fingerprint"]]] for r in got)
+
+
 # ---- substring dedup -----------------------------------------------------------------------------
 
 
