@@ -253,9 +253,13 @@ def _training(f):
     sig = sig.join(neighbors.region_cluster(rows, f.txn).select("alert_id", F.col("n_other_cards").alias("n_region_others")), "alert_id", "left")
     sig = sig.join(neighbors.device_neighbors(rows, f.txn, cc_dev(f), known=f.known).select("alert_id", F.col("n_other_cards").alias("n_device_others")), "alert_id", "left")
     sig = sig.join(recurring(f).select("txn_id", "recurring_ge3"), "txn_id", "left")
-    for c in ("had_prior_txn_in_region", "testing_fires", "near_threshold_fires"):
-        sig = sig.withColumn(c, F.lit(None).cast("boolean"))
-    sig = sig.withColumn("n_recipient_others", F.lit(None).cast("long"))
+    for part in (
+        neighbors.region_history(rows, f.txn, home(f)).select("alert_id", "had_prior_txn_in_region"),
+        neighbors.testing_sequence(rows, f.txn, 20.0, 60.0).select("alert_id", F.col("fires").alias("testing_fires")),
+        neighbors.near_threshold(rows, f.txn, 60.0, 2).select("alert_id", F.col("fires").alias("near_threshold_fires")),
+        neighbors.recipient_cluster(rows, f.txn).select("alert_id", F.col("n_other_cards").alias("n_recipient_others")),
+    ):
+        sig = sig.join(part, "alert_id", "left")
     return model.alert_features(sig).join(first.select(F.col("txn_id").cast("string").alias("alert_id"), "y"), "alert_id")
 
 

@@ -138,3 +138,29 @@ def test_pit_uses_one_shuffle(spark, fx):
     from fraudlake.operators import pit
     plan = pit.pit_base(fx.txn)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_training_rows_have_all_graph_inputs(fx):
+    """The four window inputs of the fit against plain counts, and a fit whose gradient vanishes."""
+    from fraudlake.operators import model
+    from fraudlake.plans.evidence_queries import D14, training
+
+    feats = training(fx).toPandas().drop_duplicates("alert_id").set_index("alert_id")
+    t = fx.txn.select("txn_id", "card", "addr1", "r_email", "channel", "amt", "ts_us").toPandas()
+    by_id, want = t.set_index("txn_id"), {}
+    for i in feats.index:
+        r = by_id.loc[int(i)]
+        w = t[(t.ts_us >= r.ts_us - D14) & (t.ts_us <= r.ts_us)]
+        on = w[(w.card == r.card) & (w.channel == "online")]
+        want[i] = (int(((t.card == r.card) & (t.addr1 == r.addr1)).any()), int(w[(w.r_email == r.r_email) & (w.card != r.card)].card.nunique() >= 2),
+                   int((on.amt < 20).sum() >= 3 and (on.amt > 60).sum() >= 1), int(((on.amt < 60) & (on.amt >= 57)).sum() >= 2))
+    four = ["had_prior_txn_in_region", "recipient_cluster_ge2", "testing_sequence_fires", "near_threshold_burst"]
+    assert {i: tuple(int(v) for v in r) for i, r in zip(feats.index, feats[four].values)} == want
+    assert feats.had_prior_txn_in_region.sum() > 0
+    data = training(fx).toPandas()
+    coef = model.coefficients(model.fit_alert_model(training(fx)))
+    x, y = data[list(model.FEATURES)].to_numpy(float), data.y.to_numpy(float)
+    weight = np.where(y == 1, len(y) / (2 * max(y.sum(), 1)), len(y) / (2 * max((1 - y).sum(), 1)))
+    b = np.array([coef[n] for n in model.FEATURES])
+    p = 1 / (1 + np.exp(-(x @ b + coef["__intercept_raw__"])))
+    assert np.abs((weight * (p - y)) @ x / len(y) + b / len(y)).max() < 1e-3
