@@ -16,8 +16,9 @@ Hashes have 128 bits together, so different words never meet in practice.
 Rows travel in packed blocks, dealt by hash. A task keeps only the first of equal stretches before it sends, so a passage
 that thousands share arrives about once from every task. No group is ever expanded into pairs.
 
-Rows that repeat an id are copies of one document: a position removed in one is removed in all. Null
-texts have no words.
+A document is an id, which may be null, and a hash of its text: rows that agree in both are copies of one document, and a
+position removed in one is removed in all. Other rows that share an id, or have none, are documents of their own,
+in the order of the hash. Null texts have no words.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraudlake.llm.common import GOLD, Codes, batch_of, id_back, id_key, mix, parts_for, run_hashes, split_words
+from fraudlake.llm.common import GOLD, Codes, batch_of, id_back, id_key, mix, no_text, parts_for, run_hashes, split_words
 from fraudlake.session import cut
 
 WINDOW = 20
@@ -38,7 +39,7 @@ DOCS_PER_GROUP = 128
 DOCS_PER_TASK = 4_000
 BLOCKS = 4096
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-PLACE = (np.int64, np.int32, np.int32)                    # id, first window, windows
+PLACE = (np.int64, np.int64, np.int32, np.int32)          # id, hash of the text, first window, windows
 KEYED = (np.uint64, np.uint64, *PLACE)                    # two hashes, place
 BLOCK_DDL = "b int, kind int, blob binary"
 BLOCK = pa.schema([("b", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -76,6 +77,11 @@ def sent(rows) -> pa.RecordBatch:
     return batch_of(BLOCK, *(zip(*rows) if rows else ([], [], [])))
 
 
+def spread(place) -> np.ndarray:
+    """A long for each document, which deals rows without an id by their text."""
+    return place[0] ^ place[1]
+
+
 class Powers:
     """Powers of the two bases and of their inverses modulo 2**64, grown as texts need them."""
 
@@ -117,7 +123,7 @@ def stretches(codes: np.ndarray, powers: Powers, window: int, seed: int):
 
 def firsts(x: np.ndarray, y: np.ndarray, place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by (x, y, place); whether a row begins a new x, a new (x, y). Repeated places count once, as the first."""
-    order = np.lexsort((place[1], place[0], y, x))
+    order = np.lexsort((place[2], place[1], place[0], y, x))
     a, b = x[order], y[order]
     new_x = np.concatenate(([True], a[1:] != a[:-1])) if len(a) else np.zeros(0, bool)
     new_xy = new_x | np.concatenate(([True], b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
@@ -127,8 +133,8 @@ def firsts(x: np.ndarray, y: np.ndarray, place) -> tuple[np.ndarray, np.ndarray,
 def same_place(order: np.ndarray, new_xy: np.ndarray, place) -> np.ndarray:
     """Rows at the place of the first row of their group (one document that came twice)."""
     head = np.maximum.accumulate(np.where(new_xy, np.arange(len(order)), 0))
-    i, p = place[0][order], place[1][order]
-    return (i == i[head]) & (p == p[head])
+    i, h, p = (c[order] for c in place[:3])
+    return (i == i[head]) & (h == h[head]) & (p == p[head])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
@@ -137,8 +143,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS
     tasks = parts_for(n_docs, DOCS_PER_TASK)
     n_blocks = max(BLOCKS, 16 * tasks)
     groups = _prime(parts_for(n_docs, DOCS_PER_GROUP))
-    rows = docs.select(id_key().alias("id"), "text")
-    grouped = rows.withColumn("b", F.pmod("id", F.lit(groups)).cast("int"))
+    rows = docs.select(id_key().alias("id"), F.xxhash64(no_text()).alias("h"), "text")
+    grouped = rows.withColumn("b", F.pmod(F.col("id").bitwiseXOR(F.col("h")), F.lit(groups)).cast("int"))
 
     def send(x, y, place):
         """Blocks by hash: the first of equal rows goes on, others are gone already."""
@@ -146,19 +152,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS
         stay = np.sort(order[new])
         gone = np.sort(order[~new & ~same_place(order, new, place)])
         out = list(blocks(mix(x[stay]) % np.uint64(n_blocks), OPEN, [x[stay], y[stay], *(p[stay] for p in place)]))
-        return sent([*out, *blocks(mix(place[0][gone].view(np.uint64)) % np.uint64(n_blocks), GONE, [p[gone] for p in place])])
+        return sent([*out, *blocks(mix(spread(place)[gone].view(np.uint64)) % np.uint64(n_blocks), GONE, [p[gone] for p in place])])
 
     def seeds(batches):
         cache, powers = Codes(), Powers()
         for b in batches:
             got = []
-            for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
+            for *doc, text in zip(b.column("id").to_pylist(), b.column("h").to_pylist(), b.column("text").to_pylist()):
                 words = split_words(text)
                 if len(words) >= window:
-                    got.append((np.int64(i), *stretches(cache.of(words), powers, window, seed)))
+                    got.append((*map(np.int64, doc), *stretches(cache.of(words), powers, window, seed)))
             if got:
-                place = (np.concatenate([np.full(len(g[1]), g[0]) for g in got]), np.concatenate([g[3] for g in got]), np.concatenate([g[4] for g in got]))
-                yield send(np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got]), place)
+                place = (*(np.concatenate([np.full(len(g[2]), g[k]) for g in got]) for k in (0, 1)), *(np.concatenate([g[k] for g in got]) for k in (4, 5)))
+                yield send(np.concatenate([g[2] for g in got]), np.concatenate([g[3] for g in got]), place)
 
     def settle(unsure: bool):
         def run(batches):
@@ -170,47 +176,47 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS
             order, new_x, new = firsts(x, y, place)
             away = order[~new & ~same_place(order, new, place)]
             gone = [np.concatenate((p, q[away])) for p, q in zip(from_blobs(got[GONE], PLACE), place)]
-            out = list(blocks(gone[0] % groups, GONE, gone))
+            out = list(blocks(spread(gone) % groups, GONE, gone))
             if unsure and len(order):
                 kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_x))
                 open_ = order[new & (kinds[np.cumsum(new_x) - 1] > 1)]
-                out += blocks(place[0][open_] % groups, UNSURE, [p[open_] for p in place])
+                out += blocks(spread(place)[open_] % groups, UNSURE, [p[open_] for p in place])
             if out:
                 yield sent(out)
         return run
 
-    def by_id(t: pa.Table) -> dict[int, list[np.ndarray]]:
-        """Places of each id of a group."""
-        i, first, n = from_blobs(t.column("blob").to_pylist(), PLACE)
-        order = np.argsort(i, kind="stable")
-        i, first, n = i[order], first[order], n[order]
-        starts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else []
-        return {int(i[a]): [first[a:b], n[a:b]] for a, b in zip(starts, [*starts[1:], len(i)])}
+    def by_document(t: pa.Table) -> dict[tuple[int, int], list[np.ndarray]]:
+        """Places of each document of a group."""
+        i, h, first, n = from_blobs(t.column("blob").to_pylist(), PLACE)
+        order = np.lexsort((h, i))
+        i, h, first, n = i[order], h[order], first[order], n[order]
+        starts = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (h[1:] != h[:-1])))) if len(i) else []
+        return {(int(i[a]), int(h[a])): [first[a:b], n[a:b]] for a, b in zip(starts, [*starts[1:], len(i)])}
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         """Windows of the unsure stretches of a group of documents."""
-        places, cache, powers, got = by_id(right), Codes(), Powers(), []
-        for i, text in zip(left.column("id").to_pylist(), left.column("text").to_pylist()):
-            if i in places:
+        places, cache, powers, got = by_document(right), Codes(), Powers(), []
+        for i, h, text in zip(left.column("id").to_pylist(), left.column("h").to_pylist(), left.column("text").to_pylist()):
+            if (i, h) in places:
                 codes = cache.of(split_words(text))
-                first, n = places[i]
+                first, n = places[i, h]
                 at = np.unique(np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())).astype(np.int64)
                 at = at[at + window <= len(codes)]
-                got.append((np.full(len(at), np.int64(i)), span_hashes(codes, at, at + window, powers, 0),
+                got.append((np.full(len(at), np.int64(i)), np.full(len(at), np.int64(h)), span_hashes(codes, at, at + window, powers, 0),
                             span_hashes(codes, at, at + window, powers, 1), at.astype(np.int32)))
         if not got:
             return pa.Table.from_batches([sent([])])
-        place = (np.concatenate([g[0] for g in got]), np.concatenate([g[3] for g in got]), np.ones(sum(len(g[0]) for g in got), np.int32))
-        return pa.Table.from_batches([send(np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got]), place)])
+        place = (*(np.concatenate([g[k] for g in got]) for k in (0, 1, 4)), np.ones(sum(len(g[0]) for g in got), np.int32))
+        return pa.Table.from_batches([send(np.concatenate([g[2] for g in got]), np.concatenate([g[3] for g in got]), place)])
 
     final = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:
-        places, out = by_id(right), []
-        for i, text in zip(left.column("id").to_pylist(), left.column("text").to_pylist()):
+        places, out = by_document(right), []
+        for i, h, text in zip(left.column("id").to_pylist(), left.column("h").to_pylist(), left.column("text").to_pylist()):
             words = split_words(text)
-            if i in places and words:
-                first, n = places[i]
+            if (i, h) in places and words:
+                first, n = places[i, h]
                 ends = np.minimum(first.astype(np.int64) + n + window - 1, len(words))
                 step = np.bincount(np.minimum(first, len(words)), minlength=len(words) + 1) - np.bincount(ends, minlength=len(words) + 1)
                 live = np.cumsum(step[:-1]) <= 0

@@ -249,6 +249,21 @@ def test_substring_dedup_odd_rows(odd, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substring_dedup_of_null_and_repeated_ids(spark):
+    """Texts without an id, or of one id, neither share removals nor count as one place; identical rows do."""
+    rng = random.Random(24)
+    a, b, c = prose(rng, 40), prose(rng, 60), prose(rng, 60)
+    texts = [a + " " + b, a + " " + c, c, prose(rng, 90)]
+    rows = [(i, t) for i in (None, 5) for t in texts] + [(None, texts[0]), (5, texts[3]), (9, prose(rng, 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text")).repartition(5)
+    number = {r["text"]: r["h"] for r in df.collect()}
+    documents = sorted({(-1 if i is None else i, number[t], t) for i, t in rows})
+    want = plain_repeats([(k, t) for k, (_, _, t) in enumerate(documents)])
+    where = {(i, t): k for k, (i, _, t) in enumerate(documents)}
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df).collect())
+    assert got == Counter((i, *want[where[-1 if i is None else i, t]]) for i, t in rows)
+
+
 # ---- secrets -----------------------------------------------------------------------------------
 
 
