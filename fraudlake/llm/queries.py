@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlake.llm import bk_dedup, decontaminate, fingerprint, language, packing, quality, secrets, sharding, substring_dedup, toxicity
+from fraudlake.llm import (
+    align, bk_dedup, decontaminate, exact_dedup, fim, fingerprint, language, packing, quality, secrets, sharding, substring_dedup, toxicity,
+)
 from fraudlake.llm.common import held_out, table
 
 
@@ -70,10 +72,29 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir))
 
 
+def op11_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers in every document, and how common its pairs are in all."""
+    return align.align_documents(table(spark, sf_dir))
+
+
+def op12_rotation_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in fill-in-middle order, and the digest of the text rebuilt from it."""
+    made = fim.restore(fim.transform(table(spark, sf_dir).select("doc_id", "text")))
+    return made.select("doc_id", F.col("fim_tokens").alias("n"), F.col("fim_form").alias("form"), "prefix_chars", "middle_chars",
+                       F.sha2("fim_output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_run_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the largest id of its text, the size of its group and whether it stays."""
+    return exact_dedup.groups(table(spark, sf_dir), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_substring_dedup, op3_secret_field, op4_ftrl_language, op5_simhash_bk_dedup,
     op6_counterfactual_toxicity, op7_maglev_sharding,
     op8_weighted_fingerprints, op9_benchmark_simhash_windows, op10_quality_fourier_ridge,
+    op11_merge_path_alignment, op12_rotation_fim, op13_run_merge_dedup,
 )}
 # The others rest on trained models or on hashes that the SQL engine lacks; tests compare them with brute force.
-ORACLES: dict[str, str] = {"op2_substring_dedup": substring_dedup.ORACLE, "op7_maglev_sharding": sharding.ORACLE}
+ORACLES: dict[str, str] = {"op2_substring_dedup": substring_dedup.ORACLE, "op7_maglev_sharding": sharding.ORACLE,
+                           "op12_rotation_fim": fim.ORACLE, "op13_run_merge_dedup": exact_dedup.ORACLE}
