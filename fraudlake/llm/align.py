@@ -20,6 +20,7 @@ A very long text is handled whole. Other columns are ignored. An empty table giv
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from dataclasses import dataclass, field
@@ -28,9 +29,12 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from fraudlake.llm.common import id_back, id_key
 from fraudlake.session import cut
@@ -41,6 +45,9 @@ BLOCK_TOKENS = 1_500_000
 PIECE_WORK = 1 << 16        # steps of the merge in one piece
 CHUNK_CHARS = 1 << 15       # texts are tokenized in chunks of about this size
 PAIR_STEP = 1 << 22         # entries of pairs made at a time
+LONG_RUN = 2_000            # characters without a cut from which on time may grow with the square in the fast encoder
+# Fixed value: how a byte-level vocabulary splits a text before it merges.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -51,21 +58,50 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class ByteLevel:
+    """A byte-level vocabulary file. Its ids follow the order of its merges, which is all that the fast encoder needs."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        back = byte_alphabet()
+        self.path, self.slow = path, None
+        self.pieces = {i: bytes(map(back.__getitem__, s)) for s, i in model["vocab"].items() if all(c in back for c in s)}
+        merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+        ids = [model["vocab"][m.replace(" ", "", 1)] for m in merges]
+        self.fast = None
+        if ids == sorted(ids):
+            known = {b: i for i, b in self.pieces.items() if len(b) == 1} | {self.pieces[i]: i for i in ids}
+            self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=known, special_tokens={})
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of a space and each text. Texts with a very long run without a cut go to the encoder whose time stays linear there."""
+        out, rest = [], []
+        for text in texts:
+            if self.fast and (len(text) < LONG_RUN or (max(map(len, text.split(" "))) < LONG_RUN and " " * LONG_RUN not in text)):
+                out.append(self.fast.encode_ordinary(" " + text))
+            else:
+                rest.append(len(out))
+                out.append(" " + text)
+        if rest:
+            if not self.slow:
+                os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark already runs one task for each core
+                self.slow = Tokenizer.from_file(self.path)
+                self.slow.encode_special_tokens = True
+            for k, e in zip(rest, self.slow.encode_batch_fast([out[k] for k in rest], add_special_tokens=False)):
+                out[k] = e.ids
+        return out
+
+
 class Vocabulary:
     """One tokenizer: ids of texts, and the bytes of every id."""
 
     def __init__(self, path: str):
         if path.endswith(".json"):
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark already runs one task for each core
-            from tokenizers import Tokenizer
-            t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
-            back = byte_alphabet()
-            names = sorted((i, s) for s, i in t.get_vocab(with_added_tokens=True).items())
-            pieces = {i: bytes(back[c] for c in s) if all(c in back for c in s) else s.encode() for i, s in names}
-            self._ids = lambda texts: [e.ids for e in t.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
+            t = ByteLevel(path)
+            pieces = t.pieces
+            self._ids = t.ids
         else:
-            import sentencepiece
             t = sentencepiece.SentencePieceProcessor(model_file=path)
             pieces = {i: bytes([int(t.id_to_piece(i)[3:5], 16)]) if t.is_byte(i) else t.id_to_piece(i).replace("▁", " ").encode()
                       for i in range(t.vocab_size())}
