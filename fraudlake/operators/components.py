@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudlake.cols import MONEY
@@ -66,36 +66,72 @@ def alert_components(flags: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("alert_id", F.greatest("n_cards", F.lit(1)).alias("n_cards"), "n_devices")
 
 
+WORDS = 8               # longs of a bitmap
+SEEDS = 64 * WORDS      # seeds of a block
+BITS = [f"b{k}" for k in range(WORDS)]
+
+
+def _or(df: DataFrame, key: list[str], *names: str) -> DataFrame:
+    return df.groupBy(*key).agg(*[F.bit_or(n).alias(n) for n in names])
+
+
+def _fresh(found: DataFrame, seen: DataFrame | None, key: list[str]) -> DataFrame:
+    """Bits of ``found`` that ``seen`` does not have yet; rows without any drop out."""
+    if seen is None:
+        return _or(found, key, *BITS)
+    old = [f"old_{b}" for b in BITS]
+    zero = F.lit(0).cast("long")
+    both = found.select(*key, *BITS, *[zero.alias(o) for o in old]).unionByName(seen.select(*key, *[zero.alias(b) for b in BITS], *[F.col(b).alias(o) for b, o in zip(BITS, old)]))
+    new = _or(both, key, *BITS, *old).select(*key, *[F.col(b).bitwiseAND(F.bitwise_not(F.col(o))).alias(b) for b, o in zip(BITS, old)])
+    some = F.lit(False)
+    for b in BITS:
+        some = some | (F.col(b) != 0)
+    return new.where(some)
+
+
+def _seeds_of() -> Column:
+    """Numbers of the bits that are set, as an array."""
+    word = lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col(BITS[k]).bitwiseAND(_one_bit(i)) != 0), lambda i: i + 64 * k)
+    return F.concat(*[F.when(F.col(b) == 0, F.array().cast("array<int>")).otherwise(word(k)) for k, b in enumerate(BITS)])
+
+
+def _one_bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+
 def ring_wcc(flags: DataFrame, known: DataFrame, txn: DataFrame, cap: int = 100, max_iter: int = 8) -> DataFrame:
     """Component reached from each alert's card in at most ``max_iter`` card-device-card rounds.
 
-    Alerts are reduced to distinct seed cards. A limited search has to know distances, so it keeps
-    (seed, card) pairs; for unlimited components of many seeds use ``wcc`` and ``alert_components``.
+    All seeds search at once: distinct seed cards are numbered in blocks of ``SEEDS``, and every card and device
+    carries, for each block, a bitmap of the seeds that have reached it. A round passes the bits that are new on to the neighbours; new
+    bits are appended to the rows of earlier rounds. Cards that the same seeds of a block reach form one class, and
+    an alert counts the rows of its classes in its window on their time lines. So no table has a row for each (seed, card).
     """
     edges = cut(narrow_edges(known, cap))
-    seeds = flags.select(F.col("card").alias("seed")).distinct()
-    seen = cut(seeds.select("seed", F.col("seed").alias("card"), F.lit(0).alias("round")))
-    devices = None
-    front = seen
+    at = F.monotonically_increasing_id()
+    seeds = cut(flags.select("card").where(F.col("card").isNotNull()).distinct().select("card", at.alias("at")))
+    seeds = seeds.select("card", F.shiftright("at", SEEDS.bit_length() - 1).alias("block"), F.col("at").bitwiseAND(F.lit(SEEDS - 1)).cast("int").alias("seed"))
+    zero = F.lit(0).cast("long")
+    front = cut(seeds.select("block", "card", *[F.when(F.floor(F.col("seed") / F.lit(64)) == k, _one_bit(F.col("seed") % 64)).otherwise(zero).alias(b) for k, b in enumerate(BITS)]))
+    cards, devices = front.withColumn("round", F.lit(0)), None
     for i in range(1, max_iter + 1):
-        hop = front.select("seed", "card").join(edges, "card").select("seed", "device_profile").distinct()
-        if devices is not None:
-            hop = hop.join(devices, ["seed", "device_profile"], "left_anti")
-        hop = cut(hop)
-        devices = hop if devices is None else cut(devices.unionByName(hop))
-        new = (hop.join(edges, "device_profile").select("seed", "card").distinct()
-               .join(seen, ["seed", "card"], "left_anti").withColumn("round", F.lit(i)))
-        front = cut(new)
+        hop = cut(_fresh(front.join(edges, "card").select("block", "device_profile", *BITS), devices, ["block", "device_profile"]))
+        devices = hop if devices is None else devices.unionByName(hop)
+        front = cut(_fresh(hop.join(edges, "device_profile").select("block", "card", *BITS), cards, ["block", "card"]))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    size = seen.groupBy("seed").agg(F.count("*").alias("size"), F.max("round").alias("r"))
-    size = size.withColumn("iterations", F.least(F.col("r") + 1, F.lit(max_iter)))
-    nd = devices.groupBy("seed").agg(F.count("*").alias("n_devices"))
-    probes = flags.select("alert_id", F.col("card").alias("seed"), "lo_us", "hi_us").join(seen.select("seed", "card"), "seed")
-    use = window_sums(probes, txn, ["card"], {"n": F.lit(1), "amt": F.col("amt").cast(MONEY)}, ["alert_id"])
-    out = (flags.select("alert_id", F.col("card").alias("seed")).join(size, "seed").join(nd, "seed", "left")
-           .join(use, "alert_id", "left"))
+        cards = cards.unionByName(front.withColumn("round", F.lit(i)))
+    # set bits are counted as they are unpacked; only the counts of a seed are kept
+    size = (cards.select("block", "round", F.explode(_seeds_of()).alias("seed")).groupBy("block", "seed")
+            .agg(F.count("*").alias("size"), F.least(F.max("round") + 1, F.lit(max_iter)).alias("iterations")))
+    nd = devices.select("block", F.explode(_seeds_of()).alias("seed")).groupBy("block", "seed").agg(F.count("*").alias("n_devices"))
+    asking = flags.select("alert_id", "card", "lo_us", "hi_us").join(seeds, "card")
+    members = cut(_or(cards, ["block", "card"], *BITS))
+    classes = members.select("block", *BITS).distinct().select("block", *BITS, F.explode(_seeds_of()).alias("seed"))
+    probes = cut(asking.select("alert_id", "block", "seed", "lo_us", "hi_us").join(classes, ["block", "seed"]).drop("seed"))
+    rows = txn.select("card", "ts_us", F.col("amt").cast(MONEY).alias("amt")).join(members, "card")
+    use = window_sums(probes, rows, ["block", *BITS], {"n": F.lit(1), "amt": F.col("amt")}, ["alert_id"])
+    out = asking.select("alert_id", "block", "seed").join(size, ["block", "seed"]).join(nd, ["block", "seed"], "left").join(use, "alert_id", "left")
     out = longs(out, "n_devices", "n", "iterations")
     return out.select("alert_id", "size", "n_devices", "iterations", F.col("n").alias("component_n_txns"),
                       F.coalesce(F.col("amt").cast("double"), F.lit(0.0)).alias("component_exposure"))

@@ -113,7 +113,7 @@ def _has(actions: Column, name: str) -> Column:
     return F.exists(actions, lambda a: a["action"] == name)
 
 
-def _guards(block_all: bool) -> Column:
+def _guards(block_all: bool, credentials: Column | None = None) -> Column:
     """Actions a fraud verdict guarantees, in order; each is added unless ``unless`` is in the list."""
     fraud = (F.col("verdict") == "fraud") & (F.col("rule") != "recurring")
     pat = F.coalesce(F.col("pattern"), F.lit("none"))
@@ -124,17 +124,22 @@ def _guards(block_all: bool) -> Column:
         ("STEP_UP_AUTH", "R5: card testing", fraud & (pat == "card_testing"), "STEP_UP_AUTH"),
     ]
     if block_all:
-        rows.append(("BLOCK_ALL_CARDS", "R10: fraud on two cards of the customer", block_all_gate(), "CLOSE_NO_FRAUD"))
+        rows.append(("BLOCK_ALL_CARDS", "R10: fraud on two cards of the customer, or compromised credentials", block_all_gate(credentials), "CLOSE_NO_FRAUD"))
     return F.array(*[F.struct(F.lit(n).alias("action"), F.lit(r).alias("reason"), F.coalesce(c, F.lit(False)).alias("on"), F.lit(u).alias("unless")) for n, r, c, u in rows])
 
 
-def block_all_gate() -> Column:
-    """Two cards with fraud, a fraud verdict and a named pattern; a closed case still excludes it."""
-    return (F.col("verdict") == "fraud") & flag("two_cards") & (F.coalesce(F.col("pattern"), F.lit("none")) != "none")
+def block_all_gate(credentials: Column | None = None) -> Column:
+    """Two cards with fraud or compromised credentials, a fraud verdict and a named pattern; a closed case still excludes it."""
+    why = flag("two_cards") if credentials is None else flag("two_cards") | F.coalesce(credentials, F.lit(False))
+    return (F.col("verdict") == "fraud") & why & (F.coalesce(F.col("pattern"), F.lit("none")) != "none")
 
 
 def decide(df: DataFrame, block_all: bool = True) -> DataFrame:
-    """Add ``rule``, ``actions`` (ordered, with route and reason), ``case_open``, ``report`` and ``escalate``."""
+    """Add ``rule``, ``actions`` (ordered, with route and reason), ``case_open``, ``report`` and ``escalate``.
+
+    A column ``credentials_compromised`` is optional; without it nothing is known to be compromised.
+    """
+    credentials = F.col("credentials_compromised") if "credentials_compromised" in df.columns else None
     acts = None
     for name, rows in _ladder().items():
         arr = F.array_compact(F.array(*rows))
@@ -146,7 +151,7 @@ def decide(df: DataFrame, block_all: bool = True) -> DataFrame:
         a["action"].alias("action"), route(a["action"], F.col("exposure")).alias("route"), a["reason"].alias("reason")))
     d = df.withColumn("rule", rule())
     # one expression that names the ladder once: a chain of columns would repeat it in every later filter
-    d = d.withColumn("actions", F.aggregate(_guards(block_all), acts, add, routed))
+    d = d.withColumn("actions", F.aggregate(_guards(block_all, credentials), acts, add, routed))
     d = d.withColumn("case_open", F.when(F.col("rule").isin("legitimate", "confirmed", "no_reply", "testing", "single_signal", "watch"), case_required()).otherwise(True))
     return d.withColumn("report", _has(F.col("actions"), "FILE_REPORT")).withColumn("escalate", _has(F.col("actions"), "ESCALATE_TO_ANALYST"))
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraudlake.cols import HOUR_US
+from fraudlake.cols import DAY_US, HOUR_US
 from fraudlake.operators.neighbors import DISTANT_PAST, around, longs, one, online, proxied
-from fraudlake.operators.timeline import window_sums
+from fraudlake.operators.timeline import asked, running_max, window_members, window_sums
 
 # Weights used when no fitted ratio is given, and the near-threshold weight.
 DEFAULT_LR = {
@@ -35,25 +35,15 @@ def nearby_activity(flags: DataFrame, txn: DataFrame, hours: int = 48, entity: s
 def prior_big_purchases(flags: DataFrame, txn: DataFrame, entity: str = "customer_id", floor: float = 1000.0) -> DataFrame:
     """Whether an earlier row of the entity has at least half the flagged amount.
 
-    The largest earlier amount decides. Only alerts above ``floor`` ask, and rows below half of it
-    cannot answer, so little data takes part.
+    The largest earlier amount decides: a time line of the entity carries the running maximum, and an alert is one
+    probe on it. Only alerts above ``floor`` ask, and rows below half of it cannot answer, so little data takes part.
     """
-    asks = flags.where(F.col("amt") > floor).select("alert_id", entity, F.col("ts_us").alias("at"), F.col("amt").alias("x"))
-    rows = txn.where(F.col("amt") >= floor / 2).select(entity, "ts_us", "amt")
-    # each alert has its own amount limit: rows count on the time line of (entity, amount step)
-    step = F.floor(F.log2(F.col("amt")))
-    own = F.floor(F.log2(F.col("x") / 2))
-    top = rows.select(entity, "ts_us", step.alias("s"), "amt")
-    # full steps above the limit's own step count wholly
-    steps = top.select(entity, "s").distinct()
-    p = asks.withColumn("o", own).join(steps, entity)
-    above = p.where(F.col("s") > F.col("o")).select("alert_id", entity, "s", F.lit(DISTANT_PAST).alias("lo_us"), (F.col("at") - 1).alias("hi_us"))
-    a = window_sums(above, top, [entity, "s"], {"n": F.lit(1)}, ["alert_id"])
-    # inside that step only the first time each amount was reached matters
-    first = top.groupBy(entity, "s", "amt").agg(F.min("ts_us").alias("t"))
-    b = (p.where(F.col("s") == F.col("o")).join(first, [entity, "s"]).where((F.col("t") < F.col("at")) & (F.col("amt") >= F.col("x") * 0.5))
-         .groupBy("alert_id").agg(F.count("*").alias("n")))
-    hit = a.where(F.col("n") > 0).select("alert_id").unionByName(b.select("alert_id")).distinct().withColumn("has_prior_big", F.lit(True))
+    probes = flags.where(F.col("amt") > floor).select(
+        "alert_id", entity, F.lit(DISTANT_PAST).alias("lo_us"), (F.col("ts_us") - 1).alias("t"), F.col("amt").alias("x"))
+    probes = probes.where(F.col(entity).isNotNull())
+    rows = asked(probes, txn.where((F.col("amt") >= floor / 2) & F.col(entity).isNotNull()), [entity], F.col("t"))
+    top = running_max(rows.select(entity, F.col("ts_us").alias("t"), "amt"), probes, [entity], "amt", ["alert_id", "x"])
+    hit = top.where(F.col("amt") >= F.col("x") * 0.5).select("alert_id").distinct().withColumn("has_prior_big", F.lit(True))
     return flags.select("alert_id").join(hit, "alert_id", "left").withColumn("has_prior_big", F.coalesce("has_prior_big", F.lit(False)))
 
 
@@ -71,26 +61,28 @@ def yes(sql: str) -> Column:
     return F.coalesce(F.expr(f"({sql})"), F.lit(False))
 
 
-
-def _row(name: str, fires: Column, pattern: Column | str | None, channel: str, log_lr: Column, tag: Column | str | None = None) -> Column:
+def _row(name: str, fires: Column, pattern: Column | str | None, channel: str, log_lr: Column, tag: Column | str | None = None,
+         names: Column | bool = False) -> Column:
+    """The row of a detector that fires; ``names`` tells whether it holds the flagged transaction itself for affected."""
     text = lambda v: (F.lit(v) if v is None or isinstance(v, str) else v).cast("string")
+    own = F.lit(names) if isinstance(names, bool) else names
     return F.when(fires, F.struct(F.lit(name).alias("detector"), text(pattern).alias("pattern"), text(tag).alias("tag"),
-                                  F.lit(channel).alias("channel"), log_lr.cast("double").alias("log_lr")))
+                                  F.lit(channel).alias("channel"), log_lr.cast("double").alias("log_lr"), own.alias("names_flagged")))
 
 
 def card_testing(lr):
-    return _row("card_testing", yes("testing_fires"), "card_testing", "sequence", F.lit(lr["card_testing"]), "testing_sequence_fires")
+    return _row("card_testing", yes("testing_fires"), "card_testing", "sequence", F.lit(lr["card_testing"]), "testing_sequence_fires", True)
 
 
 def card_not_present(lr):
     f = yes("channel = 'online' AND unseen_product AND n_online >= 2 AND abs(amt_z) > 3")
-    return _row("card_not_present_fraud", f, "card_not_present_fraud", "amount", F.lit(lr["cnp_burst"]))
+    return _row("card_not_present_fraud", f, "card_not_present_fraud", "amount", F.lit(lr["cnp_burst"]), names=True)
 
 
 def new_device(lr):
     f = yes("channel = 'online' AND device_profile IS NOT NULL AND (coalesce(is_new_device, false) OR coalesce(id_15 = 'New', false))")
     return _row("card_not_present_new_device", f, "card_not_present_new_device", "device",
-                F.when(yes("proxy_flag"), lr["new_device_proxy"]).otherwise(lr["new_device"]))
+                F.when(yes("proxy_flag"), lr["new_device_proxy"]).otherwise(lr["new_device"]), names=True)
 
 
 def out_of_region(lr):
@@ -98,13 +90,13 @@ def out_of_region(lr):
     damp = (F.when(yes("had_prior_txn_in_region"), 0.5).otherwise(1.0) * F.when(yes("prior_cleared_travel"), 0.35).otherwise(1.0)
             * F.when(yes("n_home_in_window > 0"), 1.5).otherwise(1.0))
     tag = F.when(yes("prior_cleared_travel"), "legit_trip_hint")
-    return _row("out_of_region_use", f, "out_of_region_use", "region", F.lit(lr["out_of_region"]) * damp, tag)
+    return _row("out_of_region_use", f, "out_of_region_use", "region", F.lit(lr["out_of_region"]) * damp, tag, True)
 
 
 def account_takeover(lr):
     f = yes("coalesce(mixed_24h, false) OR (near_online >= 1 AND near_in_person >= 1) OR "
             "(CAST(near_new >= 1 AS INT) + CAST(near_proxied >= 1 AS INT) + CAST(near_bad_match >= 1 AS INT)) >= 2")
-    return _row("account_takeover", f, "account_takeover", "identity_flags", F.lit(lr["account_takeover"]))
+    return _row("account_takeover", f, "account_takeover", "identity_flags", F.lit(lr["account_takeover"]), names=True)
 
 
 def proxy_ring(lr):
@@ -114,11 +106,12 @@ def proxy_ring(lr):
     for t in ("T1", "T2", "T3", "T4"):
         w = w.when(F.col("tier") == t, lr[t])
     ring = yes("tier IN ('T3', 'T4') AND NOT is_hub")
-    return _row("undocumented_proxy_ring", f, F.when(ring, "undocumented"), "device", w.otherwise(0.0), F.when(ring, "undocumented_coordinated"))
+    return _row("undocumented_proxy_ring", f, F.when(ring, "undocumented"), "device", w.otherwise(0.0), F.when(ring, "undocumented_coordinated"),
+                yes("tier IS NOT NULL AND NOT is_hub"))
 
 
 def near_threshold(lr):
-    return _row("undocumented_threshold_burst", yes("near_threshold_fires"), "undocumented", "sequence", F.lit(lr["near_threshold"]), "undocumented_coordinated")
+    return _row("undocumented_threshold_burst", yes("near_threshold_fires"), "undocumented", "sequence", F.lit(lr["near_threshold"]), "undocumented_coordinated", True)
 
 
 def legit_trip(lr):
@@ -166,13 +159,56 @@ def register_detector(name: str, fn: Callable[[dict], Column], into: dict | None
 
 
 def run_detectors(signals: DataFrame, lr: dict[str, float] | None = None, detectors: dict | None = None) -> DataFrame:
-    """All detector rows of all alerts in one projection: ``(alert_id, seq, detector, pattern, tag, channel, log_lr)``."""
+    """All detector rows of all alerts in one projection: ``(alert_id, seq, detector, pattern, tag, channel, log_lr, names_flagged)``."""
     lr = {**DEFAULT_LR, **(lr or {})}
     cols = [fn(lr) for fn in (detectors or DETECTORS).values()]
     x = signals.select("alert_id", F.posexplode(F.array(*cols)).alias("seq", "r")).where(F.col("r").isNotNull())
     return x.select("alert_id", "seq", "r.*")
 
 
+# Which rows of the alert's window a detector names besides the flagged one: a predicate on transactions for each such detector.
+MEMBERS: dict[str, str] = {"card_testing": "channel = 'online' AND (amt < {small} OR amt > {large})"}
+
+
+def affected_ids(flags: DataFrame, txn: DataFrame, fired: DataFrame, small: float = 5.0, large: float = 100.0,
+                 members: dict[str, str] | None = None, width_us: int = 14 * DAY_US) -> DataFrame:
+    """``(alert_id, detector, txn_id)``: the transactions each firing detector holds for affected.
+
+    ``fired`` are the rows of ``run_detectors``. Detectors that look at a window put their name and window on
+    one list of intervals, and a single bucketed interval join finds the rows of all of them; a row passes only the
+    predicate of the detector that asks. Alerts on which no such detector fires read nothing.
+    """
+    rules = {n: p.format(small=small, large=large) for n, p in (MEMBERS if members is None else members).items()}
+    own = flags.select("alert_id", F.col("flagged_txn_id").alias("txn_id"))
+    named = fired.where("names_flagged").select("alert_id", "detector").join(own, "alert_id").select("alert_id", "detector", "txn_id")
+    if not rules:
+        return named
+    asking = fired.where(F.col("detector").isin(list(rules))).select("alert_id", "detector")
+    spans = asking.join(flags.select("alert_id", "card", "lo_us", "hi_us"), "alert_id").where(F.col("card").isNotNull())
+    # one flag for each rule, so that a row meets the intervals once whatever the number of rules
+    tests = {f"_is_{k}": yes(rule) for k, rule in enumerate(rules.values())}
+    any_rule = F.lit(False)
+    for t in tests.values():
+        any_rule = any_rule | t
+    rows = txn.where(any_rule).select("card", "txn_id", "ts_us", *[t.alias(n) for n, t in tests.items()])
+    hit = window_members(spans, rows, ["card"], width_us)
+    keep = F.lit(False)
+    for k, name in enumerate(rules):
+        keep = keep | ((F.col("detector") == name) & F.col(f"_is_{k}"))
+    return named.unionByName(hit.where(keep).select("alert_id", "detector", "txn_id")).distinct()
+
+
+def with_affected(fired: DataFrame, affected: DataFrame) -> DataFrame:
+    """``fired`` with the number of affected transactions and their ids in ascending order, joined by ``|`` (empty: none).
+
+    The list is that of one alert and detector, as a report prints it; joins and counts start from ``affected_ids``.
+    """
+    ids = affected.groupBy("alert_id", "detector").agg(F.count("*").alias("n_affected"), F.array_sort(F.collect_list("txn_id")).alias("_ids"))
+    out = fired.join(ids, ["alert_id", "detector"], "left")
+    return (out.withColumn("n_affected", F.coalesce("n_affected", F.lit(0).cast("long")))
+            .withColumn("affected_txn_ids", F.coalesce(F.array_join(F.col("_ids").cast("array<string>"), "|"), F.lit(""))).drop("_ids"))
+
+
 def select_pattern(alerts: DataFrame, rows: DataFrame) -> DataFrame:
     """Undocumented wins; else the named pattern with the largest positive weight, detector order breaking ties."""
     named = rows.where(F.col("pattern").isNotNull() & (F.col("pattern") != "none"))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fraudlake.operators.ranks import class_ranks, quantiles, running_total
+
 # Note patterns of cleared cases, tried in this order.
 ARCHETYPES = [
     ("travel", r"(?i)\btravel(?:led|ling)?\b|\btrip\b"),
     ("new_phone", r"(?i)\b(new phone|new device|got a new)\b"),
     ("big_purchase", r"(?i)\b(large|big|expensive) (?:purchase|transaction)\b"),
 ]
+# Names of patterns.
 PATTERNS = ["card_testing", "card_not_present_fraud", "card_not_present_new_device", "out_of_region_use", "account_takeover", "undocumented", "none"]
 
 
@@ -25,15 +28,13 @@ def archetype(note: str = "analyst_notes") -> Column:
 def stratified_sample(cases: DataFrame, by: Column, n: int, seed: int = 42, key: str = "case_id") -> DataFrame:
     """Equal shares of each stratum in hashed order, topped up to ``n`` from what is left.
 
-    Ranks inside a stratum are taken among its first ``n`` rows only, found by a distributed top-n.
+    Ranks are taken in ranges of the hash, so a stratum is spread over tasks whatever ``n`` is.
     """
-    h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
-    d = cases.withColumn("stratum", by).withColumn("_h", h)
+    d = cases.withColumn("stratum", by)
     strata = max(1, d.select("stratum").distinct().count())
     share = max(1, n // strata)
-    w = Window.partitionBy("stratum").orderBy("_h", key)
-    d = d.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= n)
-    return d.orderBy(F.col("_rk") > share, "_h", key).limit(n).drop("_h", "_rk")
+    ranked = class_ranks(d, key, "stratum", seed).where(F.col("_rank") < n)
+    return ranked.orderBy(F.col("_rank") >= share, "_h", key).limit(n).drop("_h", "_rank", "_class_rows")
 
 
 def oot_split(cases: DataFrame, cut_us: int) -> DataFrame:
@@ -116,23 +117,6 @@ def auc(p: DataFrame) -> DataFrame:
         "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
-def running_total(df: DataFrame, order: str, value: str, rows_per_range: int = 500_000) -> DataFrame:
-    """``before``: the sum of ``value`` over rows with a smaller ``order`` value (distinct values).
-
-    Range limits make it two steps: totals of the ranges, then running sums inside each range. The number of
-    ranges follows the number of rows.
-    """
-    ranges = max(2, -(-df.count() // rows_per_range))
-    marks = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] or []
-    arr = F.array(*[F.lit(float(m)) for m in sorted(set(marks))]) if marks else F.array().cast("array<double>")
-    d = df.withColumn("_r", F.size(F.filter(arr, lambda m: m <= F.col(order))))
-    tot = d.groupBy("_r").agg(F.sum(value).alias("_t"))
-    start = tot.select("_r", (F.sum("_t").over(Window.orderBy("_r")) - F.col("_t")).alias("_start"))  # one row for each range
-    w = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (d.join(F.broadcast(start), "_r").withColumn("before", F.col("_start") + F.coalesce(F.sum(value).over(w), F.lit(0)))
-            .drop("_r", "_start"))
-
-
 def reliability(p: DataFrame, bins: int = 10) -> DataFrame:
     b = F.least(F.lit(bins - 1), F.floor(F.col("p") * bins)).cast("int")
     return p.groupBy(b.alias("bin")).agg(F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("mean_y"), F.count("*").alias("n"))
@@ -140,10 +124,7 @@ def reliability(p: DataFrame, bins: int = 10) -> DataFrame:
 
 def reliability_quantile(p: DataFrame, weight: str, bins: int = 10) -> DataFrame:
     """Weighted reliability over bins with equal row counts; equal edges merge."""
-    qs = ", ".join(f"{i / bins}D" for i in range(bins + 1))
-    # exact percentiles from counts of distinct scores
-    hist = p.groupBy("p").agg(F.count("*").alias("_n"))
-    edges = sorted(set(hist.agg(F.expr(f"percentile(p, array({qs}), _n)")).first()[0]))
+    edges = sorted(set(quantiles(p.where(F.col("p").isNotNull()), "p", [i / bins for i in range(bins + 1)])))
     if len(edges) < 3:
         edges = [i / bins for i in range(bins + 1)]
     arr = F.array(*[F.lit(float(e)) for e in edges[1:-1]])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudlake.cols import DAY_US, HOUR_US, SEC_US, is_proxied
+from fraudlake.operators.ranks import from_key, keys_at
 from fraudlake.operators.rolling import rolling_median
 from fraudlake.operators.timeline import (_carry, add_slice, find_slices, heavy_keys, join_key, window_sums)
 from fraudlake.session import cut, max_rows, small
@@ -178,44 +179,19 @@ def prior_case_flags(txn: DataFrame, cj: DataFrame) -> DataFrame:
              .drop("_f", "_t", "_p", "_cf"))
 
 
-def _at_ranks(keys: DataFrame, total: int, ranks: list[int]) -> list[tuple]:
-    """The keys at the given positions of the global order: a bounded answer of one row for each position."""
-    limit = max_rows(keys.sparkSession)
-    df, before = keys, F.lit(0)
-    if total > limit:
-        # split the order at sampled keys, so that no task sorts more than its share
-        parts = min(2 * total // limit + 1, 20_000)
-        every = max(1, total // (parts * 10))
-        sample = keys.where(F.pmod(F.xxhash64("txn_id"), F.lit(every)) == 0).limit(parts * 20)
-        picked = sorted(tuple(r) for r in sample.collect())
-        marks = F.array(*[F.struct(F.lit(z).alias("z"), F.lit(s).alias("s"), F.lit(i).alias("txn_id"))
-                          for z, s, i in picked[::max(1, len(picked) // parts)]])
-        df = keys.withColumn("_part", F.size(F.filter(marks, lambda m: m <= F.struct("z", "s", "txn_id"))))
-        sizes = df.groupBy("_part").agg(F.count("*").alias("_n"))
-        start = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-        df, before = df.join(F.broadcast(start), "_part"), F.col("_before")
-        w = Window.partitionBy("_part").orderBy("z", "s", "txn_id")
-    else:
-        w = Window.orderBy("z", "s", "txn_id")
-    rank = before + F.row_number().over(w) - 1
-    return sorted(tuple(r) for r in df.withColumn("_rank", rank).where(F.col("_rank").isin(ranks)).select("z", "s", "txn_id").collect())
-
-
 def risk_decile(txn: DataFrame, tiles: int = 10) -> DataFrame:
     """Global ``ntile`` over (score, id) with the NULL score last.
 
-    Only narrow keys are sorted, to find the first key of each tile; the rows themselves are
+    The first key of each tile is found by counting ranges of the scores; the rows themselves are
     then compared with these few keys where they are, without a shuffle.
     """
     z, s = F.col("risk_score").isNull(), F.coalesce("risk_score", F.lit(0.0))
     keys = txn.select(z.alias("z"), s.alias("s"), "txn_id")
     total = keys.count()
     q, r = divmod(total, tiles)
-    firsts = _at_ranks(keys, total, [i * q + min(i, r) for i in range(1, tiles) if i * q + min(i, r) < total])
     tile = F.lit(1)
-    for a, b, c in sorted(set(firsts)):
-        after = (z & ~F.lit(a)) | ((z == F.lit(a)) & ((s > b) | ((s == b) & (F.col("txn_id") >= c))))
-        tile = tile + F.when(after, 1).otherwise(0)
+    for first in set(keys_at(keys, total, sorted({i * q + min(i, r) for i in range(1, tiles) if i * q + min(i, r) < total}))):
+        tile = tile + F.when(from_key(z, s, F.col("txn_id"), first), 1).otherwise(0)
     return txn.withColumn("risk_decile", tile.cast("int"))
 
 

@@ -26,6 +26,12 @@ def ids_cited(text: str) -> Column:
     return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(CASE_ID), F.lit(0))
 
 
+def invented_ids() -> Column:
+    """Case ids cited in the prose of a finished case that are neither its own nor among its similar ones."""
+    cited = F.array_union(F.array_union(ids_cited("summary"), ids_cited("pattern_description")), ids_cited("narrative"))
+    return F.array_except(cited, F.concat(F.array("case_id"), F.coalesce("similar", F.array().cast("array<string>"))))
+
+
 def _names(col: str) -> Column:
     return F.transform(F.col(col), lambda a: a["action"])
 
@@ -40,8 +46,7 @@ def row_violations(cases: DataFrame) -> DataFrame:
     bad_route = lambda c: F.exists(c, lambda a: ~a["route"].eqNullSafe(F.coalesce(route(a["action"], F.col("exposure_usd")), F.lit("unknown action"))))
     no_rule = lambda c: F.exists(c, lambda a: ~F.coalesce(a["reason"], F.lit("")).rlike(CITATION))
     both = [("initial", ini), ("final", fin)]
-    cited = F.array_union(F.array_union(ids_cited("summary"), ids_cited("pattern_description")), ids_cited("narrative"))
-    unknown = F.array_except(cited, F.concat(F.array("case_id"), F.coalesce("similar", F.array().cast("array<string>"))))
+    unknown = invented_ids()
     peers = F.size("connected") >= 2
     checks: list[tuple[str, str, Column]] = [
         ("I1", "report flag and FILE_REPORT disagree", F.col("report") != has(fin, "FILE_REPORT")),
@@ -129,9 +134,9 @@ def audit_links(ev: DataFrame) -> DataFrame:
 
 
 def acceptance(cases: DataFrame) -> DataFrame:
-    """Verdict counts with reports, report mismatches and initial reasons that leak the answer."""
+    """Verdict counts with reports, report mismatches, initial reasons that leak the answer, and prose that cites invented cases."""
     leak = F.exists("initial", lambda a: F.coalesce(a["reason"], F.lit("")).rlike(LEAKS))
     n = lambda c: F.count(F.when(c, 1))
     return cases.groupBy("verdict").agg(
         F.count("*").alias("n"), n(F.col("report")).alias("n_reports"), n(F.col("report") != F.array_contains(_names("final"), "FILE_REPORT")).alias("n_mismatch"),
-        n(leak).alias("n_leaks"), n(F.col("asked") & (_names("initial") != _names("final"))).alias("n_ask_first"))
+        n(leak).alias("n_leaks"), n(F.size(invented_ids()) > 0).alias("n_citing"), F.sum(F.size(invented_ids())).alias("n_citations"), n(F.col("asked") & (_names("initial") != _names("final"))).alias("n_ask_first"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraudlake.cols import DAY_US, HOUR_US, MONEY, exact_sum
+from fraudlake.cols import DAY_US, HOUR_US, MONEY, SEC_US, exact_sum
 from fraudlake.operators.neighbors import around, device_peers, longs, one, online, proxied
 from fraudlake.operators.tables import device_degree
 from fraudlake.operators.timeline import window_members, window_sums
@@ -118,20 +118,76 @@ def ring_risk_cards(flags: DataFrame, txn: DataFrame, known: DataFrame, cj: Data
     return use.select("alert_id", "card").unionByName(linked).distinct()
 
 
+# Widths of the time cells a window is put together from, each a whole multiple of the next; the last one is settled by exact times.
+CELLS_US = [DAY_US, 90 * 60 * SEC_US, 5 * 60 * SEC_US, 20 * SEC_US, SEC_US]
+
+
+def window_cells(probes: DataFrame, cells: list[int] | None = None) -> DataFrame:
+    """``probes(…, lo_us, hi_us)`` with one row for each cell their window consists of: ``level`` and ``cell``.
+
+    A cell belongs to the coarsest level at which it lies wholly inside the window; what is left at both ends at the
+    last level keeps its cell with ``level`` equal to the number of levels, to be settled by exact times. The number of
+    rows for a window depends on the widths alone, not on the data.
+    """
+    cells = cells or CELLS_US
+    lo, end = F.col("lo_us"), F.col("hi_us") + 1     # half open
+    pieces, inner = [], None
+    none = F.array().cast("array<struct<level:int,cell:bigint>>")
+
+    def run(first: Column, last: Column, level: int) -> Column:
+        """Cells ``first`` to ``last - 1`` of a level."""
+        return F.when(first < last, F.transform(F.sequence(first, last - 1), lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell")))).otherwise(none)
+
+    for level, width in enumerate(cells):
+        a, b = F.ceil(lo / F.lit(width)), F.floor(end / F.lit(width))
+        if inner is None:
+            pieces.append(run(a, b, level))
+        else:
+            # what the coarser level left over: before its first and behind its last cell, all of it if it had none
+            up, ua, ub = inner
+            k = F.lit(up // width)
+            whole = ua < ub
+            pieces.append(F.when(whole, F.concat(run(a, F.least(ua * k, b), level), run(F.greatest(ub * k, a), b, level))).otherwise(run(a, b, level)))
+        inner = (width, a, b)
+    width, a, b = inner
+    edge = len(cells)
+    first, last = F.floor(lo / F.lit(width)), F.floor(F.col("hi_us") / F.lit(width))
+    ends = F.filter(F.array_distinct(F.array(F.struct(F.lit(edge).alias("level"), first.alias("cell")), F.struct(F.lit(edge).alias("level"), last.alias("cell")))),
+                    lambda e: ~((e["cell"] >= a) & (e["cell"] < b)))
+    x = probes.withColumn("_e", F.explode(F.concat(*pieces, ends)))
+    return x.select(*probes.columns, F.col("_e.level").alias("level"), F.col("_e.cell").alias("cell"))
+
+
 def region_peers(flags: DataFrame, txn: DataFrame, min_cards: int = 2, cap: int = 25) -> DataFrame:
-    """The first ``cap`` other cards by key on the alert's region in its window, where there are enough.
+    """The first ``cap`` other cards by key on the alert's region in its window, where there are at least ``min_cards``.
 
-    Rows are reduced to (region, day, card) first; a day inside the window needs no row check and
-    the two border days are settled by the card's first and last time of that day.
+    The smallest ``cap + 1`` cards of a window are among the smallest ``cap + 1`` of its time cells (one more, as the
+    alert's own card does not count). Windows become cells first; every cell that some alert asks for keeps
+    its smallest cards, and an alert merges the lists of its cells. All tables between are linear in alerts, whatever the cards of a region.
     """
-    day = lambda c: F.floor(F.col(c) / DAY_US)
-    use = (txn.where(F.col("addr1").isNotNull()).groupBy("addr1", day("ts_us").alias("_d"), "card")
-           .agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b")))
-    f = flags.where(F.col("addr1").isNotNull()).select("alert_id", F.col("card").alias("own"), "addr1", "lo_us", "hi_us")
-    f = f.withColumn("_d", F.explode(F.sequence(day("lo_us"), day("hi_us"))))
-    hit = f.join(use, ["addr1", "_d"]).where(
-        (F.col("a") <= F.col("hi_us")) & (F.col("b") >= F.col("lo_us")) & (F.col("card") != F.col("own")))
-    return hit.select("alert_id", "card").distinct()
+    if min_cards > cap:
+        raise ValueError("min_cards is larger than cap")
+    keep = cap + 1
+    probes = flags.where(F.col("addr1").isNotNull()).select("alert_id", F.col("card").alias("own"), "addr1", "lo_us", "hi_us")
+    pieces = cut(window_cells(probes))
+    wanted = pieces.select("addr1", "level", "cell").distinct()
+    span = probes.agg(F.min("lo_us").alias("lo"), F.max("hi_us").alias("hi")).first()
+    if span["lo"] is None:
+        return flags.select("alert_id", "card").where(F.lit(False))
+    rows = txn.where(F.col("addr1").isNotNull() & F.col("ts_us").between(span["lo"], span["hi"])).select("addr1", "card", "ts_us")
+    edge = len(CELLS_US)
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("ts_us") / F.lit(w)).alias("cell"), F.lit(None).cast("long").alias("at")) for k, w in enumerate(CELLS_US)],
+                     F.struct(F.lit(edge).alias("level"), F.floor(F.col("ts_us") / F.lit(CELLS_US[-1])).alias("cell"), F.col("ts_us").alias("at")))
+    in_cells = rows.select("addr1", "card", F.explode(levels).alias("_l")).select("addr1", "card", "_l.level", "_l.cell", "_l.at")
+    in_cells = in_cells.join(wanted, ["addr1", "level", "cell"], "left_semi").distinct()
+    # at the edge level every exact time has a list of its own
+    w = Window.partitionBy("addr1", "level", "cell", "at").orderBy("card")
+    first = in_cells.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep).drop("_rn")
+    met = pieces.join(first, ["addr1", "level", "cell"]).where(F.col("at").isNull() | F.col("at").between(F.col("lo_us"), F.col("hi_us")))
+    mine = met.where(F.col("card") != F.col("own")).select("alert_id", "card").distinct()
+    ranked = (mine.withColumn("_rn", F.row_number().over(Window.partitionBy("alert_id").orderBy("card")))
+              .withColumn("_n", F.count("*").over(Window.partitionBy("alert_id"))))
+    return ranked.where((F.col("_rn") <= cap) & (F.col("_n") >= min_cards)).select("alert_id", "card")
 
 
 def connected_cards(flags: DataFrame, risk: DataFrame, degree: DataFrame, peers: DataFrame, region: DataFrame,
@@ -147,7 +203,8 @@ def connected_cards(flags: DataFrame, risk: DataFrame, degree: DataFrame, peers:
     def enough(df, leg):
         n = df.groupBy("alert_id").agg(F.countDistinct("card").alias("_n")).where("_n >= 2").select("alert_id")
         return df.join(n, "alert_id", "left_semi").withColumn("leg", F.lit(leg))
-    every = a.unionByName(enough(peers, 2)).unionByName(enough(region, 3))
+    # region peers come with their own limit: the first ``cap`` of them are all that can enter the list
+    every = a.unionByName(enough(peers, 2)).unionByName(region.withColumn("leg", F.lit(3)))
     best = (every.join(flags.select("alert_id", F.col("card").alias("own")), "alert_id").where(F.col("card") != F.col("own"))
             .groupBy("alert_id", "card").agg(F.min("leg").alias("leg")))
     w = Window.partitionBy("alert_id").orderBy("leg", "card")

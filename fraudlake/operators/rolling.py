@@ -1,101 +1,109 @@
 """Exact rolling median over a time range.
 
-Cards with few rows use Spark's own ``percentile`` over a range frame, whose cost grows
-with rows times window length. Busier cards go through a sorted sweep in Arrow batches:
-each row enters the window once and leaves it once. Cards too large for one task are cut
-into time slices that start from a histogram of the window's values.
+Cards with few rows use Spark's own ``percentile`` over a range frame, whose cost grows with rows times
+window length. Busier cards are answered by rank selection over value ranges. The distinct values of a card are
+numbered in order; a range is a prefix of the number written in base ``FAN``. In each round a window asks how many of its
+rows lie in each of the ``FAN`` parts of its range: two probes on a time line of (card, range) that carries ``FAN``
+running counts. The part that holds the wanted rank is the range of the next round; after the last one it is a single value.
+A round costs one sorted pass whatever the length of the windows, a card with ``D`` distinct values takes ``log(D)`` rounds to
+base ``FAN``, and time lines of hot cards are cut into slices like all others. Everything stays in the JVM.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudlake.cols import SEC_US
-from fraudlake.operators.timeline import add_slice, find_slices, heavy_keys, join_key
-from fraudlake.session import cut, max_rows, small
+from fraudlake.operators.timeline import _carry, add_slice, find_slices, heavy_keys, join_key, running_at
+from fraudlake.session import cut, small
 
 NATIVE_ROWS_CONF = "fraudlake.nativeMedianRows"
+FAN = 16
 
 
-def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Medians at the query times of one slice; counts per value are kept in a Fenwick tree.
+def value_numbers(rows: DataFrame) -> DataFrame:
+    """``(card, v, number)``: the distinct values of each card numbered from 0 in ascending order, NaN last.
 
-    NaN is a value above all others, as in Spark's order; ``found`` is False where the window holds no value.
+    A card with too many values for one task is numbered in slices of its value range.
     """
-    pdf = pdf.sort_values(["t", "kind"], kind="stable")
-    v, moves = pdf.v.to_numpy(), pdf.kind.to_numpy() < 2
-    vals = np.unique(v[moves])  # sorted, one NaN at the end
-    size = len(vals)
-    tree = [0] * (size + 1)
-    top = 1
-    while top * 2 <= size:
-        top *= 2
-    pos = np.searchsorted(vals, v)
-    total, times, meds, found = 0, [], [], []
+    key = ["card"]
+    values = rows.select("card", "v").distinct()
+    order = F.struct(F.isnan("v").alias("nan"), "v")
+    plain = values.where(~F.isnan("v"))
+    slices = find_slices(plain, key, "v")
+    d = add_slice(values, slices, key, "v")
+    if slices is not None:
+        # a NaN is above every slice start
+        d = d.withColumn("_slice", F.when(F.isnan("v"), F.lit(2**31 - 1)).otherwise(F.col("_slice")))
+    part = [*key, "_slice"] if slices is not None else key
+    d = d.withColumn("number", F.row_number().over(Window.partitionBy(*part).orderBy(order)).cast("long") - 1)
+    if slices is not None:
+        c = _carry(d, key, {"n": F.count("*")}, {"n": "sum"})
+        d = join_key(d, c, [*key, "_slice"], "left").withColumn("number", F.col("number") + F.coalesce("_c_n", F.lit(0)))
+    return d.select("card", "v", "number")
 
-    def at(rank: int) -> float:
-        i, step, left = 0, top, rank
-        while step:
-            j = i + step
-            if j <= size and tree[j] <= left:
-                i, left = j, left - tree[j]
-            step >>= 1
-        return float(vals[i])
 
-    for kind, t, p, n in zip(pdf.kind.tolist(), pdf.t.tolist(), pos.tolist(), pdf.n.tolist()):
-        if kind < 2:
-            total += n
-            i = p + 1
-            while i <= size:
-                tree[i] += n
-                i += i & -i
-        elif not times or times[-1] != t:  # rows of one time share their window
-            times.append(t)
-            found.append(total > 0)
-            # same interpolation as an exact 0.5 percentile
-            lo, hi = (at((total - 1) // 2), at(total // 2)) if total else (np.nan, np.nan)
-            meds.append(lo if lo == hi else 0.5 * lo + 0.5 * hi)
-    return pd.DataFrame({"card": pdf.card.iloc[0], "ts_us": np.asarray(times, dtype="int64"),
-                         "med": np.asarray(meds, dtype="float64"), "found": np.asarray(found, dtype=bool)})
+def _part_of(counts: list[Column], rank: Column) -> Column:
+    """The part that holds ``rank`` (from 0), and the rank inside it."""
+    found, below = None, F.lit(0).cast("long")
+    for k, c in enumerate(counts):
+        here = rank < below + c
+        pick = F.struct(F.lit(k).cast("long").alias("part"), (rank - below).alias("rank"))
+        found = F.when(here, pick) if found is None else found.when(here, pick)
+        below = below + c
+    return found
 
 
-def _swept(rows: DataFrame, value: str, frame_us: int) -> DataFrame:
-    """``(card, ts_us, med)`` for every card and time by the sweep; sliced when a card is too large for a task.
+def _selected(rows: DataFrame, value: str, frame_us: int) -> DataFrame:
+    """``(card, ts_us, med)`` for every card and time of ``rows`` whose window holds a value.
 
     The window depends on the card and the time alone, so rows with the same or no id need no special care.
     """
     key = ["card"]
-    v = F.col(value).cast("double").alias("v")
-    none = F.lit(None).cast("double").alias("v")
-
-    def part(t, kind, val, n):
-        return rows.select("card", t.alias("t"), F.lit(kind).alias("kind"), val, F.lit(n).alias("n"))
-    moves = part(F.col("ts_us") + SEC_US, 1, v, 1).unionByName(
-        part(F.col("ts_us") + frame_us + 1, 1, v, -1)).where(F.col("v").isNotNull())
-    asks = part(F.col("ts_us"), 2, none, 0)
-    slices = find_slices(rows, key, rows=min(max_rows(rows.sparkSession), 500_000))
-    ev = add_slice(moves.unionByName(asks), slices, key, "t")
-    if slices is not None:
-        ev = ev.unionByName(_starts(add_slice(moves, slices, key, "t"), slices))
-    schema = "card string, ts_us long, med double, found boolean"
-    run = lambda k, pdf: _sweep(pdf)
-    out = ev.groupBy("card", "_slice").applyInPandas(run, schema)
-    # a NaN median comes back from pandas as NULL
-    return out.select("card", "ts_us", F.when(F.col("found"), F.coalesce("med", F.lit(float("nan")))).alias("med"))
-
-
-def _starts(moves: DataFrame, slices: DataFrame) -> DataFrame:
-    """Value counts of the window at the start of every slice, from slice totals."""
-    net = moves.groupBy("card", "v", "_slice").agg(F.sum("n").alias("d"))
-    w = Window.partitionBy("card", "v").orderBy("_slice")
-    net = net.withColumn("n", F.sum("d").over(w).cast("int")).withColumn("nxt", F.lead("_slice").over(w))
-    last = slices.select("card", F.size("starts").alias("last"))
-    net = join_key(net, small(last), ["card"], "inner").withColumn("to", F.coalesce("nxt", "last")).where("n <> 0 AND to > _slice")
-    return net.select("card", F.lit(-(2**62)).alias("t"), F.lit(0).alias("kind"), "v", "n",
-                      F.explode(F.expr("sequence(_slice + 1, to)")).alias("_slice"))
+    data = cut(rows.select("card", "ts_us", F.col(value).cast("double").alias("v")))
+    times = data.select("card", "ts_us").distinct()
+    data = data.where(F.col("v").isNotNull())
+    values = cut(value_numbers(data))
+    most = values.agg(F.max("number")).first()[0]
+    if most is None:
+        return times.select("card", "ts_us", F.lit(None).cast("double").alias("med")).where(F.lit(False))
+    rounds = 1
+    while FAN**rounds <= most:
+        rounds += 1
+    # equal rows of one time count once, with their number
+    events = cut(join_key(data.groupBy("card", "ts_us", "v").agg(F.count("*").alias("n")), values, ["card", "v"], "inner").select("card", "ts_us", "number", "n"))
+    asks = times.select("card", "ts_us", F.lit(0).cast("long").alias("range"), F.lit(None).cast("string").alias("which"), F.lit(None).cast("long").alias("rank"))
+    names = [f"c{k}" for k in range(FAN)]
+    for r in range(rounds):
+        width = FAN ** (rounds - r - 1)     # values in a part
+        part = F.floor(F.col("number") / F.lit(width)) % FAN
+        line = events.select("card", F.floor(F.col("number") / F.lit(width * FAN)).alias("range"), F.col("ts_us").alias("t"),
+                             *[F.when(part == k, F.col("n")).otherwise(F.lit(0).cast("long")).alias(names[k]) for k in range(FAN)])
+        ends = F.array(F.struct((F.col("ts_us") - frame_us - 1).alias("t"), F.lit(-1).alias("sign")),
+                       F.struct((F.col("ts_us") - SEC_US).alias("t"), F.lit(1).alias("sign")))
+        ids = ["card", "range", "ts_us", "which", "rank"]
+        probes = asks.select(*ids, F.explode(ends).alias("_p")).select(*ids, "_p.t", "_p.sign")
+        counts = running_at(line, probes, ["card", "range"], names, ids)
+        cols = [F.col(c) for c in names]
+        if r == 0:
+            # both middle ranks from the number of rows; they are one and the same when it is odd
+            total = sum(cols[1:], cols[0])
+            ranks = F.array(F.struct(F.lit("low").alias("which"), F.floor((total - 1) / F.lit(2)).alias("rank")),
+                            F.struct(F.lit("high").alias("which"), F.floor(total / F.lit(2)).alias("rank")))
+            counts = (counts.where(total > 0).drop("which", "rank")
+                      .select("card", "range", "ts_us", *names, F.explode(F.when(total % 2 == 1, F.slice(ranks, 1, 1)).otherwise(ranks)).alias("_w"))
+                      .select("card", "range", "ts_us", *names, "_w.which", "_w.rank"))
+        got = _part_of(cols, F.col("rank"))
+        asks = (counts.withColumn("_g", got)
+                .select("card", "ts_us", (F.col("range") * FAN + F.col("_g.part")).alias("range"), "which", F.col("_g.rank").alias("rank")))
+        if r + 1 < rounds:
+            asks = cut(asks)
+    picked = join_key(asks.select("card", "ts_us", "which", F.col("range").alias("number")), values, ["card", "number"], "inner")
+    low, high = F.max(F.when(F.col("which") == "low", F.col("v"))), F.max(F.when(F.col("which") == "high", F.col("v")))
+    both = picked.groupBy("card", "ts_us").agg(low.alias("lo"), F.coalesce(high, low).alias("hi"))
+    # same interpolation as an exact 0.5 percentile
+    return both.select("card", "ts_us", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(0.5 * F.col("lo") + 0.5 * F.col("hi")).alias("med"))
 
 
 def rolling_median(txn: DataFrame, value: str, frame_us: int, out: str) -> DataFrame:
@@ -110,6 +118,6 @@ def rolling_median(txn: DataFrame, value: str, frame_us: int, out: str) -> DataF
     txn = cut(txn)
     keys = small(busy.select("card"))
     few, many = join_key(txn, keys, ["card"], "left_anti"), join_key(txn, keys, ["card"], "left_semi")
-    med = cut(_swept(many.select("card", "ts_us", value), value, frame_us))
+    med = cut(_selected(many.select("card", "ts_us", value), value, frame_us))
     many = join_key(many, med.withColumnRenamed("med", out), ["card", "ts_us"], "left")
     return native(few).unionByName(many)

@@ -120,6 +120,27 @@ def running_at(events: DataFrame, probes: DataFrame, key: list[str], measures: l
     return run.groupBy(*ids).agg(*[F.sum(F.col("sign") * F.col(f"_r_{m}")).alias(m) for m in measures])
 
 
+def running_max(events: DataFrame, probes: DataFrame, key: list[str], measure: str, ids: list[str], t: str = "t") -> DataFrame:
+    """The largest ``measure`` over events of the key with time at or before each probe, NULL before the first one.
+
+    A maximum cannot be subtracted like a sum, so the line carries it forward: one sorted pass over events and
+    probes, and for a key cut into slices the maximum of all earlier slices as its start.
+    """
+    slices = find_slices(events, key, t)
+    extra = [i for i in ids if i not in key]
+    kind = events.schema[measure].dataType
+    e = events.select(*key, F.col(t).alias("t"), F.lit(0).alias("_q"), *[F.lit(None).cast(probes.schema[i].dataType).alias(i) for i in extra], measure)
+    p = probes.select(*key, F.col(t).alias("t"), F.lit(1).alias("_q"), *extra, F.lit(None).cast(kind).alias(measure))
+    both = add_slice(e.unionByName(p), slices, key, "t")
+    part = [*key, "_slice"] if slices is not None else key
+    w = Window.partitionBy(*part).orderBy("t", "_q").rowsBetween(Window.unboundedPreceding, 0)
+    run = both.withColumn("_m", F.max(measure).over(w)).where("_q = 1")
+    if slices is not None:
+        c = _carry(both, key, {"m": F.max(measure)}, {"m": "max"})
+        run = join_key(run, c, [*key, "_slice"], "left").withColumn("_m", F.greatest("_m", "_c_m"))
+    return run.select(*ids, F.col("_m").alias(measure))
+
+
 def asked(probes: DataFrame, data: DataFrame, key: list[str], hi: Column) -> DataFrame:
     """Rows of ``data`` that some probe can count: a probe's key, and a time from the first ``lo_us`` to the last ``hi``.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from fraudlake.operators import decide, evaluate, evidence, quality
@@ -17,7 +19,7 @@ SELECT txn_id AS case_id, CASE txn_id % 3 WHEN 0 THEN 'fraud' WHEN 1 THEN 'uncer
   txn_id % 13 < 4 AS is_dispute, txn_id % 17 < 6 AS is_recurring, k % 3 = 1 AS two_cards, txn_id % 19 = 0 AS undocumented_coordinated,
   txn_id % 23 < 5 AS testing_fires, k % 2 = 0 AS over_100_cleared,
   CASE txn_id % 29 % 4 WHEN 1 THEN 'risk_score' WHEN 2 THEN 'customer_report' WHEN 3 THEN 'analyst_request' END AS trigger_type,
-  channel, coalesce(id_15 = 'New', FALSE) AS id_15_new, txn_id % 31 < 10 AS evidence_requested
+  channel, coalesce(id_15 = 'New', FALSE) AS id_15_new, txn_id % 31 < 10 AS evidence_requested, txn_id % 43 < 3 AS credentials_compromised
 FROM txn
 """
 A = lambda cond, name: f"CASE WHEN {cond} THEN '{name}' END"
@@ -62,8 +64,19 @@ DECIDE = {
     "d1": _add("d0", FRAUD, "BLOCK_CARD"), "d2": _add("d1", f"{FRAUD} AND exposure > 1000", "FILE_REPORT"),
     "d3": _add("d2", f"{FRAUD} AND ({SH} OR pattern IN ('undocumented', 'card_testing'))", "MONITOR_CONNECTED_CARDS"),
     "d4": _add("d3", f"{FRAUD} AND pattern = 'card_testing'", "STEP_UP_AUTH"),
-    "d5": _add("d4", "verdict = 'fraud' AND two_cards AND pattern <> 'none' AND NOT list_contains(a, 'CLOSE_NO_FRAUD')", "BLOCK_ALL_CARDS"),
+    "d5": _add("d4", "verdict = 'fraud' AND (two_cards OR credentials_compromised) AND pattern <> 'none' AND NOT list_contains(a, 'CLOSE_NO_FRAUD')", "BLOCK_ALL_CARDS"),
 }
+
+
+def decide_ctes(inp: str, suffix: str, block_all: bool = True) -> dict[str, str]:
+    """The steps of the decision for another input; the table of the final lists is ``d5`` with the suffix."""
+    out = {f"inp{suffix}": inp}
+    for n in ("ruled", "d0", "d1", "d2", "d3", "d4", "d5"):
+        step = DECIDE[n] if block_all or n != "d5" else "SELECT * FROM d4"
+        out[n + suffix] = re.sub(r"FROM (inp|ruled|d[0-4])\b", rf"FROM \g<1>{suffix}", step)
+    return out
+
+
 ROUTE_SQL = """CASE WHEN action = 'BLOCK_CARD' THEN CASE WHEN {e} > 2500 THEN 'L2' ELSE 'L1' END WHEN action IN ('BLOCK_ALL_CARDS', 'FILE_REPORT') THEN 'L2'
  WHEN action = 'DECLINE_TRANSACTION' THEN 'L1' ELSE 'auto' END"""
 T = ("txn",)
@@ -245,7 +258,9 @@ def _(f):
 
 
 @query("p12_acceptance", f"""SELECT verdict, count(*) AS n, count(*) FILTER (WHERE report) AS n_reports, count(*) FILTER (WHERE report <> has_report) AS n_mismatch, count(*) FILTER (WHERE leaking AND NOT bad_reason) AS n_leaks,
- count(*) FILTER (WHERE asked AND differs AND {_N_FINAL} > 1) AS n_ask_first FROM done GROUP BY 1""", T, {"done": CASES_SQL})
+ count(*) FILTER (WHERE n_inv > 0) AS n_citing, CAST(sum(n_inv) AS BIGINT) AS n_citations,
+ count(*) FILTER (WHERE asked AND differs AND {_N_FINAL} > 1) AS n_ask_first
+ FROM (SELECT *, CASE WHEN txn_id % 13 = 0 THEN 1 + (txn_id <> 5)::INT ELSE 0 END + ((pattern_description LIKE '%CC-0000008%' OR narrative <> '') AND sim <> 'CC-0000008')::INT AS n_inv FROM done) GROUP BY 1""", T, {"done": CASES_SQL})
 def _(f):
     return quality.acceptance(finished(f))
 
@@ -275,11 +290,21 @@ def _(f):
     return f.raw("conversations").select("conv_id", "turn", evaluate.archetype("text").alias("archetype"))
 
 
-@query("b02_stratified_sample")
+SAMPLE_SQL = """SELECT case_id, stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, case_id) - 1 AS r FROM (
+  SELECT case_id, pattern AS stratum, md5(case_id || '|42') AS h FROM closed_case))
+ORDER BY r >= greatest(1, 60 // (SELECT count(DISTINCT pattern) FROM closed_case)), h, case_id LIMIT 60"""
+
+
+@query("b02_stratified_sample", "SELECT stratum, count(*) AS n FROM s GROUP BY 1", C, {"s": SAMPLE_SQL})
 def _(f):
     return evaluate.stratified_sample(f.cases, F.col("pattern"), 60).groupBy("stratum").agg(F.count("*").alias("n"))
 
 
+@query("b02_sampled_cases", "SELECT * FROM s", C, {"s": SAMPLE_SQL})
+def _(f):
+    return evaluate.stratified_sample(f.cases, F.col("pattern"), 60).select("case_id", "stratum")
+
+
 CUT = 1_705_276_800_000_000  # 2024-01-15
 
 

@@ -66,6 +66,7 @@ def _(f):
 
 
 JOINT = {
+    "card_testing": ("burst_bucket IN ('2-4', '5+') AND amt < 20", "channel = 'online'"),
     "cnp_burst": ("unseen_product AND burst_bucket IN ('2-4', '5+') AND abs(amt_z) > 1", "channel = 'online'"),
     "new_device": ("is_new_device OR id_15 = 'New'", "channel = 'online'"),
     "new_device_proxy": ("(is_new_device OR id_15 = 'New') AND proxy_flag", "channel = 'online'"),
@@ -158,9 +159,32 @@ def _(f):
     return model.stratified_split(f.predictions, "case_id", "y").groupBy("y", "is_test").agg(F.count("*").alias("n"))
 
 
-@query("m11_isotonic")
+# the largest mean over all earlier starts of the smallest mean over all later ends is the monotone fit
+ISO = {
+    "pool": """SELECT p AS x, row_number() OVER (ORDER BY p) AS i, sum(y * w) AS wy, sum(w) AS w FROM (SELECT *, (SELECT count(*) FROM prediction) / (2.0 * count(*) OVER (PARTITION BY y)) AS w FROM prediction) GROUP BY 1""",
+    "run": "SELECT i, x, sum(wy) OVER (ORDER BY i) AS cy, sum(w) OVER (ORDER BY i) AS cw, wy, w FROM pool",
+    "mean": "SELECT a.i AS a, b.i AS b, (b.cy - a.cy + a.wy) / (b.cw - a.cw + a.w) AS m FROM run a JOIN run b ON a.i <= b.i",
+    "low": "SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM mean",
+    "fit": "SELECT b AS i, max(m) AS y FROM low GROUP BY 1",
+    "knot": """SELECT r.x, round(greatest(0, least(1, y)), 6)::DOUBLE AS y FROM (SELECT *, lag(y) OVER (ORDER BY i) AS py, lead(y) OVER (ORDER BY i) AS ny FROM fit) f JOIN run r USING (i)
+      WHERE py IS NULL OR ny IS NULL OR abs(y - py) > 1e-9 OR abs(ny - y) > 1e-9""",
+}
+
+
+@query("m11_isotonic", "SELECT * FROM knot", ("prediction",), ISO)
+def _(f):
+    return model.fit_isotonic(model.balanced_weights(f.predictions)).withColumn("y", F.round("y", 6))
+
+
+# the fit itself has no SQL form; what must hold for any right fit has
+@query("m14_fit_properties", f"SELECT {len(model.FEATURES) + 2}::BIGINT AS n_rows, TRUE AS flat, TRUE AS shifted")
 def _(f):
-    return model.fit_isotonic(model.balanced_weights(f.predictions))
+    return model.fit_properties(training(f), model.fit_alert_model(training(f)))
+
+
+@query("m15_cross_validation_properties", "SELECT 5::BIGINT AS n_folds, TRUE AS in_range, TRUE AS better_than_none")
+def _(f):
+    return model.cv_properties(model.cv_eval(training(f), k=5))
 
 
 XS, YS = [0.1, 0.25, 0.4, 0.65, 0.8], [0.05, 0.2, 0.45, 0.7, 0.95]
@@ -183,7 +207,7 @@ BURST_SQL = f"SELECT f.alert_id, count(t.txn_id) AS n_online FROM flag f LEFT JO
 NEARTH_SQL = """SELECT f.alert_id, count(t.txn_id) >= 2 AS near_threshold_fires FROM flag f LEFT JOIN txn t ON t.card = f.card AND t.channel = 'online' AND t.amt < 60 AND t.amt >= 57
  AND t.ts_us BETWEEN f.lo_us AND f.hi_us GROUP BY 1"""
 NEARBY_SQL = f"""SELECT f.alert_id, count(*) FILTER (WHERE t.channel = 'online') AS near_online, count(*) FILTER (WHERE t.channel = 'in_person') AS near_in_person,
- count(*) FILTER (WHERE t.channel = 'online' AND t.id_15 = 'New') AS near_new, count(*) FILTER (WHERE t.channel = 'online' AND t.id_23 LIKE 'IP_PROXY:%') AS near_proxied, 0::BIGINT AS near_bad_match
+ count(*) FILTER (WHERE t.channel = 'online' AND t.id_15 = 'New') AS near_new, count(*) FILTER (WHERE t.channel = 'online' AND t.id_23 LIKE 'IP_PROXY:%') AS near_proxied, count(*) FILTER (WHERE t.channel = 'online' AND ('false' IN (lower(t."M1"), lower(t."M9")))) AS near_bad_match
  FROM flag f LEFT JOIN txn t ON t.customer_id = f.customer_id AND t.ts_us BETWEEN f.ts_us - {H48} AND f.ts_us + {H48} GROUP BY 1"""
 BIG_SQL = "SELECT f.alert_id, EXISTS (SELECT 1 FROM txn t WHERE t.customer_id = f.customer_id AND t.ts_us < f.ts_us AND t.amt >= f.amt * 0.5) AND f.amt > 60 AS has_prior_big FROM flag f"
 SIG_SQL = """
@@ -433,42 +457,72 @@ DET = [
 ]
 
 
-def det_sql(i):
+# detectors that hold the flagged transaction for affected, and when
+NAMES = {**{d[0]: "TRUE" for d in DET[:5]}, "undocumented_proxy_ring": "tier IS NOT NULL AND NOT is_hub", "undocumented_threshold_burst": "TRUE"}
+
+
+def det_sql(i, weights=None):
     name, cond, pat, tag, ch, w = DET[i]
-    return f"SELECT alert_id, {i} AS seq, '{name}' AS detector, {pat} AS pattern, {tag} AS tag, '{ch}' AS channel, round(CAST({w} AS DOUBLE), 6) AS log_lr FROM sig WHERE {cond}"
+    w = (weights or {}).get(name, w)
+    return (f"SELECT alert_id, {i} AS seq, '{name}' AS detector, {pat} AS pattern, {tag} AS tag, '{ch}' AS channel, round(CAST({w} AS DOUBLE), 6) AS log_lr, "
+            f"coalesce({NAMES.get(name, 'FALSE')}, FALSE) AS names_flagged FROM sig WHERE {cond}")
 
 
 DET_ALL = " UNION ALL ".join(det_sql(i) for i in range(len(DET)))
+# the flagged row of each detector that names it, and the small and large online rows of a testing sequence that fires
+AFF_SQL = """
+SELECT d.alert_id, d.detector, f.flagged_txn_id AS txn_id FROM det d JOIN flag f USING (alert_id) WHERE d.names_flagged
+UNION SELECT d.alert_id, d.detector, t.txn_id FROM det d JOIN flag f USING (alert_id) JOIN txn t ON t.card = f.card AND t.ts_us BETWEEN f.lo_us AND f.hi_us
+WHERE d.detector = 'card_testing' AND t.channel = 'online' AND (t.amt < 20 OR t.amt > 60)
+"""
+WITH_AFF = """SELECT d.alert_id, d.seq, d.detector, d.pattern, d.tag, d.channel, d.log_lr, coalesce(a.n, 0) AS n_affected, coalesce(a.ids, '') AS affected_txn_ids
+FROM det d LEFT JOIN (SELECT alert_id, detector, count(*) AS n, string_agg(CAST(txn_id AS VARCHAR), '|' ORDER BY txn_id) AS ids FROM aff GROUP BY 1, 2) a USING (alert_id, detector)"""
+DETS = {**SIG, "det": DET_ALL, "aff": AFF_SQL}
+
+
+def fired(f):
+    return f.stored("fired", lambda: detect.run_detectors(signals(f), LRS, SET))
+
+
+def affected(f):
+    return f.stored("affected", lambda: detect.affected_ids(f.flags, f.txn, fired(f), 20.0, 60.0))
 
 
 def detections(f):
-    return f.stored("detections", lambda: detect.run_detectors(signals(f), LRS, SET)).withColumn("log_lr", F.round("log_lr", 6))
+    return detect.with_affected(fired(f), affected(f)).withColumn("log_lr", F.round("log_lr", 6)).drop("names_flagged")
 
 
 def _one_detector(i):
     name = DET[i][0]
 
-    @query(f"t{i + 1:02d}_{name}", det_sql(i), SV, SIG)
+    @query(f"t{i + 1:02d}_{name}", f"{WITH_AFF} WHERE d.detector = '{name}'", SV, DETS)
     def _(f):
-        return detect.run_detectors(signals(f), LRS, SET).where(F.col("detector") == name).withColumn("log_lr", F.round("log_lr", 6))
+        rows = detect.run_detectors(signals(f), LRS, SET).where(F.col("detector") == name)
+        return (detect.with_affected(rows, detect.affected_ids(f.flags, f.txn, rows, 20.0, 60.0))
+                .withColumn("log_lr", F.round("log_lr", 6)).drop("names_flagged"))
 
 
 for _i in range(len(DET)):
     _one_detector(_i)
 
 
-@query("t14_run_detectors", DET_ALL, SV, SIG)
+@query("t14_run_detectors", WITH_AFF, SV, DETS)
 def _(f):
     return detections(f)
 
 
+@query("t14_affected_ids", "SELECT alert_id, detector, txn_id FROM aff", SV, DETS)
+def _(f):
+    return affected(f)
+
+
 PATTERN_SQL = """SELECT f.alert_id, coalesce(p.pattern, 'none') AS pattern FROM flag f LEFT JOIN (SELECT alert_id, pattern FROM det WHERE pattern IS NOT NULL AND pattern <> 'none'
  QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY (pattern = 'undocumented') DESC, greatest(log_lr, 0) DESC, seq) = 1) p USING (alert_id)"""
 
 
 @query("t14_select_pattern", PATTERN_SQL, SV, {**SIG, "det": DET_ALL})
 def _(f):
-    return detect.select_pattern(f.flags, detections(f))
+    return detect.select_pattern(f.flags, fired(f))
 
 
 @query("t14_fallback_pattern", """SELECT alert_id, CASE WHEN channel = 'in_person' AND addr1 <> home_asof THEN 'out_of_region_use' WHEN near_online >= 1 AND near_in_person >= 1 THEN 'account_takeover'
@@ -481,7 +535,7 @@ def _(f):
  FROM flag f LEFT JOIN (SELECT alert_id, bool_or(tag = 'is_recurring_match') AS hit FROM det GROUP BY 1) r USING (alert_id)""", SV, {**SIG, "det": DET_ALL})
 def _(f):
     a = f.flags.select("alert_id", "trigger_type", F.expr("CASE WHEN flagged_txn_id % 9 = 0 THEN 'no_reply' END").alias("response"))
-    return detect.implied_response(a, detect.alert_tags(detections(f))).select("alert_id", "response")
+    return detect.implied_response(a, detect.alert_tags(fired(f))).select("alert_id", "response")
 
 
 @query("u01_register_signal", lr_sql(counts_sql({"night_view": ("product_cd = 'view' AND k % 4 = 0", "_s")}, {"_s": "channel = 'in_person'"})), LV, LAB)
@@ -492,7 +546,7 @@ def _(f):
     return evidence.likelihood_ratios(evidence.signal_counts(labelled(f), r))
 
 
-@query("u02_register_detector", f"SELECT alert_id, 13 AS seq, 'small_purchase' AS detector, 'card_testing' AS pattern, {N} AS tag, 'amount' AS channel, 0.25::DOUBLE AS log_lr FROM sig WHERE amt < 20 AND channel = 'online'", SV, SIG)
+@query("u02_register_detector", f"SELECT alert_id, 13 AS seq, 'small_purchase' AS detector, 'card_testing' AS pattern, {N} AS tag, 'amount' AS channel, 0.25::DOUBLE AS log_lr, FALSE AS names_flagged FROM sig WHERE amt < 20 AND channel = 'online'", SV, SIG)
 def _(f):
     mine = detect.register_detector("small_purchase", lambda lr: detect._row("small_purchase", detect.yes("amt < 20 AND channel = 'online'"), "card_testing", "amount", F.lit(0.25)))
     return detect.run_detectors(signals(f), LRS, mine).where(F.col("detector") == "small_purchase")

@@ -23,7 +23,8 @@ SELECT event_id AS txn_id,
   CASE WHEN event_type IN ('signup','view') THEN NULL WHEN k % 5 = 0 THEN 'New' ELSE 'Found' END AS id_15,
   CASE WHEN event_type NOT IN ('signup','view') AND k % 13 = 0 THEN 'IP_PROXY:ANONYMOUS' END AS id_23,
   concat('p', CAST(k % 8 AS VARCHAR), '.com') AS p_email,
-  CASE WHEN k % 3 = 0 THEN concat('r', CAST(k % 5 AS VARCHAR), '.com') END AS r_email, k
+  CASE WHEN k % 3 = 0 THEN concat('r', CAST(k % 5 AS VARCHAR), '.com') END AS r_email,
+  CASE WHEN k % 17 = 0 THEN 'false' WHEN k % 17 < 9 THEN 'true' END AS "M1", CASE WHEN k % 31 = 0 THEN 'False' WHEN k % 31 < 20 THEN 'true' END AS "M9", k
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
 """
 CASE = """
@@ -102,7 +103,7 @@ def with_views(sql: str, *views: str, extra: dict[str, str] | None = None) -> st
 
 
 def _to_spark(sql: str) -> str:
-    for a, b in (("VARCHAR", "STRING"), ("epoch_us(ts)", "unix_micros(CAST(ts AS TIMESTAMP))"),
+    for a, b in (('"M1"', "M1"), ('"M9"', "M9"), ("VARCHAR", "STRING"), ("epoch_us(ts)", "unix_micros(CAST(ts AS TIMESTAMP))"),
                  ("ts AS ts,", "CAST(ts AS TIMESTAMP) AS ts,"), ("json_extract_string", "get_json_object"),
                  ("INTERVAL 1 DAY * (1 + k % 5)", "make_dt_interval(1 + k % 5)")):
         sql = sql.replace(a, b)

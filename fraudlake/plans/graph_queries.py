@@ -335,7 +335,16 @@ def _(f):
     return components.component_sizes(components.wcc(purchase_edges(f)))
 
 
-@query("g18_alert_components", None)
+@query("g18_alert_components", """
+SELECT f.alert_id, greatest(coalesce(s.n_cards, 1), 1) AS n_cards, coalesce(s.n_devices, 0) AS n_devices FROM flag f
+LEFT JOIN (SELECT DISTINCT x, label FROM lab) l ON l.x = f.card
+LEFT JOIN (SELECT label, count(DISTINCT x) AS n_cards, count(DISTINCT device_profile) AS n_devices FROM lab JOIN wide ON wide.card = lab.x GROUP BY 1) s USING (label)
+""", ("txn", "flag", "known", "deg"), {
+    "wide": "SELECT card, device_profile FROM known JOIN deg USING (device_profile) WHERE degree <= 100",
+    "steps": "SELECT DISTINCT a.card AS x, b.card AS y FROM wide a JOIN wide b USING (device_profile)",
+    # the smallest card of each component, by passing labels on until none changes
+    "lab": """WITH RECURSIVE r(x, y) AS (SELECT x, min(y) FROM steps GROUP BY 1 UNION SELECT s.y, r.y FROM r JOIN steps s ON s.x = r.x WHERE r.y < s.y)
+      SELECT x, min(y) AS label FROM r GROUP BY 1"""})
 def _(f):
     return components.alert_components(f.flags, components.wcc(components.narrow_edges(f.known, 100)))
 
@@ -438,45 +447,9 @@ def _(f):
     return rings.neighborhood(f.flags, f.txn, f.known, f.cj, cc_dev(f))
 
 
-EPI_SQL = f"""
-SELECT alert_id, txn_id, max(b) = 1 AS base FROM (
-  SELECT alert_id, flagged_txn_id AS txn_id, 1 AS b FROM v WHERE verdict <> 'legitimate'
-  UNION ALL SELECT m.alert_id, m.txn_id, 1 FROM small m JOIN v USING (alert_id) WHERE v.verdict <> 'legitimate'
-  UNION ALL SELECT v.alert_id, t.txn_id, 0 FROM v JOIN sizes s USING (alert_id) JOIN txn t ON t.customer_id = v.customer_id AND t.device_profile = v.device_profile AND t.ts_us BETWEEN v.opened_us - {D14} AND v.opened_us
-    WHERE v.verdict <> 'legitimate' AND s.n_cards >= 2
-  UNION ALL SELECT v.alert_id, t.txn_id, 0 FROM v JOIN txn t ON t.customer_id = v.customer_id AND t.ts_us BETWEEN v.ts_us - {H48} AND v.ts_us + {H48}
-    WHERE v.verdict = 'fraud' AND CASE WHEN v.pattern IN ('card_not_present_new_device', 'undocumented', 'account_takeover') THEN t.device_profile = v.device_profile
-      WHEN v.pattern = 'out_of_region_use' THEN t.addr1 = v.addr1 WHEN v.pattern IN ('card_testing', 'card_not_present_fraud') THEN t.channel = 'online' ELSE FALSE END) GROUP BY 1, 2
-"""
-EPI = {**ring_ctes(100), "v": VERDICT_SQL,
-       "small": "SELECT f.alert_id, t.txn_id FROM flag f JOIN txn t ON t.card = f.card AND t.channel = 'online' AND t.ts_us BETWEEN f.lo_us AND f.hi_us AND (t.amt < 5 OR t.amt > 100)",
-       "sizes": "SELECT alert_id, count(*) AS n_cards FROM ring_cards GROUP BY 1", "epi": EPI_SQL}
-
-
 def ring_table(f):
     return f.stored("rings", lambda: rings.ring_components(f.flags, f.txn, f.known, f.cj, cc_dev(f), cc_conn(f), cc_card(f)))
 
 
 def tier_table(f):
     return f.stored("tiers", lambda: neighbors.all_device_tiers(f.flags, f.txn, f.cj, f.known))
-
-
-def episode_rows(f):
-    ring = ring_table(f)
-    decided = verdicts(f).join(ring.select("alert_id", F.col("n_cards").alias("ring_cards")), "alert_id")
-    return rings.episode_members(decided, f.txn, neighbors.testing_members(f.flags, f.txn))
-
-
-@query("g27_episode_members", "SELECT * FROM epi", RV, EPI)
-def _(f):
-    return episode_rows(f)
-
-
-@query("g28_episode_bounds", """
-SELECT f.alert_id, coalesce(n_before, 0) AS n_before, coalesce(n_after, 0) AS n_after, coalesce(exposure_usd, 0) AS exposure_usd, CAST(first_txn_id AS VARCHAR) AS first_txn_id, first_date, last_date
-FROM flag f LEFT JOIN (SELECT alert_id, count(*) FILTER (WHERE base) AS n_before, count(*) AS n_after, round(sum(CAST(abs(amt) AS DECIMAL(28,6)))::DOUBLE, 2) AS exposure_usd,
-  arg_min(txn_id, (ts_us, txn_id)) AS first_txn_id, strftime(min(ts), '%Y-%m-%d') AS first_date, strftime(max(ts), '%Y-%m-%d') AS last_date FROM epi JOIN txn USING (txn_id) GROUP BY 1) e USING (alert_id)
-""", RV, EPI)
-def _(f):
-    out = rings.episodes(f.flags, episode_rows(f), f.txn)
-    return out.withColumn("first_txn_id", F.col("first_txn_id").cast("string"))

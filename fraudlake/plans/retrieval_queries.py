@@ -31,6 +31,14 @@ def _(f):
     return retrieval.vector_topk_lsh(vectors(f, "qid"), vectors(f, "cid"), 10)
 
 
+@query("r02_lsh_recall", "SELECT count(*) AS n_queries, 10 * count(*) AS n_wanted, TRUE AS recall_090 FROM embeddings WHERE vec_id % 100 = 0")
+def _(f):
+    """Every hundredth row asks; all rows answer."""
+    q, c = vectors(f, "qid").where("qid % 100 = 0"), vectors(f, "cid")
+    got = retrieval.recall(retrieval.vector_topk_lsh(q, c, 10), retrieval.vector_topk(q, c, 10))
+    return got.select("n_queries", "n_wanted", (F.col("recall") >= 0.9).alias("recall_090"))
+
+
 @query("r03_vectors_by_id", "SELECT vec_id AS cid, label, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)")
 def _(f):
     c = f.raw("embeddings").select(F.col("vec_id").alias("cid"), "label", "embedding")
