@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from fraudlake.cols import DAY_US, HOUR_US
 from fraudlake.operators.tables import device_degree, known_device
-from fraudlake.operators.timeline import prior_time, window_distinct, window_members, window_sums
+from fraudlake.operators.timeline import prior_time, window_counts, window_members, window_sums
+from fraudlake.session import cut
+from fraudlake.session import small as if_small
 
 DISTANT_PAST = -(2**61)
 
@@ -73,6 +75,24 @@ def testing_sequence(flags: DataFrame, txn: DataFrame, small: float = 5.0, large
     return n.withColumn("fires", (F.col("n_small") >= k) & (F.col("n_large") >= 1))
 
 
+def card_signals(flags: DataFrame, txn: DataFrame, small: float = 5.0, large: float = 100.0, k: int = 3, hours: int = 48, threshold: float = 500.0,
+                 near: int = 3) -> DataFrame:
+    """Testing sequence, burst and near-threshold counts of every alert's card in one pass over its time line.
+
+    Both windows of an alert are probes on the same line: its own, and the ``hours`` before it opened.
+    """
+    ends = F.array(F.struct(F.lit("own").alias("frame"), F.col("lo_us").alias("lo_us"), F.col("hi_us").alias("hi_us")),
+                   F.struct(F.lit("burst").alias("frame"), (F.col("opened_us") - hours * HOUR_US).alias("lo_us"), F.col("opened_us").alias("hi_us")))
+    probes = flags.select("alert_id", "card", F.explode(ends).alias("e")).select("alert_id", "card", "e.frame", "e.lo_us", "e.hi_us")
+    m = {"n_online": F.lit(1), "n_small": one(F.col("amt") < small), "n_large": one(F.col("amt") > large),
+         "n_near": one((F.col("amt") < threshold) & (F.col("amt") >= threshold * 0.95))}
+    sums = window_sums(probes, txn.where(online()), ["card"], m, ["alert_id", "frame"])
+    pick = lambda frame, c: F.max(F.when(F.col("frame") == frame, F.col(c))).alias(c)
+    n = sums.groupBy("alert_id").agg(pick("burst", "n_online"), *[pick("own", c) for c in ("n_small", "n_large", "n_near")])
+    out = per_alert(flags, n, "n_online", "n_small", "n_large", "n_near")
+    return (out.withColumn("testing_fires", (F.col("n_small") >= k) & (F.col("n_large") >= 1)).withColumn("near_threshold_fires", F.col("n_near") >= near))
+
+
 def testing_members(flags: DataFrame, txn: DataFrame, small: float = 5.0, large: float = 100.0) -> DataFrame:
     rows = txn.where(online() & ((F.col("amt") < small) | (F.col("amt") > large)))
     kind = F.when(F.col("amt") < small, "small").otherwise("large")
@@ -100,6 +120,7 @@ def device_neighbors(flags: DataFrame, txn: DataFrame, cc_dev: DataFrame, cap: i
     dev = flags.where(F.col("device_profile").isNotNull()).join(deg, "device_profile", "left")
     narrow = dev.where(F.col("degree") <= cap).withColumnRenamed("card", "own")
     pairs = narrow.join(known.select("device_profile", "card"), "device_profile")
+    pairs = cut(pairs.select("alert_id", "own", "card", "device_profile", "lo_us", "hi_us"))
     n = window_sums(pairs, txn, ["device_profile", "card"], {"n": F.lit(1)}, ["alert_id", "own", "card"])
     got = n.groupBy("alert_id").agg(
         F.sum("n").alias("n_txns"), F.sum(one(F.col("n") > 0)).alias("n_cards"),
@@ -117,18 +138,22 @@ def device_peers(flags: DataFrame, txn: DataFrame, cap: int = 100, known: DataFr
     narrow = device_degree(known).where(F.col("degree") <= cap)
     dev = flags.join(narrow, "device_profile").withColumnRenamed("card", "own")
     pairs = dev.join(known.select("device_profile", "card"), "device_profile").where(F.col("card") != F.col("own"))
+    pairs = cut(pairs.select("alert_id", "card", "device_profile", "lo_us", "hi_us"))
     n = window_sums(pairs, txn, ["device_profile", "card"], {"n": F.lit(1)}, ["alert_id", "card"])
     return n.where(F.col("n") > 0).select("alert_id", "card")
 
 
 def region_history(flags: DataFrame, txn: DataFrame, home: DataFrame) -> DataFrame:
     """Rows ever in the alert's region, and in-person rows at home inside the window."""
-    ever = txn.where(F.col("addr1").isNotNull()).groupBy("card", "addr1").agg(F.count("*").alias("n_in_region_ever"))
-    h = flags.select("alert_id", "card", "lo_us", "hi_us").join(home.select("card", "home_addr1"), "card")
-    at_home = window_sums(h.withColumnRenamed("home_addr1", "addr1"), txn.where(F.col("channel") == "in_person"),
+    h = cut(flags.select("alert_id", "card", F.col("addr1").alias("at"), "lo_us", "hi_us").join(home.select("card", "home_addr1"), "card", "left"))
+    # only rows of an alert's card in its region or at home are read; both counts come from them
+    wanted = (h.select("card", F.col("at").alias("addr1")).unionByName(h.select("card", F.col("home_addr1").alias("addr1")))
+              .where(F.col("card").isNotNull() & F.col("addr1").isNotNull()).distinct())
+    rows = txn.select("card", "addr1", "ts_us", "channel").join(if_small(cut(wanted)), ["card", "addr1"], "left_semi")
+    ever = rows.groupBy("card", F.col("addr1").alias("at")).agg(F.count("*").alias("n_in_region_ever"))
+    at_home = window_sums(h.select("alert_id", "card", F.col("home_addr1").alias("addr1"), "lo_us", "hi_us"), rows.where(F.col("channel") == "in_person"),
                           ["card", "addr1"], {"n_home_in_window": F.lit(1)}, ["alert_id"])
-    out = (flags.select("alert_id", "card", "addr1").join(home.select("card", "home_addr1"), "card", "left")
-           .join(ever, ["card", "addr1"], "left").join(at_home, "alert_id", "left"))
+    out = h.join(ever, ["card", "at"], "left").join(at_home, "alert_id", "left")
     out = longs(out, "n_in_region_ever", "n_home_in_window")
     return (out.withColumn("had_prior_txn_in_region", F.col("n_in_region_ever") > 0)
             .select("alert_id", "home_addr1", "n_in_region_ever", "n_home_in_window", "had_prior_txn_in_region"))
@@ -137,13 +162,9 @@ def region_history(flags: DataFrame, txn: DataFrame, home: DataFrame) -> DataFra
 def cluster(flags: DataFrame, txn: DataFrame, key: str, width_us: int = 14 * DAY_US) -> DataFrame:
     """Rows and distinct other cards that share ``key`` (region or recipient) in the window."""
     f = flags.where(F.col(key).isNotNull()).select("alert_id", "card", key, "lo_us", "hi_us")
-    rows = txn.where(F.col(key).isNotNull()).select(key, "card", "ts_us")
-    n = window_sums(f, rows, [key], {"n_txns": F.lit(1)}, ["alert_id"])
-    d = window_distinct(f, rows, [key], "card", width_us, ["alert_id"], "n_cards")
-    own = window_sums(f, rows, [key, "card"], {"n_own": F.lit(1)}, ["alert_id"])
-    out = longs(f.select("alert_id").join(n, "alert_id", "left").join(d, "alert_id", "left")
-                .join(own, "alert_id", "left"), "n_txns", "n_cards", "n_own")
-    return out.select("alert_id", "n_txns", (F.col("n_cards") - one(F.col("n_own") > 0)).cast("long").alias("n_other_cards"))
+    n = window_counts(f, txn.where(F.col(key).isNotNull()).select(key, "card", "ts_us"), [key], "card", width_us, "alert_id")
+    out = longs(f.select("alert_id").join(n, "alert_id", "left"), "n_rows", "n_items", "n_own")
+    return out.select("alert_id", F.col("n_rows").alias("n_txns"), (F.col("n_items") - one(F.col("n_own") > 0)).cast("long").alias("n_other_cards"))
 
 
 def region_cluster(flags: DataFrame, txn: DataFrame) -> DataFrame:
@@ -203,7 +224,7 @@ def recurring_prior(txn: DataFrame, entity: str = "customer_id", tol: float = 0.
     pairs = near.join(other, [*key, "_b"]).where(F.abs(F.col("v") - F.col("amt")) < tol).select(*key, "amt", "v")
     probes = rows.join(pairs, [*key, "amt"]).select(
         *key, "v", "txn_id", F.lit(DISTANT_PAST).alias("lo_us"), (F.col("ts_us") - 1).alias("hi_us"))
-    n = window_sums(probes, rows.withColumnRenamed("amt", "v"), [*key, "v"], {"n_prior_same": F.lit(1)}, ["txn_id"])
+    n = window_sums(probes, rows.withColumnRenamed("amt", "v"), [*key, "v"], {"n_prior_same": F.lit(1)}, ["txn_id"], prune=False)
     return longs(n, "n_prior_same").withColumn("recurring_ge3", F.col("n_prior_same") >= 3)
 
 
@@ -229,32 +250,39 @@ def near_threshold(flags: DataFrame, txn: DataFrame, threshold: float = 500.0, k
 
 def device_prior_fraud(flags: DataFrame, cj: DataFrame) -> DataFrame:
     """Confirmed-fraud cases on the alert's device closed before the alert opened."""
-    cases = cj.where((F.col("outcome") == "confirmed_fraud") & F.col("device_profile").isNotNull())
-    cases = cases.groupBy("device_profile", "case_id").agg(F.min("closed_us").alias("ts_us"))
+    return device_fraud(flags, cj).select("alert_id", "n_prior_fraud")
+
+
+def device_fraud(flags: DataFrame, cj: DataFrame) -> DataFrame:
+    """Confirmed-fraud cases, and other customers with one, on the alert's device before the alert opened: one time line answers both.
+
+    A case counts from its first closing, a customer from the first case closed.
+    """
+    c = cj.where((F.col("outcome") == "confirmed_fraud") & F.col("device_profile").isNotNull())
+    cases = c.groupBy("device_profile", "case_id").agg(F.min("closed_us").alias("ts_us"))
+    people = cut(c.groupBy("device_profile", "customer_id").agg(F.min("closed_us").alias("ts_us")))
+    one_line = (cases.select("device_profile", "ts_us", F.lit(1).alias("c"), F.lit(0).alias("p"))
+                .unionByName(people.select("device_profile", "ts_us", F.lit(0).alias("c"), F.lit(1).alias("p"))))
     probes = flags.withColumn("hi_us", F.col("opened_us") - 1).withColumn("lo_us", F.lit(DISTANT_PAST))
-    n = window_sums(probes, cases, ["device_profile"], {"n_prior_fraud": F.lit(1)}, ["alert_id"])
-    return per_alert(flags, n, "n_prior_fraud")
+    n = window_sums(probes, one_line, ["device_profile"], {"n_prior_fraud": F.col("c"), "n_all": F.col("p")}, ["alert_id"], prune=False)
+    own = (probes.join(people.withColumnRenamed("ts_us", "_first"), ["device_profile", "customer_id"])
+           .where(F.col("_first") <= F.col("hi_us")).select("alert_id", F.lit(1).alias("n_own")))
+    out = per_alert(flags, n.join(own, "alert_id", "left"), "n_prior_fraud", "n_all", "n_own")
+    return out.select("alert_id", "n_prior_fraud", (F.col("n_all") - F.col("n_own")).cast("long").alias("n_other_fraud"))
 
 
 def device_other_new_or_proxied(flags: DataFrame, txn: DataFrame, days: int = 14) -> DataFrame:
     """Other customers with a new-device or proxied row on the device within ``days`` either side."""
     rows = txn.where(F.col("device_profile").isNotNull() & (F.coalesce(F.col("id_15") == "New", F.lit(False)) | proxied()))
-    f = around(flags.where(F.col("device_profile").isNotNull()), days * DAY_US, "opened_us")
-    d = window_distinct(f, rows, ["device_profile"], "customer_id", 2 * days * DAY_US, ["alert_id"], "n_all")
-    own = window_sums(f, rows, ["device_profile", "customer_id"], {"n_own": F.lit(1)}, ["alert_id"])
-    out = per_alert(flags, d.join(own, "alert_id", "left"), "n_all", "n_own")
-    return out.select("alert_id", (F.col("n_all") - one(F.col("n_own") > 0)).cast("long").alias("n_other_new_or_proxied"))
+    f = around(flags.where(F.col("device_profile").isNotNull()), days * DAY_US, "opened_us").select("alert_id", "customer_id", "device_profile", "lo_us", "hi_us")
+    n = window_counts(f, rows.select("device_profile", "customer_id", "ts_us"), ["device_profile"], "customer_id", 2 * days * DAY_US, "alert_id")
+    out = per_alert(flags, n, "n_items", "n_own")
+    return out.select("alert_id", (F.col("n_items") - one(F.col("n_own") > 0)).cast("long").alias("n_other_new_or_proxied"))
 
 
 def device_other_fraud(flags: DataFrame, cj: DataFrame) -> DataFrame:
     """Other customers with a confirmed-fraud case on the device closed before the alert opened."""
-    c = cj.where((F.col("outcome") == "confirmed_fraud") & F.col("device_profile").isNotNull())
-    first = c.groupBy("device_profile", "customer_id").agg(F.min("closed_us").alias("ts_us"))
-    f = flags.withColumn("hi_us", F.col("opened_us") - 1).withColumn("lo_us", F.lit(DISTANT_PAST))
-    n = window_sums(f, first, ["device_profile"], {"n_all": F.lit(1)}, ["alert_id"])
-    own = window_sums(f, first, ["device_profile", "customer_id"], {"n_own": F.lit(1)}, ["alert_id"])
-    out = per_alert(flags, n.join(own, "alert_id", "left"), "n_all", "n_own")
-    return out.select("alert_id", (F.col("n_all") - F.col("n_own")).cast("long").alias("n_other_fraud"))
+    return device_fraud(flags, cj).select("alert_id", "n_other_fraud")
 
 
 def device_tiers(flags: DataFrame, degree: DataFrame, prior: DataFrame, others: DataFrame, fraud: DataFrame,
@@ -276,8 +304,9 @@ def device_tiers(flags: DataFrame, degree: DataFrame, prior: DataFrame, others:
 
 def all_device_tiers(flags: DataFrame, txn: DataFrame, cj: DataFrame, known: DataFrame | None = None) -> DataFrame:
     known = known if known is not None else known_device(txn)
-    return device_tiers(flags, device_degree(known), device_prior_fraud(flags, cj),
-                        device_other_new_or_proxied(flags, txn), device_other_fraud(flags, cj))
+    fraud = cut(device_fraud(flags, cj))
+    return device_tiers(flags, device_degree(known), fraud.select("alert_id", "n_prior_fraud"),
+                        device_other_new_or_proxied(flags, txn), fraud.select("alert_id", "n_other_fraud"))
 
 
 def prior_fraud_cards(flags: DataFrame, cj: DataFrame, verdicts: DataFrame | None = None, gate: int = 2) -> DataFrame:

@@ -38,7 +38,7 @@ def ring_devices(flags: DataFrame, txn: DataFrame, known: DataFrame, cap: int =
     """
     deg = device_degree(known)
     pairs = flags.select("alert_id", "card", "lo_us", "hi_us").join(known.select("card", "device_profile"), "card")
-    pairs = pairs.join(deg.where(F.col("degree") <= cap), "device_profile", "left_semi")
+    pairs = cut(pairs.join(deg.where(F.col("degree") <= cap), "device_profile", "left_semi"))
     used = window_sums(pairs, txn, ["card", "device_profile"], {"n": F.lit(1)}, ["alert_id", "device_profile"])
     used = used.where(F.col("n") > 0).select("alert_id", "device_profile")
     if families is None:
@@ -71,7 +71,7 @@ def ring_cases(devices: DataFrame, cj: DataFrame, cc_dev: DataFrame) -> DataFram
 def ring_activity(flags: DataFrame, devices: DataFrame, txn: DataFrame, known: DataFrame) -> DataFrame:
     """In-window use of the ring devices by each of their cards: counts, flags and amount."""
     w = flags.select("alert_id", "lo_us", "hi_us")
-    probes = devices.join(known.select("device_profile", "card"), "device_profile").join(w, "alert_id")
+    probes = cut(devices.join(known.select("device_profile", "card"), "device_profile").join(w, "alert_id"))
     m = {"n": F.lit(1), "n_new": one(F.coalesce(F.col("id_15") == "New", F.lit(False))), "n_proxied": one(proxied()),
          "amt": F.col("amt").cast(MONEY)}
     use = window_sums(probes, txn, ["device_profile", "card"], m, ["alert_id", "device_profile", "card"])

@@ -222,6 +222,36 @@ def window_distinct(probes: DataFrame, data: DataFrame, key: list[str], item: st
     return running_at(ev, pr, key, [out], ids, slices=slices, auto=False)
 
 
+def window_counts(probes: DataFrame, data: DataFrame, key: list[str], item: str, width_us: int, id_col: str) -> DataFrame:
+    """For each probe ``(id, *key, item, lo_us, hi_us)``: rows of the key, distinct items and rows of the probe's own item.
+
+    Rows and distinct items are running totals of one time line, so both come from one pass over rows that are bounded once: a
+    row adds 1 at its time, and opens and closes the span in which it is the first of its item (see ``window_distinct``).
+    Windows have the length ``width_us``.
+    """
+    ok = F.lit(True)
+    for k in key:
+        ok = ok & F.col(k).isNotNull()
+    probes = probes.where(ok)
+    rows = asked(probes, data.where(ok), key, F.col("hi_us"))
+    slices = find_slices(rows.select(*key, "ts_us"), key)
+    zero, one = F.lit(0), F.lit(1)
+    first = prior_time(rows.where(F.col(item).isNotNull()), [*key, item])
+    line = rows.select(*key, F.col("ts_us").alias("t"), one.alias("n"), zero.alias("d")).unionByName(
+        first.select(*key, F.explode(F.array(F.struct(F.greatest(F.col("prev_us") + 1, F.col("ts_us") - width_us).alias("t"), one.alias("d")),
+                                             F.struct((F.col("ts_us") + 1).alias("t"), F.lit(-1).alias("d")))).alias("e"))
+        .select(*key, "e.t", zero.alias("n"), "e.d"))
+    asks = probes.select(id_col, *key, F.explode(F.array(
+        F.struct((F.col("lo_us") - 1).alias("t"), F.lit(-1).alias("sign"), F.lit("n").alias("what")), F.struct(F.col("hi_us").alias("t"), one.alias("sign"), F.lit("n").alias("what")),
+        F.struct(F.col("lo_us").alias("t"), one.alias("sign"), F.lit("d").alias("what")))).alias("p"))
+    asks = asks.select(id_col, *key, "p.t", "p.sign", "p.what")
+    got = running_at(line, asks, key, ["n", "d"], [id_col, "what"], slices=slices, auto=False)
+    of = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
+    both = got.groupBy(id_col).agg(of("n", "n").alias("n_rows"), of("d", "d").alias("n_items"))
+    own = window_sums(probes.where(F.col(item).isNotNull()), rows, [*key, item], {"n_own": one}, [id_col], prune=False)
+    return both.join(own, id_col, "left")
+
+
 def window_members(probes: DataFrame, data: DataFrame, key: list[str], width_us: int,
                    how: str = "inner") -> DataFrame:
     """Rows of ``data`` with the probe's key and ``lo_us <= ts_us <= hi_us``, one for each match.

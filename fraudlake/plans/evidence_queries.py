@@ -234,9 +234,7 @@ def _signals(f):
     fl, t = f.flags, f.txn
     rec = recurring(f).select(F.col("txn_id").alias("flagged_txn_id"), "recurring_ge3")
     parts = [
-        neighbors.testing_sequence(fl, t, 20.0, 60.0).select("alert_id", F.col("fires").alias("testing_fires")),
-        neighbors.burst(fl, t).select("alert_id", "n_online"),
-        neighbors.near_threshold(fl, t, 60.0, 2).select("alert_id", F.col("fires").alias("near_threshold_fires")),
+        neighbors.card_signals(fl, t, 20.0, 60.0, threshold=60.0, near=2).select("alert_id", "testing_fires", "n_online", "near_threshold_fires"),
         neighbors.recurring_match(fl, t, tol=2.5).select("alert_id", F.col("n").alias("n_recurring"), F.col("fires").alias("recurring_fires")),
         neighbors.region_history(fl, t, home(f)).select("alert_id", "had_prior_txn_in_region", "n_home_in_window"),
         tier_table(f).drop("proxy_flag"),
@@ -279,8 +277,7 @@ def _training(f):
     sig = sig.join(recurring(f).select("txn_id", "recurring_ge3"), "txn_id", "left")
     for part in (
         neighbors.region_history(rows, f.txn, home(f)).select("alert_id", "had_prior_txn_in_region"),
-        neighbors.testing_sequence(rows, f.txn, 20.0, 60.0).select("alert_id", F.col("fires").alias("testing_fires")),
-        neighbors.near_threshold(rows, f.txn, 60.0, 2).select("alert_id", F.col("fires").alias("near_threshold_fires")),
+        neighbors.card_signals(rows, f.txn, 20.0, 60.0, threshold=60.0, near=2).select("alert_id", "testing_fires", "near_threshold_fires"),
         neighbors.recipient_cluster(rows, f.txn).select("alert_id", F.col("n_other_cards").alias("n_recipient_others")),
     ):
         sig = sig.join(part, "alert_id", "left")
