@@ -3,9 +3,9 @@
 Letters are lower-cased, everything else is one separator; runs of one to four characters are hashed to
 ``DIM`` features. A feature weighs ``(1 + ln(count)) * idf`` and every text is scaled to length one; document
 frequencies come from all learnable documents. The weights are fitted by follow-the-regularised-leader with
-elastic-net penalties (most stay zero): shards of a bounded sample run one pass each from the same state, the states are
-averaged, and the next pass starts from there. A temperature, fitted on sample rows kept apart,
-calibrates the probabilities.
+elastic-net penalties (most stay zero): shards of a bounded sample run one pass each from the same state, their changes are
+averaged on the executors, and the next pass starts from the average. The driver receives one state, whatever the number of
+shards. A temperature, fitted on sample rows kept apart, calibrates the probabilities.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every text when nothing can be
 learnt. Only the text is an input of a prediction.
@@ -27,6 +27,7 @@ DIM = 1 << 15           # also fits the two bytes a feature takes in the stored
 ORDERS = (1, 2, 3, 4)
 MAX_TRAIN = 8_000       # documents used for the fit
 ROWS_PER_SHARD = 1_000
+SLICE = 1 << 12         # features of one slice of the state
 PASSES = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 SEED = 5
@@ -139,14 +140,16 @@ def fit(docs: DataFrame, learn: Column, max_train: int = MAX_TRAIN) -> LanguageM
             out = []
             for text, lang, part in zip(*(b.column(c).to_pylist() for c in ("text", "lang", "part"))):
                 at, n = features(text)
-                out.append((langs.index(lang), part, at.astype(np.uint16).tobytes(), np.minimum(n, 65535).astype(np.uint16).tobytes()))
+                out.append((langs.index(lang), part, at.astype(np.uint16).tobytes(), n.astype(np.uint32).tobytes()))
             yield batch_of(schema, *(zip(*out) if out else [[]] * 4))
 
-    sample = cut(usable.where(sample_below(rows, max_train, "doc_id", seed=SEED))
-                 .select("text", "lang", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(6)).cast("int").alias("part"))
+    # the row number takes part, so that copies and rows without an id are sampled and spread like all others
+    at_row = F.monotonically_increasing_id()
+    numbered = usable.select("doc_id", "text", "lang", at_row.alias("row"))
+    sample = cut(numbered.where(sample_below(rows, max_train, "doc_id", "row", seed=SEED))
+                 .select("text", "lang", F.pmod(F.xxhash64(F.lit(6), "doc_id", "row"), F.lit(6)).cast("int").alias("part"))
                  .mapInArrow(make, "y int, part int, at binary, n binary"))
-    shards = parts_for(sample.count(), ROWS_PER_SHARD)
-    sample = cut(sample.repartition(shards, F.xxhash64("at", "n")))
+    sample = cut(sample.repartition(parts_for(sample.count(), ROWS_PER_SHARD)))
     spark = docs.sparkSession
     shape = (2, DIM + 1, len(langs))
     state = np.zeros(shape)
@@ -154,8 +157,10 @@ def fit(docs: DataFrame, learn: Column, max_train: int = MAX_TRAIN) -> LanguageM
     def examples(batches):
         for b in batches:
             for y, part, at, n in zip(*(b.column(c).to_pylist() for c in ("y", "part", "at", "n"))):
-                yield y, part, np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(n, np.uint16).astype(np.float64)
+                yield y, part, np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(n, np.uint32).astype(np.float64)
 
+    # what a shard changed, slice by slice of the feature space; slices are averaged on the executors
+    change = pa.schema([("slice", pa.int32()), ("rows", pa.int64()), ("at", pa.binary()), ("by", pa.binary())])
     for _ in range(PASSES):
         now = spark.sparkContext.broadcast(state)   # as many numbers as the model has
 
@@ -165,14 +170,31 @@ def fit(docs: DataFrame, learn: Column, max_train: int = MAX_TRAIN) -> LanguageM
                 if part:
                     leader.learn(at, weigh(at, n, idf), y)
                     seen += 1
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([np.stack([leader.z, leader.n]).tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["s", "k"])
-
-        got = sample.mapInArrow(one_pass, "s binary, k long").collect()     # one state for each shard of the bounded sample
-        if not got:
+            if not seen:
+                return
+            moved = np.stack([leader.z, leader.n]) - now.value
+            touched = np.flatnonzero(moved.any(axis=(0, 2)))
+            groups = [g for g in np.split(touched, np.searchsorted(touched, np.arange(SLICE, DIM + 1, SLICE))) if len(g)]
+            yield batch_of(change, [int(g[0]) // SLICE for g in groups], [seen] * len(groups), [g.astype(np.int32).tobytes() for g in groups],
+                           [moved[:, g].tobytes() for g in groups])
+
+        def average(t: pa.Table) -> pa.Table:
+            total = np.zeros((2, SLICE, len(langs)))
+            base = t.column("slice")[0].as_py() * SLICE
+            for k, at, by in zip(*(t.column(c).to_pylist() for c in ("rows", "at", "by"))):
+                at = np.frombuffer(at, np.int32) - base
+                total[:, at] += np.frombuffer(by).reshape(2, len(at), len(langs)) * k
+            return pa.table([t.column("slice")[:1], pa.array([total.tobytes()], pa.binary())], ["slice", "by"])
+
+        ddl = "slice int, rows long, at binary, by binary"
+        moves = cut(sample.mapInArrow(one_pass, ddl))
+        # a shard weighs as many rows as it learnt; it has a row for each slice, of which each knows this number
+        learnt = sample.where("part <> 0").count()
+        if not learnt:
             break
-        total = sum(r["k"] for r in got)
-        state = sum(np.frombuffer(r["s"]).reshape(shape) * (r["k"] / total) for r in got)
+        for r in moves.groupBy("slice").applyInArrow(average, "slice int, by binary").collect():    # one state in all
+            first, last = r["slice"] * SLICE, min((r["slice"] + 1) * SLICE, DIM + 1)
+            state[:, first:last] += np.frombuffer(r["by"]).reshape(2, SLICE, len(langs))[:, :last - first] / learnt
     model = LanguageModel(langs, idf, Leader.weights(state[0], state[1]))
 
     def apart(batches):
