@@ -14,8 +14,12 @@ functions, for radii too wide for blocks: texts of similarity s miss each other
 piece is searched by all of the others. Trees are sent to the tasks that search them by the
 shuffle, so nothing is broadcast.
 
-With a least similarity a pair within the radius is a candidate only. Rows with a candidate are dealt
-again, now with their sets of shingles, and a pair is linked when its sets are that similar (Jaccard).
+With a least similarity a pair within the radius is a candidate only. Candidate pairs make up groups, every text of a
+group is dealt once more to it, now with its set of shingles, and a pair is linked when its sets are that similar (Jaccard).
+
+A null text counts as empty; empty texts and texts without words share fingerprint zero and an empty set, and are copies of each other. A very
+long text is read whole; its set has eight bytes for each distinct shingle. Ties for the row that stays go to the smaller text hash. An empty table
+gives an empty result. Other columns are carried through by ``keep_one``, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from fraudlake.llm.common import NULL_ID, bit_counts, batch_of, id_back, id_key, mix, no_text, pack_bits, parts_for, shingle_hashes, words_lower
 from fraudlake.llm.graph import components
-from fraudlake.session import cut
+from fraudlake.session import cut, small
 
 MAX_TREE = 20_000
 ROWS_PER_TASK = 30_000
@@ -71,8 +75,8 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, n_keys: int =
     return docs.select(id_key().alias("id"), text_key().alias("text_key"), "text").mapInArrow(run, ddl)
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``id``, the key of a text, and ``shingles``, the set of its shingle hashes, once for each distinct text."""
+def sets_of(rows: DataFrame, words: int) -> DataFrame:
+    """``id`` and ``shingles``, the set of shingle hashes, for each of ``rows(id, text)``."""
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -80,7 +84,12 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             got = [np.unique(shingle_hashes(words_lower(t), words)).view(np.int64) for t in b.column("text").to_pylist()]
             yield batch_of(schema, b.column("id"), got)
 
-    return docs.groupBy(text_key().alias("id")).agg(F.first("text").alias("text")).mapInArrow(run, "id long, shingles array<long>")
+    return rows.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """``id``, the key of a text, and ``shingles``, once for each distinct text of ``docs``."""
+    return sets_of(docs.groupBy(text_key().alias("id")).agg(F.first("text").alias("text")), words)
 
 
 def dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -378,15 +387,21 @@ def labelled(docs: DataFrame, words: int, bits: int, radius: int, n_keys: int, l
     if least is not None and not n_keys:
         raise ValueError("a least similarity needs min-hash shards")
     node = F.col("text_key") if least is not None else F.col("f0") if bits == 64 else F.xxhash64(*fs)
-    rows = cut(fingerprints(docs, words, bits, n_keys, sets=least is not None).select("id", "text_key", node.alias("node"), *fs, "keys"))
+    read = docs.select("doc_id", "text")
+    rows = cut(fingerprints(read, words, bits, n_keys, sets=least is not None).select("id", "text_key", node.alias("node"), *fs, "keys"))
     reps = cut(rows.groupBy(F.col("node").alias("id")).agg(F.min(F.struct(*fs, "keys")).alias("r")).select("id", "r.*"))
     shards = cut(minhash_keys(reps) if n_keys else block_keys(reps.select("id", "f0"), radius))
     if least is None:
         found = links(shards, radius)
     else:
-        near = cut(candidates(shards, radius))
-        texts = docs.join(near.select(F.col("id").alias("_node")).distinct(), text_key() == F.col("_node"), "left_semi")
-        found = similar_links(cut(shards.join(near, ["id", "key"]).join(shingle_sets(texts, words), "id")), radius, least)
+        # rows within the radius make up candidate groups; a text's set goes to the one group it belongs to, whatever the number of its keys
+        group = cut(components(cut(links(shards, radius))).select(F.col("node").alias("id"), F.col("label").alias("key")))
+        one = rows.join(group.select(F.col("id").alias("node")), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+        texts = read.select(id_key().alias("id"), text_key().alias("node"), "text").join(small(cut(one)), ["id", "node"], "left_semi")
+        # rows that repeat both id and text give the same set
+        sets = sets_of(texts.select(F.col("node").alias("id"), "text"), words).dropDuplicates(["id"])
+        met = reps.select("id", *fs).join(group, "id").withColumn("before", F.array().cast("array<long>"))
+        found = similar_links(cut(met.join(sets, "id")), radius, least)
     return rows.drop("keys"), components(cut(found))
 
 
@@ -420,12 +435,14 @@ def keep_one(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, n
     nodes = cut(parts.groupBy("node").agg(F.min(rank).alias("low")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     best = nodes.join(nodes.groupBy("label").agg(F.min("low").alias("best")), "label").select("node", "best")
     ranked = cut(parts.join(best, "node").select("id", "text_key", "n", ((F.col("best.id") == F.col("id")) & (F.col("best.text_key") == F.col("text_key"))).alias("stays")))
-    key = ["_id", "_text"]
-    gone = ranked.where(~F.col("stays")).select(F.col("id").alias("_id"), F.col("text_key").alias("_text"))
-    twice = cut(ranked.where(F.col("stays") & (F.col("n") > 1)).select(F.col("id").alias("_id"), F.col("text_key").alias("_text")))
-    kept = docs.withColumn("_id", id_key()).withColumn("_text", text_key()).join(gone, key, "left_anti")
+    gone = ranked.where(~F.col("stays")).select("id", "text_key")
+    twice = cut(ranked.where(F.col("stays") & (F.col("n") > 1)).select("id", "text_key"))
+    # a struct holds the caller's columns, whatever their names
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), id_key().alias("id"), text_key().alias("text_key"))
+    key = ["id", "text_key"]
+    kept = packed.join(gone, key, "left_anti")
     if not twice.isEmpty():
-        # rows of one id and one text only: one of them, the smallest by its columns
-        again = (kept.join(twice, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*docs.columns)).alias("r")).select(*key, "r.*"))
-        kept = kept.join(twice, key, "left_anti").unionByName(again)
-    return kept.select(*docs.columns)
+        # rows of one id and one text only: one of them, the smallest by its columns as text
+        again = kept.join(twice, key, "left_semi").groupBy(*key).agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
+        kept = kept.join(twice, key, "left_anti").select(*key, "doc").unionByName(again)
+    return kept.select("doc.*")

@@ -180,5 +180,13 @@ def ready(spark: SparkSession) -> SparkSession:
     return tune(spark)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column (case does not count)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
