@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraudlake.llm import bk_dedup, decontaminate, packing, quality, secrets
-from fraudlake.llm.common import ready, table
+from fraudlake.llm.common import free_name, ready, table
 from fraudlake.session import ensure_checkpoint_dir
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of 0.7 or more, learnt from the labels of the documents of this stage."""
+    """Documents with a quality score of 0.7 or more, learnt from the labels of the documents of this stage; all of them if there is nothing to learn from."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, "_quality").where(F.col("_quality") >= 0.7).drop("_quality")
+    if not model.learnt:
+        return docs
+    name = free_name(docs, "_quality")
+    return quality.score(docs, model, name).where(F.col(name) >= 0.7).drop(name)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +43,16 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as pieces of training sequences."""
+    """The documents as pieces of training sequences: placement and words of every piece (empty texts have one piece in no bin)."""
     ready(spark)
-    return packing.pack_documents(docs)
+    return attach(packing.pack_documents(docs, keyed=True), packing.piece_texts(docs))
+
+
+def attach(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """``placed`` with the words of each piece; ids may be null."""
+    key = ["text_key", "piece"]
+    t = texts.select(F.col("doc_id").alias("_id"), *key, "text")
+    return placed.join(t, [*(placed[k] == t[k] for k in key), placed["doc_id"].eqNullSafe(t["_id"])]).select(*[placed[c] for c in placed.columns if c != "text_key"], "text")
 
 
 STAGES = [
