@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from fraudlake.llm.common import Codes, bit_counts, id_back, id_key, parts_for, run_hashes, words_lower
+from fraudlake.llm.common import Codes, bit_counts, free_name, id_back, id_key, parts_for, run_hashes, words_lower
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -152,7 +152,7 @@ def matches(docs: DataFrame, items: DataFrame, max_items: int = MAX_ITEMS) -> Da
 
 def clean(docs: DataFrame, items: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their columns; no shuffle."""
-    mark = "_n_items"
+    mark = free_name(docs, "_n_items")
     for matcher in matchers(items, max_items):
         sent = docs.sparkSession.sparkContext.broadcast(matcher)
         out = StructType([*docs.schema.fields, StructField(mark, IntegerType())])

@@ -12,7 +12,9 @@ holds its contents, and the cheapest packing of the shard is kept.
 A sequence of n tokens costs ``n + n * n / QUADRATIC + OVERHEAD``: linear layers, attention, fixed work.
 
 A null text and a text without words have length zero and go to no bin: they come back with null
-``bin_id``. Rows that repeat a document are packed as often as they occur.
+``bin_id``. Rows that repeat a document, with or without an id, are packed as often as they occur and spread over shards. Of bins with equal
+room the one opened first takes the piece. A very long text is cut into pieces, its words are only counted. Other columns are ignored.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -87,12 +89,22 @@ def word_count(col: str = "text") -> Column:
     return F.regexp_count(no_text(col), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def piece_texts(docs: DataFrame, top: int = LENGTHS[-1]) -> DataFrame:
+    """``doc_id``, ``text_key``, ``piece`` and ``text``, the words of the piece joined by a space, once for each id and text."""
+    words = F.regexp_extract_all(no_text(), F.lit(r"([^\x20\x09-\x0D]+)"))
+    rows = docs.select(id_key().alias("id"), F.xxhash64(no_text()).alias("text_key"), words.alias("w"))
+    n = F.greatest(F.ceil(F.size("w") / top), F.lit(1)).cast("int")
+    cut_up = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array_join(F.slice(F.col("w"), k * top + 1, F.lit(top)), " "))
+    pieces = rows.select("id", "text_key", F.posexplode(cut_up).alias("piece", "text"))
+    return pieces.groupBy("id", "text_key", "piece").agg(F.first("text").alias("text")).withColumn("doc_id", id_back("id")).drop("id")
+
+
 def pack_documents(docs: DataFrame, length: Column | None = None, lengths: tuple[int, ...] = LENGTHS,
-                   shard_pieces: int = SHARD_PIECES) -> DataFrame:
+                   shard_pieces: int = SHARD_PIECES, keyed: bool = False) -> DataFrame:
     """One row for each piece: ``doc_id``, ``piece``, ``start`` and ``length`` in the document, ``bin_id``, ``bin_length``, ``offset``.
 
     ``length`` gives the tokens of a row (default: words). Bins of a shard are numbered from
-    ``shard * 2**32``, so bin ids are unique in the result.
+    ``shard * 2**32``, so bin ids are unique in the result. With ``keyed`` the hash of the text comes along as ``text_key``.
     """
     lengths = tuple(sorted(set(lengths)))
     top = lengths[-1]
@@ -103,8 +115,9 @@ def pack_documents(docs: DataFrame, length: Column | None = None, lengths: tuple
                          F.least(F.lit(top).cast("long"), F.col("n") - F.col("piece") * F.lit(top)).alias("length")))
     shards = parts_for(pieces.where("length > 0").count(), shard_pieces)
     full = (pieces.where("length > 0")
-            .withColumn("shard", F.pmod(F.xxhash64("id", "h", "piece"), F.lit(shards)).cast("long")))
-    schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
+            # the row number of the written table spreads copies without an id of their own
+            .withColumn("shard", F.pmod(F.xxhash64("id", "h", "piece", F.monotonically_increasing_id()), F.lit(shards)).cast("long")))
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                         ("bin_id", pa.int64()), ("bin_length", pa.int64()), ("offset", pa.int64())])
 
     def run(t: pa.Table) -> pa.Table:
@@ -112,11 +125,12 @@ def pack_documents(docs: DataFrame, length: Column | None = None, lengths: tuple
         t = t.sort_by([("id", "ascending"), ("h", "ascending"), ("piece", "ascending")])
         where, offset, final = pack(t.column("length").to_numpy(), lengths)
         shard = t.column("shard")[0].as_py()
-        return pa.Table.from_batches([batch_of(schema, *(t.column(c).combine_chunks() for c in ("id", "piece", "start", "length")),
+        return pa.Table.from_batches([batch_of(schema, *(t.column(c).combine_chunks() for c in ("id", "h", "piece", "start", "length")),
                                                where + shard * 2**32, final[where], offset)])
 
-    ddl = "id long, piece int, start long, length long, bin_id long, bin_length long, offset long"
+    ddl = "id long, h long, piece int, start long, length long, bin_id long, bin_length long, offset long"
     packed = full.groupBy("shard").applyInArrow(run, ddl)
-    empty = pieces.where("length = 0").select("id", "piece", "start", "length", F.lit(None).cast("long").alias("bin_id"),
+    empty = pieces.where("length = 0").select("id", "h", "piece", "start", "length", F.lit(None).cast("long").alias("bin_id"),
                                               F.lit(None).cast("long").alias("bin_length"), F.lit(None).cast("long").alias("offset"))
-    return packed.unionByName(empty).select(id_back("id").alias("doc_id"), "piece", "start", "length", "bin_id", "bin_length", "offset")
+    key = [F.col("h").alias("text_key")] if keyed else []
+    return packed.unionByName(empty).select(id_back("id").alias("doc_id"), *key, "piece", "start", "length", "bin_id", "bin_length", "offset")

@@ -93,6 +93,10 @@ class QualityModel:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         return np.concatenate([np.cos(z @ self.w + self.b) * np.sqrt(2 / len(self.b)), np.ones((len(x), 1))], axis=1)
 
+    @property
+    def learnt(self) -> bool:
+        return len(self.knots) > 0
+
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.features(x) @ self.beta
 
@@ -133,21 +137,26 @@ def _partial(df: DataFrame, run, n_rows: int) -> list[np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_train: int = MAX_TRAIN) -> QualityModel:
     """Train on ``labels(doc_id, target)`` of ids in ``docs``. Labels other than 0 and 1 and null ids are not used."""
-    usable = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).alias("y"))
+    labels = labels.select(F.col("doc_id").alias("id"), F.col(target).cast("int").alias("y"))
+    usable = labels.where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
     n = usable.count()
     # at most about max_train rows of two numbers: small enough for every task
-    sample = F.broadcast(usable.where(sample_below(n, max_train, "doc_id", seed=SEED)))
+    sample = F.broadcast(usable.where(sample_below(n, max_train, "id", seed=SEED)))
     stat_schema = pa.schema([("x", pa.binary()), ("y", pa.int32()), ("part", pa.int32())])
 
     def stats(batches):
         for b in batches:
             yield batch_of(stat_schema, [statistics(t).tobytes() for t in b.column("text").to_pylist()], b.column("y"), b.column("part"))
 
-    train = cut(docs.join(sample, "doc_id").select("text", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)).cast("int").alias("part"))
+    # only what is needed is read; an id may stand for many rows, so the bound holds for rows, told apart by their number
+    found = docs.select(F.col("doc_id").alias("id"), "text", F.monotonically_increasing_id().alias("row")).join(sample, "id")
+    rows = found.select("id", "row").count()
+    train = cut(found.where(sample_below(rows, max_train, "id", "row", seed=SEED + 1)).select("text", "y", F.pmod(F.xxhash64(F.lit(3), "id", "row"), F.lit(5)).cast("int").alias("part"))
                 .mapInArrow(stats, "x binary, y int, part int"))
     n = train.count()
     none = QualityModel(*(np.zeros(0) for _ in range(7)))
     if not n:
+        # nothing to learn from: every text scores 0.5, and ``learnt`` says so
         return QualityModel(np.zeros(N_STATS), np.ones(N_STATS), np.zeros((N_STATS, 1)), np.zeros(1), np.zeros(2), none.knots, none.levels)
     train = train.repartition(parts_for(n, ROWS_PER_SUM))
     moments = sum(_partial(train, lambda x, y, p: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), n))

@@ -42,6 +42,7 @@ MASK = "[SECRET]"
 MAX_TRAIN = 6_000       # documents used for the fit
 ROWS_PER_SUM = 3_000    # windows of one partial sum
 REACH = 10              # tokens of a training window on either side of its centre
+HARD = 8               # outsiders that look like secrets, drawn from each text of the sample
 L2 = 0.02
 SEED = 29
 TOKEN = re.compile(r"[^\s\"'`,;:=()<>\[\]{}|]+|[:=]")
@@ -79,7 +80,7 @@ def shape(token: str) -> int:
     upper = any(map(str.isupper, token[1:]))
     lower = any(map(str.islower, token))
     mix = 0 if not digits else 1 if digits == n else 2 if not (upper and lower) else 3
-    kinds = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in token[:64]]
+    kinds = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in token]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
     rate = 0 if changes <= 1 else 1 if changes * 4 < len(kinds) else 2
     return ((step * 4 + mix) * 3 + rate) * 2 + bool(KEYS.search(token))
@@ -214,7 +215,8 @@ def windows(text: str | None, shapes: Shapes, rng_seed: int):
     pad = np.full(REACH + 2, N_OWN - 2)
     cp, yp = np.concatenate((pad, c, pad)), np.concatenate((np.zeros(REACH + 2, np.int64), y, np.zeros(REACH + 2, np.int64)))
     # centres: every taught begin, tokens with digits (hard outsiders) and some of the rest
-    hard = np.flatnonzero((y == O) & (c < N_OWN - 2) & ((c >= N_OWN - 4) | (c // 6 % 4 > 0)))[:8]
+    hard = np.flatnonzero((y == O) & (c < N_OWN - 2) & ((c >= N_OWN - 4) | (c // 6 % 4 > 0)))
+    hard = np.sort(rng.choice(hard, min(len(hard), HARD), replace=False))       # drawn over the whole text
     begins = np.flatnonzero(y == B).tolist()
     for centre, redrawn in [*((k, r) for k in begins for r in (False, True, True)), *((k, False) for k in hard.tolist()),
                             *((k, False) for k in rng.integers(0, n, 2).tolist())]:
@@ -265,15 +267,16 @@ def loss(v: np.ndarray, w: np.ndarray, y: np.ndarray, file: np.ndarray) -> tuple
 
 
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN, rounds: int = 25) -> Field | None:
-    """Train on a sample of the documents (by the hash of the text); None when no token was taught as a secret.
+    """Train on a sample of the documents (by the hash of text and row number); None when no token was taught as a secret.
 
     Documents with a base span are taken before others: half of the sample, where there are as many.
     """
-    rows = docs.select("text", F.xxhash64("text").alias("h"))
+    # the row number tells copies apart, so that the sample stays bounded whatever their number
+    rows = docs.select("text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
     hit = F.col("text").rlike(r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{24}")
     counts = rows.agg(F.count(F.when(hit, 1)).alias("hits"), F.count("text").alias("all")).first()
-    keep = (hit & sample_below(counts["hits"], max_train // 2, "text", seed=SEED)) | \
-           (~hit & sample_below(counts["all"] - counts["hits"], max_train // 2, "text", seed=SEED))
+    keep = (hit & sample_below(counts["hits"], max_train // 2, "text", "row", seed=SEED)) | \
+           (~hit & sample_below(counts["all"] - counts["hits"], max_train // 2, "text", "row", seed=SEED))
     schema = pa.schema([("w", pa.binary())])
     width = (2 * REACH + 5) + (2 * REACH + 1) + N_FILE
 

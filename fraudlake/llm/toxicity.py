@@ -103,9 +103,10 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_train: int = MAX_TRAIN, balance: float = BALANCE,
         groups=GROUPS) -> ToxicityModel:
     """Train on ``labels(doc_id, target)`` of ids in ``docs``; labels other than 0 and 1 and null ids are not used."""
-    usable = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
+    labels = labels.select(F.col("doc_id").alias("id"), F.col(target).cast("int").alias("y"))
+    usable = labels.where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
     n = usable.count()
-    sample = F.broadcast(usable.where(sample_below(n, max_train, "doc_id", seed=SEED)))     # about max_train rows at most
+    sample = F.broadcast(usable.where(sample_below(n, max_train, "id", seed=SEED)))     # about max_train rows at most
     swap = group_words(groups)
     schema = pa.schema([("y", pa.int32()), ("x", pa.binary()), ("others", pa.list_(pa.binary()))])
 
@@ -120,7 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_train: in
                 out.append((y, numbers(words, ids).tobytes(), [numbers(o, ids).tobytes() for o in other]))
             yield batch_of(schema, *(zip(*out) if out else [[]] * 3))
 
-    train = cut(docs.join(sample, "doc_id").select("text", "y").mapInArrow(make, "y int, x binary, others array<binary>"))
+    # only what is needed is read; an id may stand for many rows, so the bound holds for rows, told apart by their number
+    found = docs.select(F.col("doc_id").alias("id"), "text", F.monotonically_increasing_id().alias("row")).join(sample, "id")
+    rows = found.select("id", "row").count()
+    train = cut(found.where(sample_below(rows, max_train, "id", "row", seed=SEED + 1)).select("text", "y").mapInArrow(make, "y int, x binary, others array<binary>"))
     totals = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
