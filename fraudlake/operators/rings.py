@@ -9,7 +9,7 @@ from fraudlake.cols import DAY_US, HOUR_US, MONEY, SEC_US, exact_sum
 from fraudlake.operators.neighbors import around, device_peers, longs, one, online, proxied
 from fraudlake.operators.tables import device_degree
 from fraudlake.operators.timeline import window_members, window_sums
-from fraudlake.session import cut
+from fraudlake.session import cut, cut_all
 
 
 def proxy_rings(txn: DataFrame, known: DataFrame, lo_us: int, hi_us: int, cap: int = 100, k: int = 3) -> DataFrame:
@@ -50,12 +50,10 @@ def ring_devices(flags: DataFrame, txn: DataFrame, known: DataFrame, cap: int =
     return used.unionByName(hop).distinct()
 
 
-def ring_cards(flags: DataFrame, devices: DataFrame, known: DataFrame, cj: DataFrame, cc_dev: DataFrame,
-               cc_connected: DataFrame, cc_card: DataFrame) -> DataFrame:
-    """The seed, cards known on the ring devices, and cards of fraud cases attached to those devices."""
+def ring_cards(flags: DataFrame, devices: DataFrame, known: DataFrame, fraud: DataFrame, cc_connected: DataFrame, cc_card: DataFrame) -> DataFrame:
+    """The seed, cards known on the ring devices, and cards of the fraud cases attached to those devices (``ring_cases``)."""
     seed = flags.select("alert_id", "card")
     direct = devices.join(known.select("device_profile", "card"), "device_profile").select("alert_id", "card")
-    fraud = ring_cases(devices, cj, cc_dev).select("alert_id", "case_id")
     linked = fraud.join(cc_connected, "case_id").select("alert_id", "card")
     on_card = fraud.join(cc_card, "case_id").select("alert_id", "card")
     return seed.unionByName(direct).unionByName(linked).unionByName(on_card).distinct()
@@ -84,19 +82,24 @@ def ring_components(flags: DataFrame, txn: DataFrame, known: DataFrame, cj: Data
     """Size, flagged cards and exposure of the device ring around each alert's card."""
     # every later hop starts from this set, so its pass over the transactions is done once
     devices = cut(ring_devices(flags, txn, known, cap, families))
-    cards = ring_cards(flags, devices, known, cj, cc_dev, cc_connected, cc_card)
-    use = ring_activity(flags, devices, txn, known)
-    per_card = use.groupBy("alert_id", "card").agg(
-        F.sum("n").alias("n"), F.sum("n_new").alias("n_new"), F.sum("n_proxied").alias("n_proxied"), F.sum("amt").alias("amt"))
-    act = per_card.groupBy("alert_id").agg(
-        F.sum(one(F.col("n_new") > 0)).alias("n_new_device_cards"), F.sum(one(F.col("n_proxied") > 0)).alias("n_proxied_cards"),
-        F.sum("n").alias("n_ring_txns"), exact_sum("amt").alias("ring_txn_exposure"))
-    on_card = (cj.where(F.col("outcome") == "confirmed_fraud").join(cc_card.select("case_id", F.col("card").alias("_c")), "case_id")
-               .groupBy(F.col("_c").alias("card")).agg(F.count("*").alias("k"), F.sum(F.col("exposure_usd").cast(MONEY)).alias("e")))
-    prior = cards.join(on_card, "card").groupBy("alert_id").agg(
-        F.sum("k").alias("n_closed_cases"), exact_sum("e").alias("prior_fraud_exposure"))
-    cc = ring_cases(devices, cj, cc_dev).groupBy("alert_id").agg(
-        F.count("*").alias("n_ring_cases"), exact_sum("exposure_usd").alias("ring_case_exposure"))
+    fraud_cases = cj.where(F.col("outcome") == "confirmed_fraud")
+    fraud, per_card = cut_all(
+        lambda: ring_cases(devices, cj, cc_dev),
+        lambda: ring_activity(flags, devices, txn, known).groupBy("alert_id", "card").agg(
+            F.sum("n").alias("n"), F.sum("n_new").alias("n_new"), F.sum("n_proxied").alias("n_proxied"), F.sum("amt").alias("amt")))
+    cards = cut(ring_cards(flags, devices, known, fraud, cc_connected, cc_card))
+
+    def activity():
+        return per_card.groupBy("alert_id").agg(
+            F.sum(one(F.col("n_new") > 0)).alias("n_new_device_cards"), F.sum(one(F.col("n_proxied") > 0)).alias("n_proxied_cards"),
+            F.sum("n").alias("n_ring_txns"), exact_sum("amt").alias("ring_txn_exposure"))
+
+    def earlier():
+        on_card = (fraud_cases.join(cc_card.select("case_id", F.col("card").alias("_c")), "case_id")
+                   .groupBy(F.col("_c").alias("card")).agg(F.count("*").alias("k"), F.sum(F.col("exposure_usd").cast(MONEY)).alias("e")))
+        return cards.join(on_card, "card").groupBy("alert_id").agg(F.sum("k").alias("n_closed_cases"), exact_sum("e").alias("prior_fraud_exposure"))
+    act, prior = cut_all(activity, earlier)
+    cc = fraud.groupBy("alert_id").agg(F.count("*").alias("n_ring_cases"), exact_sum("exposure_usd").alias("ring_case_exposure"))
     size = cards.groupBy("alert_id").agg(F.count("*").alias("n_cards"))
     nd = devices.groupBy("alert_id").agg(F.count("*").alias("n_devices"))
     out = flags.select("alert_id")

@@ -13,6 +13,7 @@ from fraudlake.plans.graph_queries import (DN_SQL, NP_SQL, OF_SQL, PF_SQL, REC_S
                                            ring_ctes, ring_table, tier_table)
 from fraudlake.plans.pit_queries import FEATS
 from fraudlake.plans.registry import query
+from fraudlake.session import cut_all
 
 H48, D14 = 48 * HOUR_US, 14 * DAY_US
 # The test tables have no product R: its two scopes read purchases instead.
@@ -232,19 +233,21 @@ def signals(f):
 
 def _signals(f):
     fl, t = f.flags, f.txn
-    rec = recurring(f).select(F.col("txn_id").alias("flagged_txn_id"), "recurring_ge3")
-    parts = [
-        neighbors.card_signals(fl, t, 20.0, 60.0, threshold=60.0, near=2).select("alert_id", "testing_fires", "n_online", "near_threshold_fires"),
-        neighbors.recurring_match(fl, t, tol=2.5).select("alert_id", F.col("n").alias("n_recurring"), F.col("fires").alias("recurring_fires")),
-        neighbors.region_history(fl, t, home(f)).select("alert_id", "had_prior_txn_in_region", "n_home_in_window"),
-        tier_table(f).drop("proxy_flag"),
-        neighbors.region_cluster(fl, t).select("alert_id", F.col("n_other_cards").alias("n_region_others")),
-        neighbors.recipient_cluster(fl, t).select("alert_id", F.col("n_other_cards").alias("n_recipient_others")),
-        neighbors.device_neighbors(fl, t, cc_dev(f), known=f.known).select("alert_id", F.col("n_other_cards").alias("n_device_others")),
-        ring_table(f).select("alert_id", F.col("n_cards").alias("n_ring_cards")),
-        detect.nearby_activity(fl, t), detect.prior_big_purchases(fl, t, floor=60.0),
-    ]
-    feats = f.features.withColumnRenamed("home_addr1", "home_asof")
+    # stored tables that several questions read come first; the questions themselves do not depend on each other
+    home_, dev, known, feats = home(f), cc_dev(f), f.known, f.features
+    parts = cut_all(
+        lambda: ring_table(f).select("alert_id", F.col("n_cards").alias("n_ring_cards")),
+        lambda: neighbors.card_signals(fl, t, 20.0, 60.0, threshold=60.0, near=2).select("alert_id", "testing_fires", "n_online", "near_threshold_fires"),
+        lambda: neighbors.recurring_match(fl, t, tol=2.5).select("alert_id", F.col("n").alias("n_recurring"), F.col("fires").alias("recurring_fires")),
+        lambda: neighbors.region_history(fl, t, home_).select("alert_id", "had_prior_txn_in_region", "n_home_in_window"),
+        lambda: tier_table(f).drop("proxy_flag"),
+        lambda: neighbors.region_cluster(fl, t).select("alert_id", F.col("n_other_cards").alias("n_region_others")),
+        lambda: neighbors.recipient_cluster(fl, t).select("alert_id", F.col("n_other_cards").alias("n_recipient_others")),
+        lambda: neighbors.device_neighbors(fl, t, dev, known=known).select("alert_id", F.col("n_other_cards").alias("n_device_others")),
+        lambda: detect.nearby_activity(fl, t), lambda: detect.prior_big_purchases(fl, t, floor=60.0),
+        lambda: recurring(f).select(F.col("txn_id").alias("flagged_txn_id"), "recurring_ge3").join(fl.select("flagged_txn_id").distinct(), "flagged_txn_id", "left_semi"))
+    rec = parts.pop()
+    feats = feats.withColumnRenamed("home_addr1", "home_asof")
     out = detect.alert_signals(fl, feats, parts).join(rec, "flagged_txn_id", "left")
     return out.withColumn("decile_log_lr", 0.1 * F.col("risk_decile") - 0.55)
 
