@@ -93,6 +93,6 @@ def channel_counts(txn: DataFrame) -> DataFrame:
 
 
 def top_row(df: DataFrame, group: str, *order) -> DataFrame:
-    """First row of each group in the given order."""
+    """First row of each group in the given order; every task sends on at most one row of a group."""
     w = Window.partitionBy(group).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

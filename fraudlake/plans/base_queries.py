@@ -384,3 +384,9 @@ def _(f):
     return tables.e_cc_on_device(f.cases, f.txn)
 
 
+
+
+@query("w16_top_row", "SELECT card, txn_id, amt, ts_us FROM txn QUALIFY row_number() OVER (PARTITION BY card ORDER BY amt DESC, ts_us, txn_id) = 1", T)
+def _(f):
+    """The largest transaction of every card; the earliest of equals."""
+    return baseline.top_row(f.txn, "card", F.desc("amt"), "ts_us", "txn_id").select("card", "txn_id", "amt", "ts_us")

@@ -84,10 +84,10 @@ def _(f):
 
 @query("k09_memory_append", "SELECT concat('MEM-', CAST(txn_id AS VARCHAR)) AS case_id, customer_id, amt FROM txn WHERE risk_score >= 0.95", T)
 def _(f):
-    cases = stream(f).where(F.col("risk_score") >= 0.95).select(F.concat(F.lit("MEM-"), F.col("txn_id").cast("string")).alias("case_id"), "customer_id", "amt")
+    cases = stream(f).where(F.col("risk_score") >= 0.95).select(F.concat(F.lit("MEM-"), F.col("txn_id").cast("string")).alias("case_id"), "customer_id", "amt", "ts_us")
     path = temp(f, "memory")
-    jobs.append_memory(cases, path).awaitTermination()
-    return jobs.read_memory(f.spark, path).select("case_id", "customer_id", "amt")
+    jobs.append_memory(cases, path, "ts_us").awaitTermination()
+    return jobs.read_memory(f.spark, path, "ts_us").select("case_id", "customer_id", "amt")
 
 
 # ---- sources and sinks: written, read back, compared -----------------------------------
@@ -165,6 +165,7 @@ def _(f):
              .withColumn("batch_id", F.lit(2)).withColumn("day", F.date_format("written_at", "yyyy-MM-dd")))
     changed = edges.join(again.select("case_id"), "case_id", "left_semi").withColumn("dst", F.concat(F.lit("Y"), "dst"))
     io.write_memory(io.latest_cases(again), changed, path)
+    io.compact_memory(f.spark, path)
     _, got = io.read_memory(f.spark, path)
     return got.groupBy("case_id", "kind").agg(F.count("*").alias("n"), F.max("batch_id").alias("version"))
 

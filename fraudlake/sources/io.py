@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,25 +109,49 @@ def write_cases(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("run").json(path)
 
 
-def write_memory(cases: DataFrame, edges: DataFrame, path: str) -> None:
-    """Upsert investigated cases: every batch is added, and ``read_memory`` lets the newest record of a case count.
+def write_memory(cases: DataFrame, edges: DataFrame, path: str, replaces: list[str] | None = None) -> str:
+    """Upsert investigated cases as one commit: every batch is added, and ``read_memory`` lets the newest record of a case count.
 
     ``cases`` needs ``case_id``, ``written_at``, ``batch_id`` and the partition column ``day``; ``edges`` needs
-    ``case_id``. Nothing stored is rewritten, so other cases of the same day stay and a lost task can be run again.
+    ``case_id``. Cases and edges of a commit go to folders of their own, and only then one line of the manifest names the
+    commit: a reader sees both or neither, and what a failed write leaves behind is never read. Nothing stored is rewritten.
+    ``replaces`` lists commits that this one stands for.
     """
+    commit = uuid.uuid4().hex
     stamps = cases.select("case_id", "written_at", "batch_id", "day")
-    cases.write.mode("append").partitionBy("day").parquet(f"{path}/case")
-    (edges.drop("written_at", "batch_id", "day").join(stamps, "case_id")
-     .write.mode("append").partitionBy("day").parquet(f"{path}/edge"))
+    cases.withColumn("commit", F.lit(commit)).write.mode("append").partitionBy("commit", "day").parquet(f"{path}/case")
+    (edges.drop("written_at", "batch_id", "day").join(stamps, "case_id").withColumn("commit", F.lit(commit))
+     .write.mode("append").partitionBy("commit", "day").parquet(f"{path}/edge"))
+    line = cases.sparkSession.createDataFrame([(commit, replaces or [])], COMMIT_DDL)
+    line.coalesce(1).write.mode("append").json(f"{path}/manifest")
+    return commit
+
+
+COMMIT_DDL = "commit string, replaces array<string>"
+
+
+def commits(spark: SparkSession, path: str) -> list[str]:
+    """Commits that count: named by the manifest and not replaced by another (one short line for each write since the last compaction)."""
+    lines = spark.read.schema(COMMIT_DDL).json(f"{path}/manifest")
+    gone = lines.select(F.explode("replaces").alias("commit"))
+    return sorted(r["commit"] for r in lines.join(gone, "commit", "left_anti").select("commit").collect())
 
 
 def read_memory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The newest record of every stored case, and the edges written with it."""
-    cases = latest_cases(spark.read.parquet(f"{path}/case"))
-    edges = spark.read.parquet(f"{path}/edge")
+    """The newest record of every stored case, and the edges written with it; only folders of commits that count are read."""
+    live = F.col("commit").isin(commits(spark, path))
+    cases = latest_cases(spark.read.parquet(f"{path}/case").where(live).drop("commit"))
+    edges = spark.read.parquet(f"{path}/edge").where(live).drop("commit")
     return cases, edges.join(cases.select("case_id", "written_at", "batch_id"), ["case_id", "written_at", "batch_id"], "left_semi").distinct()
 
 
+def compact_memory(spark: SparkSession, path: str) -> str:
+    """Write the newest records as one commit that replaces all others; readers go on with the old ones until its line is in the manifest."""
+    old = commits(spark, path)
+    cases, edges = read_memory(spark, path)
+    return write_memory(cases, edges, path, replaces=old)
+
+
 def latest_cases(cases: DataFrame) -> DataFrame:
     """One row for each case id, the newest write first."""
     w = Window.partitionBy("case_id").orderBy(F.desc("written_at"), F.desc("batch_id"))

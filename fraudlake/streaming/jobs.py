@@ -155,16 +155,23 @@ def case_history(txn: DataFrame, cj: DataFrame) -> DataFrame:
     return pit.prior_case_flags(txn, cj).select("txn_id", "prior_fraud_card", "prior_fraud_customer", "prior_cleared_travel", "prior_cleared_phone")
 
 
-def append_memory(cases: DataFrame, path: str):
-    """Start writing investigated cases; a repeated batch overwrites its own folder, so nothing doubles."""
+def append_memory(cases: DataFrame, path: str, at: str):
+    """Start writing investigated cases; a repeated batch overwrites its own folder, so nothing doubles.
+
+    Of a case that comes several times the newest by ``at`` is kept, in a batch and between batches.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        one = batch.dropDuplicates(["case_id"]).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        one = newest(batch, at).withColumn("batch_id", F.lit(batch_id).cast("long"))
         one.write.mode("overwrite").parquet(f"{path}/case/batch={batch_id}")
     return (cases.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
 
 
-def read_memory(spark: SparkSession, path: str) -> DataFrame:
+def newest(rows: DataFrame, *at: str) -> DataFrame:
+    """One row for each case: the newest by ``at``, ties by the row as text."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.groupBy("case_id").agg(F.max_by(whole, F.struct(*at, F.to_json(whole))).alias("r")).select("r.*")
+
+
+def read_memory(spark: SparkSession, path: str, at: str) -> DataFrame:
     """Stored cases; of a case written in several batches the newest stays."""
-    rows = spark.read.parquet(f"{path}/case")
-    newest = rows.groupBy("case_id").agg(F.max("batch_id").alias("batch_id"))
-    return rows.drop("batch").join(newest, ["case_id", "batch_id"], "left_semi")
+    return newest(spark.read.parquet(f"{path}/case").drop("batch"), at, "batch_id").drop("batch_id")
