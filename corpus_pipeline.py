@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraudlake.llm import bk_dedup, decontaminate, packing, quality, secrets
-from fraudlake.llm.common import free_name, ready, table
+from fraudlake.llm.common import free_name, id_key, ready, table
 from fraudlake.session import ensure_checkpoint_dir
 
 
@@ -50,9 +50,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def attach(placed: DataFrame, texts: DataFrame) -> DataFrame:
     """``placed`` with the words of each piece; ids may be null."""
-    key = ["text_key", "piece"]
-    t = texts.select(F.col("doc_id").alias("_id"), *key, "text")
-    return placed.join(t, [*(placed[k] == t[k] for k in key), placed["doc_id"].eqNullSafe(t["_id"])]).select(*[placed[c] for c in placed.columns if c != "text_key"], "text")
+    return placed.withColumn("id", id_key()).join(texts, ["id", "text_key", "piece"]).select(*[c for c in placed.columns if c != "text_key"], "text")
 
 
 STAGES = [

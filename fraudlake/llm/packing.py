@@ -90,13 +90,16 @@ def word_count(col: str = "text") -> Column:
 
 
 def piece_texts(docs: DataFrame, top: int = LENGTHS[-1]) -> DataFrame:
-    """``doc_id``, ``text_key``, ``piece`` and ``text``, the words of the piece joined by a space, once for each id and text."""
+    """``id`` (see ``id_key``), ``text_key``, ``piece`` and ``text``, the words of the piece joined by a space, once for each id and text.
+
+    The rows are dealt by the three key columns; a join on just these takes them as they lie, so that texts move once.
+    """
     words = F.regexp_extract_all(no_text(), F.lit(r"([^\x20\x09-\x0D]+)"))
     rows = docs.select(id_key().alias("id"), F.xxhash64(no_text()).alias("text_key"), words.alias("w"))
     n = F.greatest(F.ceil(F.size("w") / top), F.lit(1)).cast("int")
     cut_up = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array_join(F.slice(F.col("w"), k * top + 1, F.lit(top)), " "))
     pieces = rows.select("id", "text_key", F.posexplode(cut_up).alias("piece", "text"))
-    return pieces.groupBy("id", "text_key", "piece").agg(F.first("text").alias("text")).withColumn("doc_id", id_back("id")).drop("id")
+    return pieces.groupBy("id", "text_key", "piece").agg(F.first("text").alias("text"))
 
 
 def pack_documents(docs: DataFrame, length: Column | None = None, lengths: tuple[int, ...] = LENGTHS,

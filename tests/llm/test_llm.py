@@ -583,3 +583,18 @@ def test_samples_are_bounded_and_repeatable(spark):
     df = spark.range(10_000).withColumnRenamed("id", "doc_id")
     n = [df.where(sample_below(10_000, 1_000, "doc_id", seed=s)).count() for s in (1, 1, 2)]
     assert n[0] == n[1] and all(850 < x < 1150 for x in n)
+
+
+def test_pieces_are_dealt_once(spark, conf):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "other text"), (2, None), (3, ""), (None, "no id"), (None, "no id"), (None, None), (4, " ".join(["w"] * 5000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = spark.createDataFrame(packing.pack_documents(docs, keyed=True).collect(), "doc_id long, text_key long, piece int, start long, length long, bin_id long, bin_length long, offset long")
+    with conf(**{"spark.sql.autoBroadcastJoinThreshold": -1}):
+        out = corpus_pipeline.attach(placed, packing.piece_texts(docs))
+        # one exchange for the placements, one for the texts
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        got = out.collect()
+    assert len(got) == placed.count() == 10
+    key = lambda r: (str(r[0]), r[1])
+    want = [(i, " ".join((t or "").split())) for i, t in rows[:-1]] + [(4, " ".join(["w"] * 4096)), (4, " ".join(["w"] * 904))]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=key) == sorted(want, key=key)
