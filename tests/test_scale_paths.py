@@ -265,3 +265,22 @@ def skewed_plan(fx, conf):
     with conf(**{"fraudlake.nativeMedianRows": 60, "fraudlake.maxRowsPerTask": 120}):
         hot = fx.txn.withColumn("card", F.when(F.col("txn_id") % 3 == 0, "HOT").otherwise(F.col("card")))
         return rolling_median(hot, "amt", 3600 * SEC_US, "m")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_region_peers_meet_only_cards_up_to_the_bound_of_their_days(spark):
+    rng = random.Random(9)
+    t = [(f"c{rng.randrange(400):03d}", rng.choice("XY"), rng.randrange(10 * DAY_US)) for _ in range(6000)]
+    al = [(f"A{i}", f"c{rng.randrange(12):03d}", rng.choice("XY"), (h := rng.randrange(10 * DAY_US)) - 4 * DAY_US, h) for i in range(25)]
+    al += [("S", "c001", "X", 5, DAY_US // 2), ("E", "c001", "Y", 30 * DAY_US, 34 * DAY_US)]      # no whole day; days without rows
+    flags = spark.createDataFrame(al, "alert_id string, card string, addr1 string, lo_us long, hi_us long")
+    txn = spark.createDataFrame(t, "card string, addr1 string, ts_us long")
+    top, want = {}, set()
+    for a, own, region, lo, hi in al:
+        whole = sorted({c for c, r, u in t if r == region and -(-lo // DAY_US) * DAY_US <= u < (hi + 1) // DAY_US * DAY_US})
+        top[a] = whole[6] if len(whole) >= 7 else None
+        cards = sorted({c for c, r, u in t if r == region and lo <= u <= hi and c != own})
+        want |= {(a, c) for c in cards[:6]} if len(cards) >= 2 else set()
+    probes = flags.select("alert_id", "addr1", "lo_us", "hi_us")
+    assert {r.alert_id: r.top for r in rings.day_bounds(probes, txn, 7).collect()} == top
+    assert top["S"] is None and top["E"] is None and sum(v is not None for v in top.values()) > 15
+    assert {tuple(r) for r in rings.region_peers(flags, txn, cap=6).collect()} == want
