@@ -9,7 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from fraudlake.cols import DAY_US, SEC_US
-from fraudlake.operators import components, decide, detect, evaluate, model, pit, quality, ranks, retrieval, rings
+from fraudlake.operators import components, decide, detect, evaluate, model, neighbors, pit, quality, ranks, retrieval, rings
 from fraudlake.operators.rolling import value_numbers
 from fraudlake.operators.timeline import running_max
 
@@ -284,3 +284,13 @@ def test_region_peers_meet_only_cards_up_to_the_bound_of_their_days(spark):
     assert {r.alert_id: r.top for r in rings.day_bounds(probes, txn, 7).collect()} == top
     assert top["S"] is None and top["E"] is None and sum(v is not None for v in top.values()) > 15
     assert {tuple(r) for r in rings.region_peers(flags, txn, cap=6).collect()} == want
+
+
+def test_recurring_amounts_of_some_rows_equal_those_of_all(spark):
+    rng = random.Random(4)
+    t = [(rng.choice(["a", "b", None]), rng.choice("PQ"), rng.choice([None, *[round(rng.random() * 20, 1) for _ in range(9)]]), i, rng.randrange(300)) for i in range(400)]
+    txn = spark.createDataFrame(t, "customer_id string, product_cd string, amt double, txn_id long, ts_us long")
+    ids = spark.createDataFrame([(i,) for i in (*range(0, 400, 9), 9, 4000)], "txn_id long")
+    every = {tuple(r) for r in neighbors.recurring_prior(txn, tol=2.5).collect()}
+    want = {r for r in every if r[0] % 9 == 0}
+    assert {tuple(r) for r in neighbors.recurring_prior(txn, tol=2.5, ids=ids).collect()} == want and len({r[1] for r in want}) > 3
