@@ -289,7 +289,7 @@ def test_region_peers_meet_only_cards_up_to_the_bound_of_their_days(spark):
 def test_recurring_amounts_of_some_rows_equal_those_of_all(spark):
     rng = random.Random(4)
     t = [(rng.choice(["a", "b", None]), rng.choice("PQ"), rng.choice([None, *[round(rng.random() * 20, 1) for _ in range(9)]]), i, rng.randrange(300)) for i in range(400)]
-    txn = spark.createDataFrame(t, "customer_id string, product_cd string, amt double, txn_id long, ts_us long")
+    txn = spark.createDataFrame(t + t[:60], "customer_id string, product_cd string, amt double, txn_id long, ts_us long")
     ids = spark.createDataFrame([(i,) for i in (*range(0, 400, 9), 9, 4000)], "txn_id long")
     every = {tuple(r) for r in neighbors.recurring_prior(txn, tol=2.5).collect()}
     want = {r for r in every if r[0] % 9 == 0}
